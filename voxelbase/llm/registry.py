@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_counts, warc
+from . import exact_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op6_warc": warc.op6_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
