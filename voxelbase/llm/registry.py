@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, suffix_dedup, token_counts, warc
+from . import exact_dedup, near_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
