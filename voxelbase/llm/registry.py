@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, suffix_dedup, token_counts, warc
+from . import exact_dedup, near_dedup, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_warc": warc.op6_warc,
