@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, suffix_dedup, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, near_dedup, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
