@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits in one block of a filter: Spark's bitmap aggregate makes 4 KB blocks.
 BLOCK_BITS = 32768
-#: Largest filter that is broadcast, in bits (64 MB); a fuller filter lets more rows through.
-MAX_FILTER_BITS = 1 << 29
+#: Largest filter that is broadcast, in bits (32 MB); a fuller filter lets more rows through.
+MAX_FILTER_BITS = 1 << 28
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, suffix_dedup, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, mixing, near_dedup, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
