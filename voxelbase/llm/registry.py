@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, suffix_dedup, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, mixing, near_dedup, pii, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
