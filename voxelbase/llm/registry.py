@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, pii, suffix_dedup, token_counts, toxicity, warc
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, pii, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +16,8 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_language_id": language_id.op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
