@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from voxelbase.queries import pointwise
+
+FAMILIES = (pointwise,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for family in FAMILIES:
+    QUERIES |= family.QUERIES
+    ORACLES |= family.ORACLES
