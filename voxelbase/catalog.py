@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxelbase.queries import pointwise
+from voxelbase.queries import pointwise, recon
 
-FAMILIES = (pointwise,)
+FAMILIES = (pointwise, recon)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
