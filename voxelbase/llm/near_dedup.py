@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import build_filter, connected_components, filter_bits, materialize, only_ids, test_filter, without_ids
+from .common import arrow_rows, build_filter, connected_components, filter_bits, materialize, only_ids, test_filter, without_ids
 from .hashing import Substrings, U, mix
 
 WORDS = 5
@@ -39,6 +39,8 @@ SAMPLES = BANDS * DEPTH
 SKETCH_LIMIT = 93
 #: Members of a bucket that meet in one block.
 BLOCK = 256
+#: Shingles of a block's members together, unless one member has more.
+BLOCK_SHINGLES = 400_000
 PIECE = 1 << 20
 MIN_PERCENT = 85
 
@@ -174,40 +176,109 @@ def _verify(min_percent: int):
     return run
 
 
-def _close_pairs(min_percent: int):
-    """Two blocks of a bucket to the pairs across components whose sketches and sizes are close."""
+def _close_members(min_percent: int):
+    """Two blocks of a bucket to the members that some member of another component is close to, by sketch and size."""
 
     def run(batches):
         for batch in batches:
-            u, v = [], []
-            for a, b, same in zip(batch.column("a"), batch.column("b"), batch.column("same").to_pylist(), strict=True):
+            bucket, member = [], []
+            for k, a, b, same in zip(batch.column("bucket").to_pylist(), batch.column("a"), batch.column("b"), batch.column("same").to_pylist(), strict=True):
                 ids, comps, sizes, sketches = zip(*(((f := x.values.field)("id").to_numpy(), f("component").to_numpy(), f("n").to_numpy(), f("sketch").flatten().to_numpy().view(np.uint64).reshape(len(x), -1)) for x in (a, b)), strict=True)
                 far = np.bitwise_count(sketches[0][:, None, :] ^ sketches[1][None, :, :]).sum(axis=2)
                 small, large = np.minimum(sizes[0][:, None], sizes[1]), np.maximum(sizes[0][:, None], sizes[1])
                 ok = (far <= SKETCH_LIMIT) & (comps[0][:, None] != comps[1]) & (100 * small >= min_percent * large)
-                if same:
-                    ok = np.triu(ok, 1)
-                i, j = np.nonzero(ok)
-                u.append(ids[0][i])
-                v.append(ids[1][j])
-            if u:
-                u, v = np.concatenate(u), np.concatenate(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                found = np.unique(np.concatenate([ids[0][ok.any(axis=1)], ids[1][ok.any(axis=0)]]))
+                bucket.append(np.full(len(found), k))
+                member.append(found)
+            if bucket:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), pa.array(np.concatenate(member))], names=["bucket", "id"])
+
+    return run
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, by products of membership tables over their common elements."""
+    common = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+
+    def places(sets):
+        at = [np.searchsorted(common, s[np.isin(s, common, assume_unique=True)]) for s in sets]
+        return np.repeat(np.arange(len(sets)), [len(x) for x in at]), np.concatenate(at)
+
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for s in range(0, len(common), columns):
+        tables = []
+        for n, r, c in ((len(a), ra, ca), (len(b), rb, cb)):
+            own = (c >= s) & (c < s + columns)
+            t = np.zeros((n, columns), dtype=np.float32)
+            t[r[own], c[own] - s] = 1
+            tables.append(t)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(min_percent: int):
+    """Two blocks of a bucket to links between components that full sets confirm; of links that join the same components, one."""
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                ids, comps = zip(*((x.values.field("id").to_numpy(), x.values.field("component").to_numpy()) for x in (a, b)), strict=True)
+                sets = [[s.values.to_numpy().view(np.uint64) for s in x.values.field("shingles")] for x in (a, b)]
+                both = overlaps(*sets)
+                sizes = [np.array([len(s) for s in x]) for x in sets]
+                ok = (both > 0) & (100 * both >= min_percent * (sizes[0][:, None] + sizes[1] - both)) & (comps[0][:, None] != comps[1])
+                root: dict[int, int] = {}
+
+                def find(c, root=root):
+                    while (up := root.get(c, c)) != c:
+                        root[c] = root.get(up, up)
+                        c = up
+                    return c
+
+                for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                    p, q = find(int(comps[0][i])), find(int(comps[1][j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        u.append(max(ids[0][i], ids[1][j]))
+                        v.append(min(ids[0][i], ids[1][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _shingles(batches):
+    for batch in batches:
+        for s in range(0, batch.num_rows, 256):
+            part = batch.slice(s, 256)
+            sets = [x.view(np.int64) for x in shingle_sets(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+
+def _block_pairs(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of each bucket in blocks of bounded size, and every two blocks of a bucket as one row."""
+    size = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    rows = members.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    blocks = materialize(rows.groupBy("bucket", "part").agg(F.collect_list(F.struct(*columns)).alias("rows")), "blocks")
+    one = blocks.select("bucket", F.col("part").alias("p"), F.col("rows").alias("a"))
+    two = blocks.select("bucket", F.col("part").alias("q"), F.col("rows").alias("b"))
+    return one.join(two, "bucket").where("p <= q").select("bucket", "a", "b", (F.col("p") == F.col("q")).alias("same"))
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
     ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
     texts = materialize(only_ids(docs.select("doc_id", "text").where("doc_id is not null"), ids), "texts").dropDuplicates()
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    return materialize(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify(min_percent), "u long, v long"), "links")
+    with arrow_rows(docs.sparkSession, 256):
+        return materialize(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify(min_percent), "u long, v long"), "links")
 
 
 def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(docs.mapInArrow(_sketch, SIGNATURE), "signature")
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = materialize(docs.mapInArrow(_sketch, SIGNATURE), "signature")
 
     # Classes of equal sets, each named by its smallest id.
     linked = rows.where("digest is not null and doc_id is not null")
@@ -237,16 +308,19 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     # Pass two: buckets that still span components.
     left = materialize(buckets.where("members > 2").select("bucket", "id", "members").join(comps, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component")), "left")
     mixed = materialize(left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
-    parts = F.ceil(F.col("members") / BLOCK)
-    members = left.join(mixed, "bucket").join(sides, "id").withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    blocks = materialize(members.groupBy("bucket", "part").agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("rows")), "blocks")
-    one = blocks.select("bucket", F.col("part").alias("p"), F.col("rows").alias("a"))
-    two = blocks.select("bucket", F.col("part").alias("q"), F.col("rows").alias("b"))
-    met = one.join(two, "bucket").where("p <= q").select("a", "b", (F.col("p") == F.col("q")).alias("same"))
-    more = met.mapInArrow(_close_pairs(min_percent), "u long, v long").distinct()
-    more = materialize(more.join(tried, ["u", "v"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(docs, more, min_percent))
+    members = left.join(mixed, "bucket").join(sides, "id")
+    with arrow_rows(docs.sparkSession, 32):
+        met = _block_pairs(members, ["id", "component", "n", "sketch"]).mapInArrow(_close_members(min_percent), "bucket long, id long")
+        close = materialize(met.distinct(), "close")
+    if not close.isEmpty():
+        ids = materialize(close.select(F.col("id").alias("doc_id")).distinct(), "ids")
+        with arrow_rows(docs.sparkSession, 1000):
+            sets = only_ids(docs.select("doc_id", "text").where("doc_id is not null"), ids).distinct().mapInArrow(_shingles, "id long, shingles array<long>")
+            sets = materialize(sets, "sets")
+        members = close.join(left.select("bucket", "id", "component"), ["bucket", "id"]).join(sets, "id").withColumn("n", F.size("shingles"))
+        with arrow_rows(docs.sparkSession, 4):
+            more = materialize(_block_pairs(members, ["id", "component", "shingles"]).mapInArrow(_block_links(min_percent), "u long, v long").distinct(), "links")
+        links = links.unionByName(more)
         comps = materialize(connected_components(links), "components")
 
     # Back to documents: id, its class, the class's component.
