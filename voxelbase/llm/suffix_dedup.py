@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import build_filter, filter_bits, materialize, test_filter
+from .common import arrow_rows, build_filter, filter_bits, materialize, test_filter
 from .hashing import Substrings, U, mix
 
 WIDTH, GRAM, BLOCK = 400, 32, 32
@@ -177,7 +177,8 @@ def _descend(docs: DataFrame, left: DataFrame, width: int, block: int) -> DataFr
     per_text = materialize(left.groupBy("key").agg(F.collect_list(F.struct("core", "a", "lo", "hi")).alias("rows")), "open")
     bits = filter_bits(per_text.count())
     texts = test_filter(docs, "key", build_filter(per_text, "key", bits), bits).where("maybe").drop("maybe")
-    return materialize(texts.join(per_text, "key").select("key", "text", "rows").mapInArrow(_open_blocks(width, block), ROWS), "blocks")
+    with arrow_rows(docs.sparkSession, 500):
+        return materialize(texts.join(per_text, "key").select("key", "text", "rows").mapInArrow(_open_blocks(width, block), ROWS), "blocks")
 
 
 def _cut(batches):
@@ -213,7 +214,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(key, lo, end): spans made of windows that start elsewhere too. They may overlap."""
-    rows = materialize(docs.where(F.octet_length("text") >= width).select("key", "text").mapInArrow(_name_chunks(width, gram), ROWS), "chunks")
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = materialize(docs.where(F.octet_length("text") >= width).select("key", "text").mapInArrow(_name_chunks(width, gram), ROWS), "chunks")
     spans, left = _settle(rows, width)
     found = [spans]
     for size in (block, 1):
