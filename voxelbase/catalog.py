@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxelbase.queries import pointwise, recon
+from voxelbase.queries import measure, neighbour, pointwise, recon
 
-FAMILIES = (pointwise, recon)
+FAMILIES = (pointwise, neighbour, measure, recon)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
