@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxelbase.queries import measure, neighbour, pointwise, recon
+from voxelbase.queries import flow, measure, neighbour, pointwise, recon
 
-FAMILIES = (pointwise, neighbour, measure, recon)
+FAMILIES = (pointwise, neighbour, measure, recon, flow)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
