@@ -85,3 +85,13 @@ def test_raw_source_rejects_partial_frames(spark, tmp_path):
 def test_queries_without_sql_run(spark, name):
     rows = catalog.QUERIES[name](spark, SF)
     assert rows.count() > 0 and len(set(rows.columns)) == len(rows.columns)
+
+
+def test_formulas_with_nested_groups():
+    from voxelbase.operators.relate import atom_counts
+
+    assert atom_counts("Ca10(PO4)6(OH)2") == {"Ca": 10, "P": 6, "O": 26, "H": 2}
+    assert atom_counts("Fe2(C(H2O)3)2") == {"Fe": 2, "C": 2, "H": 12, "O": 6}
+    for wrong in ("H2O)", "(H2", "h2o"):
+        with pytest.raises(ValueError):
+            atom_counts(wrong)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxelbase.queries import flow, measure, neighbour, pointwise, recon
+from voxelbase.queries import flow, measure, neighbour, pointwise, recon, relate
 
-FAMILIES = (pointwise, neighbour, measure, recon, flow)
+FAMILIES = (pointwise, neighbour, measure, recon, flow, relate)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
