@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from voxelbase.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 from voxelbase.llm.common import materialize
 
+#: Similarity of near copies: the general contract; 85 is that of the query op5_near_dedup alone.
+NEAR_PERCENT = 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar's model doesn't call toxic."""
@@ -24,8 +27,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity 0.85 of five-word shingles) the smallest id."""
-    return near_dedup.drop_near_copies(docs)
+    """Of each group of near copies (similarity 0.80 of five-word shingles) the smallest id."""
+    return near_dedup.drop_near_copies(docs, NEAR_PERCENT)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

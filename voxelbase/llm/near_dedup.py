@@ -1,18 +1,18 @@
 """Operator 5, MinHash near-duplicates with odd sketches.
 
 A document's set is its distinct shingles of five words (lower-cased A-Z). Texts
-with equal sets are one class. Each class has 192 MinHash samples: 32 bands of
-6 make buckets, and the samples folded into a parity bitmap of 512 bits make an
-odd sketch; the population count of two sketches' XOR estimates their
+with equal sets are one class. Each class has MinHash samples: bands of them
+make buckets (32 of 6 at 85 %, 38 of 5 at 80 %), and the samples folded into a
+parity bitmap of 512 bits make an odd sketch; the population count of two sketches' XOR estimates their
 similarity, so a bucket's pairs are dropped or verified without their sets.
 
 Pairs are tried in two passes. First every member of a bucket meets the
 bucket's smallest class, a number of pairs that grows with the rows. What full
 sets confirm joins into components. Then only buckets that still span several
 components compare members of different components, in blocks of bounded size.
-So a large group of near copies collapses in the first pass. A pair at the
-threshold is missed with a chance of 3e-7 (no shared band), and the sketch's
-limit lies 5.8 deviations beyond the threshold.
+So a large group of near copies collapses in the first pass. Bands and the
+sketch's limit follow from the threshold: a pair at it is missed with a chance
+of at most ``LOSS`` for want of a shared band, and of at most ``LOSS`` by its sketches.
 
 Null or blank texts have the empty set: n_shingles 0, no link, kept. Rows
 without an id get no component and are kept. Rows that share an id are one
@@ -22,7 +22,9 @@ document, linked if any of its texts is. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,11 @@ from .common import arrow_rows, build_filter, connected_components, filter_bits,
 from .hashing import Substrings, U, mix
 
 WORDS = 5
-BANDS, DEPTH, SKETCH_BITS = 32, 6, 512
-SAMPLES = BANDS * DEPTH
-#: Largest XOR population count of a pair that is verified: expected at similarity 0.70.
-SKETCH_LIMIT = 93
+SKETCH_BITS = 512
+#: Samples of a class, unless bands of one sample need more.
+SAMPLES = 192
+#: Chance to miss a pair at the threshold, by the bands and by the sketches each.
+LOSS = 3e-7
 #: Members of a bucket that meet in one block.
 BLOCK = 256
 #: Shingles of a block's members together, unless one member has more.
@@ -110,30 +113,58 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+class Plan(NamedTuple):
+    """Bands of samples, and the largest XOR population count of two sketches whose pair is verified."""
+
+    bands: int
+    depth: int
+    limit: int
+
+
+@cache
+def plan(min_percent: int) -> Plan:
+    """The deepest bands within ``SAMPLES`` and the lowest limit that keep ``LOSS`` at a similarity of ``min_percent``."""
+    s = min(max(min_percent, 1), 99) / 100
+    for depth in range(max(1, int(math.log(SAMPLES) / -math.log(s))), 0, -1):
+        bands = math.ceil(math.log(LOSS) / math.log1p(-(s**depth)))
+        if bands * depth <= SAMPLES:
+            break
+    # Each sample that differs flips two bits: the population count's distribution over their binomial number.
+    n, k = bands * depth, np.arange(SKETCH_BITS + 1)
+    count, total = (k == 0).astype(float), np.zeros(SKETCH_BITS + 1)
+    for i in range(n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(1 - s) + (n - i) * math.log(s)) * count
+        for _ in range(2):
+            count = np.append(0, (count * (SKETCH_BITS - k) / SKETCH_BITS)[:-1]) + np.append((count * k / SKETCH_BITS)[1:], 0)
+    more = np.append(np.cumsum(total[::-1])[::-1], 0)  # chance of k or more
+    return Plan(bands, depth, int(np.argmax(more <= LOSS)) - 1)
+
+
 @cache
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def _permutations(samples: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(99))
-    return rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+    return rng.integers(0, 2**31, samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, samples, dtype=np.uint32)
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    a, b = _permutations()
-    low = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
+def min_hashes(shingles: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    a, b = _permutations(samples)
+    low = np.full(samples, 0xFFFFFFFF, dtype=np.uint32)
     x = (shingles >> U(32)).astype(np.uint32)
     for i in range(0, len(x), 512):
         np.minimum(low, ((x[i : i + 512, None] ^ b) * a).min(axis=0), out=low)
     return low
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n, BANDS) and odd sketches (n, SKETCH_BITS / 64) of non-empty sets."""
-    samples = np.array([min_hashes(s) for s in sets], dtype=np.uint64).reshape(-1, SAMPLES)
-    place = np.arange(SAMPLES, dtype=np.uint64) << U(32)
+def signatures(sets: list[np.ndarray], bands: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (n, bands) and odd sketches (n, SKETCH_BITS / 64) of non-empty sets."""
+    n = bands * depth
+    samples = np.array([min_hashes(s, n) for s in sets], dtype=np.uint64).reshape(-1, n)
+    place = np.arange(n, dtype=np.uint64) << U(32)
     each = mix(samples | place)
-    bands = mix(np.bitwise_xor.reduce((each * U(3)).reshape(-1, BANDS, DEPTH), axis=2) + np.arange(BANDS, dtype=np.uint64))
+    keys = mix(np.bitwise_xor.reduce((each * U(3)).reshape(-1, bands, depth), axis=2) + np.arange(bands, dtype=np.uint64))
     bits = (each >> U(55)).astype(np.int64) + np.arange(len(sets))[:, None] * SKETCH_BITS
     odd = (np.bincount(bits.ravel(), minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8)
-    return bands, np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
+    return keys, np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
@@ -141,16 +172,21 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, x.shape[1]), pa.int32()), pa.array(flat))
 
 
-def _sketch(batches):
-    for batch in batches:
-        for s in range(0, batch.num_rows, 256):
-            part = batch.slice(s, 256)
-            sets = shingle_sets(part.column("text").to_pylist())
-            n = np.array([len(x) for x in sets])
-            some = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
-            bands, sketch = signatures(some)
-            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(bands), _lists(sketch)], names=["doc_id", "n", "digest", "bands", "sketch"])
+def _sketch(bands: int, depth: int):
+    """(doc_id, text) to the number of shingles, a digest of the set, its band keys and its sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                sets = shingle_sets(part.column("text").to_pylist())
+                n = np.array([len(x) for x in sets])
+                some = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+                keys, sketch = signatures(some, bands, depth)
+                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(keys), _lists(sketch)], names=["doc_id", "n", "digest", "bands", "sketch"])
+
+    return run
 
 
 SIGNATURE = "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"
@@ -176,7 +212,7 @@ def _verify(min_percent: int):
     return run
 
 
-def _close_members(min_percent: int):
+def _close_members(min_percent: int, limit: int):
     """Two blocks of a bucket to the members that some member of another component is close to, by sketch and size."""
 
     def run(batches):
@@ -186,7 +222,7 @@ def _close_members(min_percent: int):
                 ids, comps, sizes, sketches = zip(*(((f := x.values.field)("id").to_numpy(), f("component").to_numpy(), f("n").to_numpy(), f("sketch").flatten().to_numpy().view(np.uint64).reshape(len(x), -1)) for x in (a, b)), strict=True)
                 far = np.bitwise_count(sketches[0][:, None, :] ^ sketches[1][None, :, :]).sum(axis=2)
                 small, large = np.minimum(sizes[0][:, None], sizes[1]), np.maximum(sizes[0][:, None], sizes[1])
-                ok = (far <= SKETCH_LIMIT) & (comps[0][:, None] != comps[1]) & (100 * small >= min_percent * large)
+                ok = (far <= limit) & (comps[0][:, None] != comps[1]) & (100 * small >= min_percent * large)
                 found = np.unique(np.concatenate([ids[0][ok.any(axis=1)], ids[1][ok.any(axis=0)]]))
                 bucket.append(np.full(len(found), k))
                 member.append(found)
@@ -277,8 +313,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame
 def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bands, depth, limit = plan(min_percent)
     with arrow_rows(docs.sparkSession, 1000):
-        rows = materialize(docs.mapInArrow(_sketch, SIGNATURE), "signature")
+        rows = materialize(docs.mapInArrow(_sketch(bands, depth), SIGNATURE), "signature")
 
     # Classes of equal sets, each named by its smallest id.
     linked = rows.where("digest is not null and doc_id is not null")
@@ -291,7 +328,7 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
 
     # Buckets of two classes or more.
     keys = sketches.select("id", F.explode("bands").alias("bucket"))
-    bits = filter_bits(sketches.count() * BANDS, 8)
+    bits = filter_bits(sketches.count() * bands, 8)
     keys = materialize(test_filter(keys, "bucket", build_filter(keys, "bucket", bits, repeated=True), bits).where("maybe").drop("maybe"), "keys")
     heads = materialize(keys.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
     buckets = materialize(keys.join(heads, "bucket"), "buckets")
@@ -301,7 +338,7 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     of = lambda c: sides.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     tried = materialize(buckets.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), "tried")
     far = sum((F.bit_count(F.col("s_u")[i].bitwiseXOR(F.col("s_v")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("s_u")[0].bitwiseXOR(F.col("s_v")[0])))
-    close = tried.join(of("u"), "u").join(of("v"), "v").where((far <= SKETCH_LIMIT) & (100 * F.least("n_u", "n_v") >= min_percent * F.greatest("n_u", "n_v")))
+    close = tried.join(of("u"), "u").join(of("v"), "v").where((far <= limit) & (100 * F.least("n_u", "n_v") >= min_percent * F.greatest("n_u", "n_v")))
     links = _confirmed(docs, materialize(close.select("u", "v"), "close"), min_percent)
     comps = materialize(connected_components(links), "components")
 
@@ -310,7 +347,7 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     mixed = materialize(left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
     members = left.join(mixed, "bucket").join(sides, "id")
     with arrow_rows(docs.sparkSession, 32):
-        met = _block_pairs(members, ["id", "component", "n", "sketch"]).mapInArrow(_close_members(min_percent), "bucket long, id long")
+        met = _block_pairs(members, ["id", "component", "n", "sketch"]).mapInArrow(_close_members(min_percent, limit), "bucket long, id long")
         close = materialize(met.distinct(), "close")
     if not close.isEmpty():
         ids = materialize(close.select(F.col("id").alias("doc_id")).distinct(), "ids")
