@@ -7,9 +7,12 @@ q-gram hits are counted in diagonal bands of twice that width that overlap by
 half; bands that reach the count are verified by an alignment banded to the same
 diagonals, which gives the exact distance.
 
-Items longer than ``PASSAGE`` characters are cut into passages that overlap by
-half, so that a leaked part is found; shorter items are one passage. Items with
-under ``LEAST`` normalised characters say nothing about leakage and are left out.
+Every item is searched as one passage, or above ``PASSAGE`` characters as passages
+that overlap by half, and besides in short passages of ``LEAST`` characters, one
+each ``STRIDE``. So any leaked run of ``LEAST`` + ``STRIDE`` - 1 = 79 normalised
+characters (about 13 words) holds a short passage and is found if it is exact;
+a shorter run may be missed. Items under ``LEAST`` characters are
+found exactly, as whole words, however short they are.
 The passages' q-grams are read in blocks of at most ``BLOCK_GRAMS``, and the
 documents are scanned once for each block, so the index in a task is bounded.
 
@@ -33,7 +36,7 @@ from .hashing import Substrings, U
 GRAM = 10
 #: Edits allowed in a passage, as a share of its length.
 ERROR = 0.06
-LEAST, PASSAGE = 60, 400
+LEAST, STRIDE, PASSAGE = 60, 20, 400
 BLOCK_GRAMS = 2_000_000
 TABLE_BITS = 24
 PIECE = 1 << 18
@@ -76,8 +79,19 @@ def grams(code: np.ndarray, q: int = GRAM) -> np.ndarray:
 
 def budget(m: int, error: float = ERROR, q: int = GRAM) -> tuple[int, int]:
     """The edits allowed in a passage of length m, and the q-grams a region within them must share with it."""
-    edits = min(int(error * m), (m - q) // q)
-    return edits, m + 1 - q * (edits + 1)
+    edits = min(int(error * m), (m - q) // q) if m >= LEAST else 0
+    return edits, max(1, m + 1 - q * (edits + 1))
+
+
+def words(code: np.ndarray) -> list[tuple[str, int]]:
+    """The words of a normalised text, and where each ends."""
+    out, at = [], 0
+    for w in "".join(map(chr, code.tolist())).split(" "):
+        at += len(w)
+        if w:
+            out.append((w, at))
+        at += 1
+    return out
 
 
 class Passages:
@@ -87,6 +101,11 @@ class Passages:
         self.item = [r[0] for r in rows]
         self.start = [r[1] for r in rows]
         self.code = [r[2] for r in rows]
+        #: Passages without a q-gram, by their words.
+        self.tiny: dict[tuple[str, ...], list[int]] = {}
+        for p, c in enumerate(self.code):
+            if len(c) < GRAM:
+                self.tiny.setdefault(tuple(w for w, _ in words(c)), []).append(p)
         hashes = [grams(c) for c in self.code]
         owner = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if rows else np.zeros(0, np.int64)
@@ -138,10 +157,16 @@ def banded_distance(passage: np.ndarray, text: np.ndarray, low: int, high: int)
 
 def matches(code: np.ndarray, index: Passages, error: float = ERROR) -> list[tuple[int, int, int]]:
     """(passage, edits, end in the text) of each passage that some region matches, with its best region."""
+    found: dict[int, tuple[int, int]] = {}
+    if index.tiny:
+        text = words(code)
+        for n in {len(w) for w in index.tiny}:
+            for i in range(len(text) - n + 1):
+                for p in index.tiny.get(tuple(w for w, _ in text[i : i + n]), []):
+                    found.setdefault(p, (0, text[i + n - 1][1]))
     owner, place, at = index.hits(code)
     if not len(owner):
-        return []
-    found: dict[int, tuple[int, int]] = {}
+        return [(p, e, end) for p, (e, end) in sorted(found.items())]
     order = np.lexsort((at - place, owner))
     owner, diagonal = owner[order], (at - place)[order]
     for first, last in zip(np.flatnonzero(np.r_[True, np.diff(owner) != 0]), np.flatnonzero(np.r_[np.diff(owner) != 0, True]) + 1, strict=True):
@@ -150,6 +175,16 @@ def matches(code: np.ndarray, index: Passages, error: float = ERROR) -> list[tup
         if last - first < need:
             continue
         diag = diagonal[first:last]
+        # Diagonals that hold every q-gram: exact copies need no alignment.
+        some, hit = np.unique(diag, return_counts=True)
+        for b in some[hit == len(passage) + 1 - GRAM].tolist():
+            end = b + len(passage)
+            whole = len(passage) >= LEAST or ((b == 0 or code[b - 1] == 32) and (end == len(code) or code[end] == 32))
+            if whole and np.array_equal(code[b:end], passage):
+                found[p] = 0, end
+                break
+        if p in found or not edits:
+            continue
         # Bands [edits * k, edits * k + 2 * edits]: any ``edits`` + 1 diagonals in a row lie in one.
         step = edits + 1
         low = np.unique(np.concatenate([diag // step, diag // step - 1])) * step
@@ -167,10 +202,11 @@ def passages(item: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     code, _ = normalise(text)
     if len(code) and code[-1] == 32:
         code = code[:-1]
-    if len(code) < LEAST:
+    if not len(code):
         return []
     starts = [0] if len(code) <= PASSAGE else [*range(0, len(code) - PASSAGE, PASSAGE // 2), len(code) - PASSAGE]
-    return [(item, s, code[s : s + PASSAGE]) for s in starts]
+    short = [*range(0, len(code) - LEAST, STRIDE), len(code) - LEAST] if len(code) > LEAST else []
+    return [(item, s, code[s : s + PASSAGE]) for s in starts] + [(item, s, code[s : s + LEAST]) for s in short]
 
 
 SCHEMA = "doc_id long, item_id long, passage_start long, edits long, match_start long, match_end long"
@@ -197,14 +233,14 @@ def _scan(items: list[tuple[int, str]], error: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """One row per document and passage of ``benchmark`` in it: its place in the item and the text, and the edits.
 
-    ``match_start`` is the place as far back from the end as the passage is long.
+    A whole item's row and its short passages' have the same columns; ``match_start`` is the place as far back from the end as the passage is long.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") >= LEAST)
-    # Items fall into blocks by hash; a passage's grams count twice, as passages overlap by half.
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
+    # Items fall into blocks by hash; their grams count twice, as passages overlap by half, and once for each short passage over them.
     size = items.select("item_id", "text", F.length("text").alias("n"))
     total = size.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-2 * total // BLOCK_GRAMS))
+    blocks = max(1, -(-(2 + LEAST // STRIDE) * total // BLOCK_GRAMS))
     size = materialize(size.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
     out = None
     for b in range(blocks):
