@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, without_ids
+from .common import materialize
 from .hashing import Substrings, U
 
 GRAM = 10
@@ -230,29 +230,47 @@ def _scan(items: list[tuple[int, str]], error: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """One row per document and passage of ``benchmark`` in it: its place in the item and the text, and the edits.
+def _clean(items: list[tuple[int, str]], error: float):
+    """Rows with a column ``text`` to those that match no passage."""
 
-    A whole item's row and its short passages' have the same columns; ``match_start`` is the place as far back from the end as the passage is long.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def run(batches):
+        index = Passages([p for item, text in items for p in passages(item, text)])
+        for batch in batches:
+            yield batch.filter(pa.array([not (t and matches(normalise(t)[0], index, error)) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame):
+    """The items (item_id, text) of each block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
     # Items fall into blocks by hash; their grams count twice, as passages overlap by half, and once for each short passage over them.
     size = items.select("item_id", "text", F.length("text").alias("n"))
     total = size.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-(2 + LEAST // STRIDE) * total // BLOCK_GRAMS))
     size = materialize(size.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    out = None
     for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in size.where(F.col("block") == b).select("item_id", "text").collect()]
+        yield [(r.item_id, r.text) for r in size.where(F.col("block") == b).select("item_id", "text").collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
+    """One row per document and passage of ``benchmark`` in it: its place in the item and the text, and the edits.
+
+    A whole item's row and its short passages' have the same columns; ``match_start`` is the place as far back from the end as the passage is long.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for rows in _blocks(benchmark):
         found = docs.mapInArrow(_scan(rows, error), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
-    """``docs`` without the rows that hold a passage of ``benchmark``."""
-    return without_ids(docs, contaminated(docs, benchmark, error))
+    """``docs`` without the rows that hold a passage of ``benchmark``, each row by its own text whatever its id."""
+    for rows in _blocks(benchmark):
+        docs = docs.mapInArrow(_clean(rows, error), docs.schema)
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

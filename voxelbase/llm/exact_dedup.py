@@ -11,15 +11,19 @@ one; equal rows with the same id all say ``kept``. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, build_filter, filter_bits, materialize, test_filter, without_ids
+from .common import SPACES, build_filter, filter_bits, materialize, test_filter
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _sha(text: str) -> Column:
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
-    return docs.select(F.col(key).alias("doc_id"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("sha"))
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), _sha(text).alias("sha"))
 
 
 def exact_groups(docs: DataFrame, bits_per_row: int = 16) -> DataFrame:
@@ -35,8 +39,14 @@ def exact_groups(docs: DataFrame, bits_per_row: int = 16) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have an equal text with a smaller id."""
-    return without_ids(docs, exact_groups(docs).where("not kept"))
+    """``docs`` with one row of each text: the smallest id, null ids last, and of equal ids the smallest row."""
+    keyed = docs.withColumn("__sha", _sha("text"))
+    keys = materialize(keyed.select("__sha"), "digest")
+    bits = filter_bits(keys.count())
+    split = test_filter(keyed, "__sha", build_filter(keys, "__sha", bits, repeated=True), bits, "__maybe")
+    row = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", *(c for c in docs.columns if c != "doc_id"))
+    first = split.where("__maybe").groupBy("__sha").agg(F.min(row).alias("__first")).select(*(F.col("__first")[c].alias(c) for c in docs.columns))
+    return split.where("not __maybe").select(*docs.columns).unionByName(first)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

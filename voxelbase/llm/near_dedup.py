@@ -369,8 +369,18 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """``docs`` with the smallest id of each group of near copies only."""
-    return without_ids(docs, near_groups(docs, min_percent).where("not kept"))
+    """``docs`` with one row of each group of near copies: the smallest id, null ids last.
+
+    Rows are grouped by a number of their own, so null and shared ids decide nothing but the order.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = near_groups(rows.select(F.col("__row").alias("doc_id"), "text"), min_percent)
+    moved = materialize(groups.where("not kept").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")), "moved")
+    members = materialize(moved.unionByName(moved.select(F.col("component").alias("__row"), "component").distinct()), "members")
+    ids = only_ids(rows.select("__row", "doc_id"), members.select("__row"), "__row").join(members, "__row")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    keep = materialize(first.select("first.__row"), "keep")
+    return without_ids(rows, without_ids(members, keep, "__row"), "__row").select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
