@@ -11,6 +11,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,16 @@ from pyspark.sql import functions as F
 BLOCK_BITS = 32768
 #: Largest filter that is broadcast, in bits (32 MB); a fuller filter lets more rows through.
 MAX_FILTER_BITS = 1 << 28
+#: Slots that a task holds before it sends them off.
+BUFFER_SLOTS = 1 << 22
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none (tests)."""
+    """The shared folder; one of this machine only where the session names none and runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxelbase-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -71,34 +77,105 @@ def filter_bits(rows: int, per_row: int = 16, most: int = MAX_FILTER_BITS) -> in
 
 
 def _slots(key: Column, bits: int) -> list[Column]:
+    """Two places of one block of the filter."""
     h = F.xxhash64(key)
-    return [F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h, F.lit(1)), F.lit(bits))]
+    block = F.floor(F.pmod(h, F.lit(bits)) / BLOCK_BITS) * BLOCK_BITS
+    return [F.pmod(h, F.lit(bits)), block + F.pmod(F.xxhash64(h, F.lit(1)), F.lit(BLOCK_BITS))]
+
+
+def _task_slots(batches):
+    """The slots that this task's rows hit, by block: once at least and twice at least, as sorted lists, or bitmaps where those are shorter.
+
+    A task gives off what it has after ``BUFFER_SLOTS`` slots, so its memory is bounded; a slot hit in two portions counts as hit twice when they meet.
+    """
+    held, size = [], 0
+
+    def portion():
+        slots = np.sort(np.concatenate(held))
+        once = slots[np.r_[True, slots[1:] != slots[:-1]]]
+        twice = slots[1:][slots[1:] == slots[:-1]]
+        twice = twice[np.r_[True, twice[1:] != twice[:-1]]] if len(twice) else twice
+        blocks = np.unique(once // BLOCK_BITS)
+        cut = lambda x: np.split(x, np.searchsorted(x, blocks[1:] * BLOCK_BITS))
+        packed = [[_pack(x - b * BLOCK_BITS) for b, x in zip(blocks, cut(y), strict=True)] for y in (once, twice)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "once", "twice"])
+
+    for batch in batches:
+        held += [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)]
+        size += batch.num_columns * batch.num_rows
+        if size >= BUFFER_SLOTS:
+            yield portion()
+            held, size = [], 0
+    if size:
+        yield portion()
+
+
+def _pack(slots: np.ndarray) -> bytes:
+    """Places in one block: two bytes each, or the whole bitmap where that is shorter."""
+    if 2 * len(slots) < BLOCK_BITS // 8:
+        return slots.astype("<u2").tobytes()
+    return np.packbits(np.bincount(slots, minlength=BLOCK_BITS).astype(bool), bitorder="little").tobytes()
+
+
+def _places(packed: bytes) -> np.ndarray:
+    if len(packed) < BLOCK_BITS // 8:
+        return np.frombuffer(packed, dtype="<u2").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little"))
+
+
+def _merge(repeated: bool):
+    def run(key, table):
+        hits = np.zeros(BLOCK_BITS, dtype=np.uint8)
+        for name in ("once", "twice"):
+            for packed in table.column(name):
+                hits[_places(packed.as_py())] = np.minimum(hits[_places(packed.as_py())] + 1, 2) if name == "once" else 2
+        bitmap = np.packbits(hits > repeated, bitorder="little").tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bitmap": pa.array([bitmap], pa.binary())})
+
+    return run
 
 
 def build_filter(rows: DataFrame, key: str, bits: int, repeated: bool = False) -> DataFrame:
-    """A Bloom filter of two probes as a table (block, bitmap) of at most bits / 8 bytes.
+    """A Bloom filter of two probes as a written table (block, bitmap) of at most bits / 8 bytes.
 
     ``repeated``: only slots that two rows or more have hit are set, so the filter
-    answers "may occur again" instead of "may occur".
+    answers "may occur again" instead of "may occur". Rows don't shuffle: each
+    task sends the places its rows hit, two bytes each at most, to their block.
     """
-    slots = rows.select(F.explode(F.array(*_slots(F.col(key), bits))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    if repeated:
-        slots = slots.where("n > 1")
-    return slots.groupBy(F.expr(f"slot div {BLOCK_BITS}").alias("block")).agg(F.expr(f"bitmap_construct_agg(slot % {BLOCK_BITS})").alias("bitmap"))
+    slots = rows.select(*(s.alias(f"s{i}") for i, s in enumerate(_slots(F.col(key), bits))))
+    parts = slots.mapInArrow(_task_slots, "block long, once binary, twice binary")
+    return materialize(parts.groupBy("block").applyInArrow(_merge(repeated), "block long, bitmap binary"), "filter")
 
 
 def test_filter(rows: DataFrame, key: str, table: DataFrame, bits: int, out: str = "maybe") -> DataFrame:
-    """Add the boolean column ``out``: whether the filter may hold the row's key. No shuffle of rows."""
+    """Add the boolean column ``out``: whether the filter may hold the row's key. No shuffle of rows.
+
+    Both probes lie in one block, so one join with the broadcast filter answers.
+    """
     names = rows.columns
+    slots = _slots(F.col(key), bits)
+    block = F.broadcast(table.select(F.col("block").alias("__block"), F.col("bitmap").alias("__bitmap")))  # MAX_FILTER_BITS / 8 bytes at most
+    rows = rows.withColumns({f"__s{i}": s for i, s in enumerate(slots)}).join(block, F.expr(f"__s0 div {BLOCK_BITS} = __block"), "left")
     found = F.lit(True)
-    for i, slot in enumerate(_slots(F.col(key), bits)):
-        block = F.broadcast(table.select(F.col("block").alias(f"__b{i}"), F.col("bitmap").alias(f"__m{i}")))
-        rows = rows.withColumn(f"__s{i}", slot).join(block, F.expr(f"__s{i} div {BLOCK_BITS} = __b{i}"), "left")
-        byte = f"conv(hex(substring(__m{i}, cast((__s{i} % {BLOCK_BITS}) div 8 as int) + 1, 1)), 16, 10)"
+    for i in range(len(slots)):
+        byte = f"conv(hex(substring(__bitmap, cast((__s{i} % {BLOCK_BITS}) div 8 as int) + 1, 1)), 16, 10)"
         found = found & F.coalesce(F.expr(f"(shiftright(cast({byte} as int), cast(__s{i} % 8 as int)) & 1) = 1"), F.lit(False))
     return rows.select(*(F.col(f"`{c}`") for c in names), found.alias(out))
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``table`` (one row a key, ``n``: rows of that key), hot keys without a shuffle.
+
+    A key is hot if it has more than a quarter of a task's even share, so at most four
+    times the number of shuffle partitions are hot: these alone are broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = total / (4 * parts)
+    hot = F.broadcast(table.where(F.col(n) > limit))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def without_ids(docs: DataFrame, drop: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose key is in ``drop``; null keys stay.
 
