@@ -5,23 +5,28 @@ digest is the SHA-256 of its bytes with runs of blanks made one space, which
 these tokenizers' pre-tokenisers treat alike. Texts join the cache; one row of
 each digest that is missing is encoded, and its count is appended.
 
-Encoding works on the words between blanks: no token of the supported files
-spans a blank, so a text's count is the sum over its words, and a bounded
-dictionary in each task keeps the words' counts as the library gave them.
+Encoding works on the words between blanks where the tokenizer's own file says
+that no token spans a blank: a text's count is then the sum over its words, and a
+bounded dictionary in each task keeps the words' counts as the library gave them.
+Texts go whole to the library under any other tokenizer.
 
 Null texts count as empty: 0 tokens. Special strings are recognised as the
-library does by default. An empty table gives no rows.
+library does by default. Texts of any length are counted whole; equal texts share
+one row of the cache, whatever their ids, and repeated rows each get their row.
+Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, build_filter, filter_bits, materialize, scratch_path, test_filter
+from .common import SPACES, build_filter, filter_bits, join_spread, materialize, scratch_root, test_filter
 
 TOKEN_LIMIT = 2048
 #: Words whose counts a task remembers before it starts afresh.
@@ -34,6 +39,18 @@ def tokenizer_digest(path: str) -> bytes:
         return hashlib.file_digest(f, "sha256").digest()
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether the file's pre-tokeniser drops blanks before anything else, so that words are encoded one by one."""
+    with open(path) as f:
+        spec = json.load(f)
+    chain = lambda part, inner: [] if part is None else [x for p in part[inner] for x in chain(p, inner)] if part["type"] == "Sequence" else [part]
+    first = next(iter(chain(spec.get("pre_tokenizer"), "pretokenizers")), {"type": ""})
+    pattern = first.get("pattern", {}).get("Regex", " ")
+    words_only = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and not re.search(r"[ .]|\\[WDSPb]|(?<!\^)\\s|\(\?", pattern)
+    lone = all(p["type"] in ("NFC", "Lowercase") or (p["type"] == "Replace" and p["pattern"] == {"Regex": "\\s+"} and p["content"] == " ") for p in chain(spec.get("normalizer"), "normalizers"))
+    return lone and (words_only or first["type"] == "WhitespaceSplit") and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"])
+
+
 def word_counter(path: str, words_kept: int = WORDS_KEPT):
     """A function from a text to its number of tokens."""
     import os
@@ -44,6 +61,8 @@ def word_counter(path: str, words_kept: int = WORDS_KEPT):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    if not splits_at_blanks(path):
+        return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
     known: dict[bytes, int] = {}
 
     def count(text: str) -> int:
@@ -76,23 +95,28 @@ def count_tokens(docs: DataFrame, path: str, cache: str) -> DataFrame:
     spark = docs.sparkSession
     version = tokenizer_digest(path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(F.regexp_replace(text, SPACES, " ").cast("binary"), 256)).alias("digest"))
+    own = F.regexp_replace(text, SPACES, " ") if splits_at_blanks(path) else text
+    docs = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(own.cast("binary"), 256)).alias("digest"))
     keys = materialize(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "token-key")
+    total = keys.count()
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == F.lit(version)).select("digest", "n_tokens")
+    # Of what is stored, this run's digests alone go further; a filter leaves most others out before the shuffle.
+    bits = filter_bits(total)
+    mine = test_filter(spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == F.lit(version)), "digest", build_filter(keys, "digest", bits), bits).where("maybe")
+    stored = materialize(mine.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "stored")
     # Texts that the filter finds neither stored nor repeated are encoded where they are read.
-    bits = filter_bits(keys.count())
-    taken = build_filter(keys.select("digest").unionByName(stored().join(keys.select("digest").distinct(), "digest", "left_semi").select("digest")), "digest", bits, repeated=True)
+    taken = build_filter(keys.select("digest").unionByName(stored.select("digest")), "digest", bits, repeated=True)
     split = test_filter(docs.select("digest", "text"), "digest", taken, bits)
-    again = split.where("maybe").join(stored(), "digest", "left_anti").dropDuplicates(["digest"])
-    missing = encode(split.where("not maybe").drop("maybe").unionByName(again.drop("maybe")), path)
+    again = split.where("maybe").join(stored, "digest", "left_anti").dropDuplicates(["digest"])
+    missing = materialize(encode(split.where("not maybe").drop("maybe").unionByName(again.drop("maybe")), path), "missing")
     missing.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored.unionByName(missing)
+    sizes = materialize(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).join(counts, "digest"), "counts")
+    return join_spread(keys, sizes, "digest", "copies", total).select("doc_id", "n_bytes", "n_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counted = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache"))
+    counted = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), f"{scratch_root(spark)}/token-cache")
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
