@@ -16,7 +16,11 @@ of at most ``LOSS`` for want of a shared band, and of at most ``LOSS`` by its sk
 
 Null or blank texts have the empty set: n_shingles 0, no link, kept. Rows
 without an id get no component and are kept. Rows that share an id are one
-document, linked if any of its texts is. An empty table gives no rows.
+document, linked if any of its texts is; repeated rows each get their row. Texts
+of any length are read whole, piece by piece. Ties: the smallest id names a
+component. Columns other than doc_id and text are not read by ``near_groups``;
+``drop_near_copies`` returns them whatever their names (those that start with two
+underscores are its own). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, build_filter, connected_components, filter_bits, materialize, only_ids, test_filter, without_ids
+from .common import arrow_rows, build_filter, connected_components, filter_bits, join_spread, materialize, only_ids, test_filter, without_ids
 from .hashing import Substrings, U, mix
 
 WORDS = 5
@@ -293,13 +297,23 @@ def _shingles(batches):
 
 
 def _block_pairs(members: DataFrame, columns: list[str]) -> DataFrame:
-    """Members of each bucket in blocks of bounded size, and every two blocks of a bucket as one row."""
-    size = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    rows = members.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    """Members of each bucket in blocks of bounded size, and every two blocks of a bucket as one row.
+
+    Rows meet by (bucket, block), so a large bucket's blocks and pairs spread over many tasks.
+    """
+    members = materialize(members, "members")
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    size = materialize(size, "bucket-size")
+    rows = join_spread(members, size, "bucket", "in_bucket", members.count()).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     blocks = materialize(rows.groupBy("bucket", "part").agg(F.collect_list(F.struct(*columns)).alias("rows")), "blocks")
-    one = blocks.select("bucket", F.col("part").alias("p"), F.col("rows").alias("a"))
-    two = blocks.select("bucket", F.col("part").alias("q"), F.col("rows").alias("b"))
-    return one.join(two, "bucket").where("p <= q").select("bucket", "a", "b", (F.col("p") == F.col("q")).alias("same"))
+    here = blocks.select("bucket", "part")
+    some = size.where("parts > 1").select("bucket", "parts")
+    pairs = here.join(some, "bucket").select("bucket", F.col("part").alias("p"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("q"))
+    one = here.join(some, "bucket", "left_anti").select("bucket", F.col("part").alias("p"), F.col("part").alias("q"))
+    pairs = materialize(pairs.unionByName(one), "pairs")
+    side = lambda p, x: blocks.select("bucket", F.col("part").alias(p), F.col("rows").alias(x))
+    met = pairs.join(side("p", "a"), ["bucket", "p"]).join(side("q", "b"), ["bucket", "q"])
+    return met.select("bucket", "a", "b", (F.col("p") == F.col("q")).alias("same"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame:
@@ -322,8 +336,8 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     bits = filter_bits(rows.count())
     split = test_filter(linked.select("doc_id", "n", "digest"), "digest", build_filter(linked, "digest", bits, repeated=True), bits)
     again = materialize(split.where("maybe").select("doc_id", "digest"), "again")
-    classes = materialize(again.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    copies = materialize(again.join(classes, "digest").select("doc_id", "rep").where("doc_id <> rep"), "copies")
+    classes = materialize(again.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    copies = materialize(join_spread(again, classes, "digest", "copies", again.count()).select("doc_id", "rep").where("doc_id <> rep"), "copies")
     sketches = materialize(without_ids(linked, copies).select(F.col("doc_id").alias("id"), "n", "sketch", "bands"), "sketches")
 
     # Buckets of two classes or more.
@@ -331,7 +345,7 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     bits = filter_bits(sketches.count() * bands, 8)
     keys = materialize(test_filter(keys, "bucket", build_filter(keys, "bucket", bits, repeated=True), bits).where("maybe").drop("maybe"), "keys")
     heads = materialize(keys.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
-    buckets = materialize(keys.join(heads, "bucket"), "buckets")
+    buckets = materialize(join_spread(keys, heads, "bucket", "members", keys.count()), "buckets")
     sides = sketches.select("id", "n", "sketch")
 
     # Pass one: members and the head of their bucket.
@@ -344,8 +358,9 @@ def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
 
     # Pass two: buckets that still span components.
     left = materialize(buckets.where("members > 2").select("bucket", "id", "members").join(comps, "id", "left").select("bucket", "id", "members", F.coalesce("component", "id").alias("component")), "left")
-    mixed = materialize(left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
-    members = left.join(mixed, "bucket").join(sides, "id")
+    mixed = left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
+    mixed = materialize(mixed.select("bucket", "rows"), "mixed")
+    members = join_spread(left, mixed, "bucket", "rows", left.count()).drop("rows").join(sides, "id")
     with arrow_rows(docs.sparkSession, 32):
         met = _block_pairs(members, ["id", "component", "n", "sketch"]).mapInArrow(_close_members(min_percent, limit), "bucket long, id long")
         close = materialize(met.distinct(), "close")
