@@ -10,8 +10,10 @@ Of records with equal payloads of at least ``least`` bytes the one with the
 smallest page_id is the response and the others are revisits of it; shorter
 payloads are always responses. Null html is an empty payload, a null url an
 empty target. Rows without page_id are never chosen before rows with one;
-equal page_ids with equal payloads share one type. An empty table gives an
-archive without records.
+equal page_ids with equal payloads share one type (the tie leaves both as the
+response), and repeated rows are records of their own. Payloads of any length are
+stored whole. Columns other than page_id, url and html are not read. An empty
+table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import build_filter, filter_bits, materialize, scratch_path, test_filter
+from .common import build_filter, filter_bits, join_spread, materialize, scratch_path, test_filter
 
 LEAST_REVISIT_BYTES = 100
 CRLF = "\r\n"
@@ -98,19 +100,27 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     fault = F.raise_error(F.concat(F.lit("stored payload does not match digest "), F.hex("digest")))
     payloads = read_payloads(spark, path)
     payloads = payloads.select("digest", "payload", F.when(F.col("sound"), F.col("payload_bytes")).otherwise(fault.cast("long")).alias("payload_bytes"))
-    return read_headers(spark, path).join(payloads, "digest")
+    # A payload that many records share goes to them by broadcast, its bytes never to one task with all its records.
+    headers = materialize(read_headers(spark, path), "headers")
+    uses = materialize(headers.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    return join_spread(headers, payloads.join(uses, "digest"), "digest", "uses", headers.count()).drop("uses")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """page_id and the record's exact bytes: header block, stored payload, two line ends."""
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records(spark, path).select("page_id", F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    rows = records(spark, path)
+    return rows.select("page_id", F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"), *(c for c in rows.columns if c not in ("page_id", "payload")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # The rebuilt record itself is checked: its own length and its header's must agree.
+    rows = reconstruct(spark, path)
+    whole = F.octet_length("record") == F.octet_length("header") + F.col("stored_bytes") + 4
+    fault = F.raise_error(F.concat(F.lit("record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" has the wrong length")))
+    return rows.select("page_id", F.when(whole, F.col("payload_bytes")).otherwise(fault.cast("long")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
