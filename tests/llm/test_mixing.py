@@ -73,3 +73,54 @@ def test_edges(spark):
     assert M.mix(df.limit(0)).count() == 0
     assert [r.n_tokens for r in df.select(M.word_count().alias("n_tokens")).collect()] == [0, 0, 2, 1, 1]
     assert M.mix(df.where("doc_id < 3")).count() == 2
+
+
+@pytest.mark.parametrize("budget", [None, 700, 20_000])
+def test_matches_brute_force(spark, budget):
+    """Copies of every document against epochs and blocks walked one after another; draws are the operator's own hashes."""
+    from pyspark.sql import functions as F
+
+    df = table(spark, {"a": 400, "b": 60, "c": 9, None: 5})
+    rows = M.mix(df, repeats=3.0, budget=budget, block_tokens=100).collect()
+    got, weight = {r.doc_id: r.copies for r in rows}, {r.source: r.weight for r in rows}
+    docs = df.select("doc_id", "source", M.word_count().alias("n"), M._order(M.SEED).alias("key")).collect()
+    own = defaultdict(int)
+    for r in docs:
+        own[r.source] += r.n
+    total = sum(own.values())
+    a = M.temperature(spark.createDataFrame([(n / total,) for n in own.values()], "share double"), None, 3.0)
+    power = {s: (n / total) ** a for s, n in own.items()}
+    for s in weight:
+        assert math.isclose(weight[s], power[s] / sum(power.values()), rel_tol=1e-9)
+    spend = budget if budget else max(own[s] / power[s] for s in own) * sum(power.values())
+    want = {}
+    turns = {(r.source, r.block): r.turn for r in spark.createDataFrame([(s, b) for s in own for b in range(60)], "source string, block long").withColumn("turn", M._turn(M.SEED)).collect()}
+    for s, n in own.items():
+        quota = round(spend * power[s] / sum(power.values()))
+        epochs, rest = divmod(quota, n)
+        blocks = defaultdict(list)
+        for r in docs:
+            if r.source == s:
+                blocks[r.key % -(-n // 100)].append(r)
+                want[r.doc_id] = epochs
+        for b in sorted(blocks, key=lambda b: (turns[s, b], b)):
+            size = sum(r.n for r in blocks[b])
+            for r in sorted(blocks[b], key=lambda r: (r.key, r.doc_id)):
+                if r.n > rest:
+                    break
+                rest -= r.n
+                want[r.doc_id] += 1
+            else:
+                continue
+            break
+    assert got == {d: c for d, c in want.items() if c}
+
+
+def test_documents_keep_their_columns_and_texts(spark):
+    df = table(spark, {"a": 30, "b": 3}).selectExpr("*", "doc_id AS block", "doc_id * 2 AS key", "source AS name", "array(doc_id) AS copies")
+    rows = M.with_copies(df, repeats=2.0, block_tokens=20)
+    assert rows.columns == ["doc_id", "text", "source", "key", "name", "n_tokens", "copies", "weight", "block"]
+    whole = {r.doc_id: r for r in df.collect()}
+    assert all(r.text == whole[r.doc_id].text and r.key == 2 * r.doc_id for r in rows.collect()) and rows.count() == 33
+    counted = M.with_copies(df.withColumn("t", df.doc_id * 0 + 7), repeats=2.0, tokens="t").collect()
+    assert {r.n_tokens for r in counted} == {7}

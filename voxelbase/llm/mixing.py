@@ -18,9 +18,12 @@ least once, so no document is lost; a given budget may leave documents out, whic
 is the point of it.
 
 A null source is a source of its own; null and empty texts have no tokens and
-come along with their source's whole epochs. Equal rows (by id and text) are
-ordered by a hash of id and text and are otherwise treated as one row each.
-An empty table gives no rows. DataFrame functions only.
+come along with their source's whole epochs. Equal rows (by id and text) have one
+key and are taken or left together; of rows with one key a smaller id comes first,
+a null id before all. Texts of any length count whole; words stand in for tokens
+unless a column of token counts is named. Other columns pass through
+``with_copies`` whatever their names. An empty table gives no rows. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .common import materialize
 
 #: Production parameters: repeats allowed, tokens in a block, halvings of the bisection and how many a job does.
 REPEATS, BLOCK_TOKENS, STEPS, LEVELS, SEED = 4.0, 1_000_000, 40, 4, 17
+#: Sources whose plan is broadcast; running sums over blocks go by 2^RANGE_BITS ranges of their draw.
+MOST_SOURCES, RANGE_BITS, LOW = 100_000, 8, -(2**63)
 
 
 def word_count(text: str = "text"):
@@ -78,15 +83,22 @@ def temperature(shares: DataFrame, entropy: float | None = None, repeats: float
     return low if entropy is not None else high
 
 
-def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """Per selected document: doc_id, source, n_tokens, copies, weight (of its source), block, position (of the block in its source's permutation)."""
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = materialize(docs.select("doc_id", "source", word_count().alias("n_tokens"), order.alias("key")), "mix")
-    sources = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
+def _order(seed: int):
+    """The keyed order of documents inside their block, and their block's draw."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _turn(seed: int):
+    """A block's place in its source's permutation is the rank of this draw."""
+    return F.xxhash64(F.lit(seed + 1), "source", "block")
+
+
+def plan_sources(rows: DataFrame, entropy: float | None, repeats: float | None, budget: int | None, block_tokens: int) -> DataFrame | None:
+    """Per source of (source, n_tokens): weight, epochs, rest (tokens of its last epoch) and blocks; None where no row has a token."""
+    sources = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0]
-    if not total:  # no row, or no token in any
-        share = sources.agg(F.count(F.lit(1))).first()[0] or 1
-        return rows.select("doc_id", "source", "n_tokens", F.lit(1).cast("long").alias("copies"), F.lit(1.0 / share).alias("weight"), F.lit(0).cast("long").alias("block"), F.lit(1).alias("position"))
+    if not total:
+        return None
     some = sources.where("tokens > 0").select((F.col("tokens") / F.lit(total)).alias("share"))
     alpha = temperature(some, entropy, repeats)
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(total), F.lit(alpha))).otherwise(0.0)
@@ -97,26 +109,92 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = R
     sources = sources.withColumn("weight", power / F.lit(norm)).withColumn("quota", quota)
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1))
     sources = sources.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
-    sources = materialize(sources.withColumn("blocks", F.ceil(F.greatest(F.col("tokens"), F.lit(1)) / F.lit(block_tokens)).cast("long")), "sources")
-
-    rows = rows.withColumnRenamed("source", "name").join(sources.select(F.col("source").alias("__s"), "weight", "epochs", "rest", "blocks"), F.col("name").eqNullSafe(F.col("__s")))
-    rows = materialize(rows.withColumn("block", F.pmod("key", "blocks")).select("doc_id", F.col("name").alias("source"), "n_tokens", "key", "weight", "epochs", "rest", "block"), "mix")
-
-    # The last epoch's permutation of blocks, and the tokens before each.
-    sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
-    turn = F.xxhash64(F.lit(seed + 1), "source", "block")
-    walk = Window.partitionBy("source").orderBy(turn, "block")
-    sums = sums.withColumn("position", F.row_number().over(walk)).withColumn("before", F.sum("sum").over(walk.rowsBetween(Window.unboundedPreceding, -1)))
-    left = F.col("rest") - F.coalesce("before", F.lit(0))
-    sums = sums.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "position", F.greatest(left, F.lit(0)).alias("left"), (left >= F.col("sum")).alias("all"))
-    sums = materialize(sums, "blocks")
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
-    cut = materialize(rows.where("not all and left > 0"), "cut")
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("extra", (F.sum("n_tokens").over(inside) <= F.col("left")).cast("long"))
-    rest = rows.where("all or left <= 0").withColumn("extra", (F.col("all") & (F.col("rest") > 0)).cast("long"))
-    out = rest.unionByName(cut).withColumn("copies", F.col("epochs") + F.col("extra"))
-    return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies", "weight", "block", "position")
+    return materialize(sources.withColumn("blocks", F.ceil(F.greatest(F.col("tokens"), F.lit(1)) / F.lit(block_tokens)).cast("long")), "sources")
+
+
+def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with their source's columns; the sources are broadcast where they are ``MOST_SOURCES`` at most."""
+    table = sources.withColumnRenamed("source", "__s")
+    table = F.broadcast(table) if table.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else table
+    return rows.join(table, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+
+
+def walk_blocks(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """(source, block, turn, position, left): each block's place in its source's permutation, and the tokens left for it.
+
+    Running sums in two levels: ranges of the draw first, then inside each range, so
+    that no task holds all blocks of a large source.
+    """
+    keyed = _with_sources(rows, sources).withColumn("block", F.pmod("key", "blocks"))
+    sums = keyed.groupBy("source", "block").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
+    sums = materialize(sums.withColumn("turn", _turn(seed)).withColumn("range", F.shiftright("turn", 64 - RANGE_BITS)), "blocks")
+    ranges = sums.groupBy("source", "range").agg(F.sum("sum").alias("all_tokens"), F.count(F.lit(1)).alias("all_blocks"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 2^RANGE_BITS rows at most
+    ranges = ranges.select(F.col("source").alias("__s"), F.col("range").alias("__r"), F.coalesce(F.sum("all_tokens").over(earlier), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("all_blocks").over(earlier), F.lit(0)).alias("blocks_before"))
+    rows = sums.join(ranges, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
+    inside = Window.partitionBy("source", "range").orderBy("turn", "block")
+    position = F.col("blocks_before") + F.row_number().over(inside)
+    before = F.col("tokens_before") + F.coalesce(F.sum("sum").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("rest") - before
+    return materialize(rows.select("source", "block", "turn", position.cast("int").alias("position"), "sum", left.alias("left")), "blocks")
+
+
+def _cut(rows: DataFrame, walked: DataFrame, seed: int) -> DataFrame:
+    """Per source the block that its last epoch cuts, and the last document taken from it: (source, cut_turn, cut_block, cut_key, cut_id).
+
+    Sources whose rest ends between blocks have their first untaken block and no document of it.
+    """
+    end = walked.where("left < sum").groupBy("source").agg(F.min(F.struct("position", "turn", "block", "left")).alias("c"))
+    end = end.select(F.col("source").alias("__s"), F.col("c.turn").alias("cut_turn"), F.col("c.block").alias("cut_block"), F.col("c.left").alias("left"))
+    inside = rows.join(F.broadcast(end) if end.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else end, F.col("source").eqNullSafe(F.col("__s")))
+    inside = inside.where((F.pmod("key", "blocks") == F.col("cut_block")) & (F.col("left") > 0)).select("source", "key", "doc_id", "n_tokens", "left")
+    walk = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # one block of each source
+    taken = inside.withColumn("used", F.sum("n_tokens").over(walk)).where("used <= left")
+    last = taken.groupBy("source").agg(F.max(F.struct("key", F.coalesce("doc_id", F.lit(LOW)).alias("id"))).alias("l"))
+    out = end.drop("left").join(last.withColumnRenamed("source", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
+    return materialize(out.select(F.col("__s").alias("source"), "cut_turn", "cut_block", F.col("l.key").alias("cut_key"), F.col("l.id").alias("cut_id")), "cuts")
+
+
+def with_copies(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None) -> DataFrame:
+    """``docs`` with copies (how often the row is taken), weight (of its source), n_tokens and block; rows taken never stay out.
+
+    Texts don't shuffle: a row finds from its own key and its source's plan whether
+    the last epoch takes it. ``tokens`` names a column of token counts; without it
+    words are counted. Columns of these names are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("copies", "weight", "n_tokens", "block")]
+    count = (F.col(tokens) if tokens else word_count()).cast("long")
+    keyed = docs.select(*(F.col(f"`{c}`") for c in names), count.alias("__tokens"), _order(seed).alias("__key"))
+    rows = materialize(keyed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__key").alias("key")), "mix")
+    sources = plan_sources(rows, entropy, repeats, budget, block_tokens)
+    out = [F.col(f"`{c}`") for c in names] + [F.col("__tokens").alias("n_tokens")]
+    if sources is None:
+        share = rows.select("source").distinct().count() or 1
+        return keyed.select(*out, F.lit(1).cast("long").alias("copies"), F.lit(1.0 / share).alias("weight"), F.lit(0).cast("long").alias("block"))
+    cuts = _cut(_with_sources(rows, sources.select("source", "blocks")), walk_blocks(rows, sources, seed), seed).withColumnRenamed("source", "__t")
+    plan = sources.join(cuts, F.col("source").eqNullSafe(F.col("__t")), "left")
+    plan = materialize(plan.select("source", *(F.col(c).alias(f"__{c}") for c in ("weight", "epochs", "rest", "blocks", "cut_turn", "cut_block", "cut_key", "cut_id"))), "plan")
+    rows = _with_sources(keyed, plan).withColumn("__block", F.pmod("__key", "__blocks"))
+    turn = F.xxhash64(F.lit(seed + 1), "source", "__block")
+    whole = F.col("__cut_turn").isNull() | (turn < F.col("__cut_turn")) | ((turn == F.col("__cut_turn")) & (F.col("__block") < F.col("__cut_block")))
+    before = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.coalesce("doc_id", F.lit(LOW)) <= F.col("__cut_id")))
+    part = (F.col("__block") == F.col("__cut_block")) & F.coalesce(before, F.lit(False))
+    extra = ((F.col("__rest") > 0) & (whole | part)).cast("long")
+    return rows.select(*out, (F.col("__epochs") + extra).alias("copies"), F.col("__weight").alias("weight"), F.col("__block").alias("block")).where("copies > 0")
+
+
+def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None) -> DataFrame:
+    """Per selected document: doc_id, source, n_tokens, copies, weight (of its source), block, position (of the block in its source's permutation)."""
+    keyed = materialize(with_copies(docs, entropy, repeats, budget, block_tokens, seed, tokens).select("doc_id", "source", "n_tokens", "copies", "weight", "block"), "mix")
+    # Positions number the blocks that some selected document is in, in the order of their draw.
+    blocks = keyed.select("source", "block").distinct().withColumn("turn", _turn(seed)).withColumn("range", F.shiftright("turn", 64 - RANGE_BITS))
+    blocks = materialize(blocks, "blocks")
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("__s"), F.col("range").alias("__r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "range").orderBy("turn", "block")
+    blocks = blocks.join(ranges, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
+    blocks = materialize(blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), (F.col("before") + F.row_number().over(inside)).cast("int").alias("position")), "positions")
+    return keyed.join(blocks, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
