@@ -31,3 +31,52 @@ def test_all_pages_once_and_empty_tables(spark):
     assert (rows.lang == rows.text_lang).mean() > 0.9
     assert L.identify(pages.limit(0), docs).count() == 0
     assert L.identify(pages, docs.limit(0)).where("lang is null").count() == len(rows)
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+
+    t = time.time()
+    for page in ("<script>" * 130_000, "<!--" * 250_000, "<" * 1_000_000, "<style " * 140_000, "&" * 1_000_000):
+        L.visible(page)
+    assert time.time() - t < 10
+    assert L.visible("a<b>c</b><script>x<y</script >d<!-- e --> f &amp; g <br") == "a c  d  f   g <br"
+
+
+def test_posteriors_match_one_by_one(spark):
+    """Every page's posterior from the stated formula, page by page."""
+    import re
+    from collections import defaultdict
+
+    import numpy as np
+
+    pages, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "documents"))
+    langs, table = L.fit(docs)
+    n, rows = len(langs), []
+    for p in pages.collect():
+        m = re.match(L.HOST, p.url or "")
+        host = m[1].lower() if m else ""
+        tag = re.search(L.HTML_TAG, p.html or "")
+        d = re.search(L.DECLARED, tag[0]) if tag else None
+        counts = np.bincount(L.trigrams(L.visible(p.html)), minlength=table.shape[1])
+        ll = table.astype(float) @ counts * L.TEMPER
+        ll = np.maximum(ll - ll.max(), -L.MOST_EVIDENCE)
+        d = d[1].lower() if d else None
+        rows.append((p.page_id, host, host.rsplit(".", 1)[-1], langs.index(d) + 1 if d in langs else 0, ll, np.exp(ll) / np.exp(ll).sum()))
+    said, by_host, by_suffix, pages_of, suffixes = defaultdict(lambda: np.zeros(n)), defaultdict(lambda: np.zeros(n)), defaultdict(lambda: np.zeros(n)), defaultdict(int), defaultdict(int)
+    for _, h, s, d, _, post in rows:
+        said[d] += post
+        by_host[h] += post
+        by_suffix[s] += post
+        pages_of[h] += 1
+        suffixes[s] += 1
+    every = sum(said.values()) + 1
+    world = every / every.sum()
+    got = {r.page_id: r for r in L.identify(pages, docs).collect()}
+    for page, h, s, d, ll, post in rows:
+        agree = 0 if not d else np.log((said[d] + L.SMOOTH_DECLARED * (0.5 / n + 0.5 * (np.arange(n) == d - 1))) / (every + L.SMOOTH_DECLARED))
+        suffix = (np.maximum(by_suffix[s] - post, 0) + L.SMOOTH_SUFFIX * world) / (suffixes[s] - 1 + L.SMOOTH_SUFFIX)
+        prior = (np.maximum(by_host[h] - post, 0) + L.SMOOTH_HOST * suffix) / (pages_of[h] - 1 + L.SMOOTH_HOST)
+        z = ll + np.log(prior) + agree
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got[page].confidence - p.max()) < 1e-6 and p[langs.index(got[page].lang)] > p.max() - 1e-6

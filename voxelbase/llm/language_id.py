@@ -12,13 +12,15 @@ labelled documents:
   prior.
 
 Trigram counts come from at most ``SAMPLE`` labelled documents (those with the
-smallest hashes; whole texts); all other statistics are grouped aggregates over
-all pages. Tasks see the table of trigrams (fixed size); pages shuffle as a few
-numbers, never with their html.
+smallest hashes; whole texts), and every language of that sample can be named; all
+other statistics are grouped aggregates over all pages. Tasks see the table of
+trigrams (128 KB a language); pages shuffle as a few numbers, never with their html.
 
 Null html is empty and leaves the prior; a null or odd url is the host "".
-Repeated rows are pages of their own. Without labelled documents ``lang`` is
-null. An empty table gives no rows.
+Pages of any length are read whole, in time proportional to their length however
+their tags are broken. Repeated rows are pages of their own. Of equal posteriors
+the language first by name wins. Columns other than page_id, url and html are not
+read. Without labelled documents ``lang`` is null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, only_ids
+from .common import join_spread, materialize, only_ids
 
-SAMPLE, LANGUAGES, TRIGRAM_BITS = 20_000, 64, 15
+SAMPLE, TRIGRAM_BITS = 20_000, 15
 #: Share of a trigram that counts as independent evidence, and the most that a text weighs (nats).
 TEMPER, MOST_EVIDENCE = 1 / 3, 40.0
 #: Pages' worth of the level above in a suffix's and a host's prior; pseudo-counts of declarations.
 SMOOTH_SUFFIX, SMOOTH_HOST, SMOOTH_DECLARED = 50.0, 10.0, 2.0
 
-MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
-DECLARED = r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})\b"""
+SIGN = re.compile(r"<(script|style)\b|<!--|<|&#?\w+;", re.I)
+CLOSERS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "<!--": re.compile("-->"), "<": re.compile(">")}
+#: The first html tag, and what it declares.
+HTML_TAG = r"(?is)<html\b[^>]*"
+DECLARED = r"""(?is)\slang\s*=\s*["']?([a-z]{2,3})\b"""
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 # Letters fold to lower case, other ASCII signs to a space; bytes above 127 stay.
@@ -58,7 +63,30 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def visible(html: str | None) -> str:
-    return MARKUP.sub(" ", html or "")
+    """The text outside tags, scripts, styles, comments and entities; a space stands for each.
+
+    One pass: a closer that isn't found once is not looked for again.
+    """
+    html = html or ""
+    out, at, kept, gone = [], 0, 0, set()
+    while found := SIGN.search(html, at):
+        start, end = found.span()
+        sign = found[0].lower()
+        if sign[0] == "<":
+            end = -1
+            for kind in (sign[1:] if sign[1:] in CLOSERS else sign, "<"):
+                if kind not in gone:
+                    if closer := CLOSERS[kind].search(html, start + 1):
+                        end = closer.end()
+                        break
+                    gone.add(kind)
+        if end < 0:  # no tag after all
+            at = start + 1
+            continue
+        out.append(html[kept:start])
+        at = kept = end
+    out.append(html[kept:])
+    return " ".join(out)
 
 
 def _count(batches):
@@ -78,12 +106,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     ids = materialize(usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct(), "sample")
     chosen = only_ids(usable.select("doc_id", "lang", "text"), ids)
     counts = materialize(chosen.select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    langs = [r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    table = np.full((len(langs), 1 << TRIGRAM_BITS), 0.5)
-    rows = counts.where(F.col("lang").isin(langs)).toPandas()  # at most LANGUAGES * 2^TRIGRAM_BITS
-    table[[langs.index(x) for x in rows.lang], rows.bucket.to_numpy(dtype=np.int64)] += rows.n.to_numpy(dtype=float)
-    order = np.argsort(langs)
-    return [langs[i] for i in order], np.log(table / table.sum(axis=1, keepdims=True))[order].astype(np.float32)
+    rows = counts.toPandas()  # bounded by the sample: its trigrams at most, 2^TRIGRAM_BITS a language
+    langs = sorted(rows.lang.unique())
+    table = np.full((len(langs), 1 << TRIGRAM_BITS), 0.5, dtype=np.float32)
+    table[np.searchsorted(langs, rows.lang.to_numpy(dtype=object)), rows.bucket.to_numpy(dtype=np.int64)] += rows.n.to_numpy(dtype=np.float32)
+    return langs, np.log(table / table.sum(axis=1, keepdims=True, dtype=float)).astype(np.float32)
 
 
 def _likelihoods(table: np.ndarray):
@@ -113,7 +140,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     langs, table = fit(docs)
     none = F.lit(None).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    declared = F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1)), F.lit(""))
+    tag = F.regexp_extract(F.coalesce("html", F.lit("")), HTML_TAG, 0)
+    declared = F.nullif(F.lower(F.regexp_extract(tag, DECLARED, 1)), F.lit(""))
     if not langs:
         return pages.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), declared.alias("declared_lang"), host.alias("host"))
     rows = pages.select("page_id", "html", host.alias("host"), declared.alias("declared"))
@@ -135,9 +163,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     says = F.array(F.array(*[F.lit(0.0)] * n), *(F.array(*map(F.lit, row.tolist())) for row in agree))
 
     by_host = materialize(rows.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("pages"), *sums("c")).select("host", "suffix", "pages", pack("c").alias("host_sum")), "hosts")
-    by_suffix = by_host.groupBy("suffix").agg(F.sum("pages").alias("suffix_pages"), *(F.sum(F.col("host_sum")[i]).alias(f"c{i}") for i in range(n))).select("suffix", "suffix_pages", pack("c").alias("suffix_sum"))
-    by_host = materialize(by_host.join(by_suffix, "suffix").drop("suffix"), "priors")
-    rows = rows.join(by_host, "host")
+    by_suffix = by_host.groupBy("suffix").agg(F.sum("pages").alias("suffix_pages"), F.count(F.lit(1)).alias("suffix_hosts"), *(F.sum(F.col("host_sum")[i]).alias(f"c{i}") for i in range(n))).select("suffix", "suffix_pages", "suffix_hosts", pack("c").alias("suffix_sum"))
+    by_suffix = materialize(by_suffix, "suffixes")
+    by_host = materialize(join_spread(by_host, by_suffix, "suffix", "suffix_hosts", by_host.count()).drop("suffix", "suffix_hosts"), "priors")
+    rows = join_spread(rows, by_host, "host", "pages", rows.count())
     # Leave the page itself out, then smooth downwards: world, suffix, host.
     own = lambda total, i: F.greatest(F.col(total)[i] - F.col("post")[i], F.lit(0.0))
     suffix = [(own("suffix_sum", i) + SMOOTH_SUFFIX * world[i]) / (F.col("suffix_pages") - 1 + SMOOTH_SUFFIX) for i in range(n)]
