@@ -7,12 +7,11 @@ from voxelbase.llm import decontaminate as D
 
 def distance(passage, text):
     """Least edits between a passage and any region of a text, by the whole table."""
+    at, text = np.arange(len(text) + 1), np.array(text)
     row = np.zeros(len(text) + 1, dtype=int)
     for i, c in enumerate(passage, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (c != t), row[j] + 1, new[-1] + 1))
-        row = np.array(new)
+        best = np.append(i, np.minimum(row[:-1] + (text != c), row[1:] + 1))
+        row = np.minimum.accumulate(best - at) + at
     return int(row.min())
 
 
@@ -68,3 +67,25 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs, bench).count() == 0
     assert D.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_repetitive_text_takes_little_memory():
+    """Bands are counted, not pairs of hits: a long text of one syllable against a passage of it."""
+    import tracemalloc
+
+    passage = D.normalise("ha " * 40)[0][:-1]
+    index = D.Passages([(0, 0, passage), (1, 0, D.normalise("ha " * 20 + "ho " * 20)[0][:-1])])
+    text = D.normalise("ha " * 200_000)[0]
+    tracemalloc.start()
+    found = D.matches(text, index)
+    assert tracemalloc.get_traced_memory()[1] < 150e6 and found[0][:2] == (0, 0)
+    tracemalloc.stop()
+
+
+def test_long_items_are_cut_everywhere(spark):
+    rng = random.Random(3)
+    item = " ".join("".join(rng.choices("abcdefghiklmnorstu", k=6)) for _ in range(3000))
+    docs = [(i, f"so {item[at : at + 90]} it goes") for i, at in enumerate(range(0, len(item) - 90, 4999))] + [(99, "nothing of it")]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {r.doc_id for r in got.collect()} == {i for i, _ in docs if i != 99}

@@ -13,11 +13,16 @@ each ``STRIDE``. So any leaked run of ``LEAST`` + ``STRIDE`` - 1 = 79 normalised
 characters (about 13 words) holds a short passage and is found if it is exact;
 a shorter run may be missed. Items under ``LEAST`` characters are
 found exactly, as whole words, however short they are.
-The passages' q-grams are read in blocks of at most ``BLOCK_GRAMS``, and the
-documents are scanned once for each block, so the index in a task is bounded.
-
-Null and empty texts match nothing. Repeated rows each get their rows; a null id
-stays null. An empty table of either kind gives no rows.
+Tasks cut the items into passages; these are read in blocks of about ``BLOCK_GRAMS``
+characters, and the documents are scanned once for each block, so the index in a
+task and what passes through the driver at once are bounded. Hits are counted per
+band piece by piece, so a repetitive text of any length takes memory for its bands.
+
+Null and empty texts match nothing; texts of any length are searched whole.
+Repeated rows each get their rows; a null id stays null. Ties: of regions with
+equally few edits the first is reported. ``contaminated`` reads doc_id, item_id and
+text only; ``drop_contaminated`` returns further columns whatever their names. An
+empty table of documents gives no rows, one of items no match.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ LEAST, STRIDE, PASSAGE = 60, 20, 400
 BLOCK_GRAMS = 2_000_000
 TABLE_BITS = 24
 PIECE = 1 << 18
+#: Pairs of equal q-grams that are counted at once.
+PAIRS = 1 << 20
 
 
 def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +104,7 @@ def words(code: np.ndarray) -> list[tuple[str, int]]:
 class Passages:
     """A block of passages with their q-grams, sorted."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], error: float = ERROR):
         self.item = [r[0] for r in rows]
         self.start = [r[1] for r in rows]
         self.code = [r[2] for r in rows]
@@ -106,6 +113,7 @@ class Passages:
         for p, c in enumerate(self.code):
             if len(c) < GRAM:
                 self.tiny.setdefault(tuple(w for w, _ in words(c)), []).append(p)
+        self.step = np.array([budget(len(c), error)[0] + 1 for c in self.code], dtype=np.int64)
         hashes = [grams(c) for c in self.code]
         owner = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if rows else np.zeros(0, np.int64)
@@ -115,22 +123,42 @@ class Passages:
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[(self.hash >> U(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def hits(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, place in passage, place in text) of every shared q-gram, piece by piece."""
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def bands(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, half band, count) of the text's q-gram hits, counted piece by piece.
+
+        A passage's half band k holds the diagonals from k * step to k * step + step - 1. Only the
+        counters are kept, so a repetitive text takes memory for its bands and not for its pairs.
+        """
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        far = len(code) + max((len(c) for c in self.code), default=0) + 1
         for s in range(0, max(0, len(code) - GRAM + 1), PIECE):
             h = grams(code[s : s + PIECE + GRAM - 1])
             at = np.flatnonzero(self.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)])
             h = h[at]
             lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
             n = hi - lo
-            if n.sum():
-                k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((self.owner[k], self.place[k], np.repeat(at + s, n)))
-        if not out:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            some = np.flatnonzero(n)
+            at, lo, n = at[some] + s, lo[some], n[some]
+            ends = np.cumsum(n)
+            first = 0
+            while first < len(n):  # runs of hits of about PAIRS pairs
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+                m = n[first:last]
+                k = np.repeat(lo[first:last], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                owner = self.owner[k]
+                half = (np.repeat(at[first:last], m) - self.place[k]) // self.step[owner]
+                new, c = np.unique(owner * (2 * far) + half + far, return_counts=True)
+                keys, counts = _add(keys, counts, new, c)
+                first = last
+        return keys // (2 * far), keys % (2 * far) - far, counts
+
+
+def _add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of counters, sorted by key, as one."""
+    if not len(keys):
+        return more, by
+    both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    return both, np.bincount(where, weights=np.concatenate([counts, by])).astype(np.int64)
 
 
 def banded_distance(passage: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -164,40 +192,45 @@ def matches(code: np.ndarray, index: Passages, error: float = ERROR) -> list[tup
             for i in range(len(text) - n + 1):
                 for p in index.tiny.get(tuple(w for w, _ in text[i : i + n]), []):
                     found.setdefault(p, (0, text[i + n - 1][1]))
-    owner, place, at = index.hits(code)
-    if not len(owner):
-        return [(p, e, end) for p, (e, end) in sorted(found.items())]
-    order = np.lexsort((at - place, owner))
-    owner, diagonal = owner[order], (at - place)[order]
-    for first, last in zip(np.flatnonzero(np.r_[True, np.diff(owner) != 0]), np.flatnonzero(np.r_[np.diff(owner) != 0, True]) + 1, strict=True):
+    owner, half, count = index.bands(code)
+    for first, last in zip(np.flatnonzero(np.r_[True, np.diff(owner) != 0]), np.flatnonzero(np.r_[np.diff(owner) != 0, True]) + 1, strict=True) if len(owner) else ():
         passage = index.code[p := int(owner[first])]
         edits, need = budget(len(passage), error)
-        if last - first < need:
-            continue
-        diag = diagonal[first:last]
-        # Diagonals that hold every q-gram: exact copies need no alignment.
-        some, hit = np.unique(diag, return_counts=True)
-        for b in some[hit == len(passage) + 1 - GRAM].tolist():
-            end = b + len(passage)
-            whole = len(passage) >= LEAST or ((b == 0 or code[b - 1] == 32) and (end == len(code) or code[end] == 32))
-            if whole and np.array_equal(code[b:end], passage):
+        m, step = len(passage), edits + 1
+        k, c = half[first:last], count[first:last]
+        # Band b holds half bands b and b + 1, so any ``edits`` + 1 diagonals in a row lie in one.
+        low = np.unique(np.concatenate([k, k - 1]))
+        at = lambda x, k=k, c=c: np.where((y := np.searchsorted(k, x)) < len(k), np.where(k[np.minimum(y, len(k) - 1)] == x, c[np.minimum(y, len(k) - 1)], 0), 0)
+        low = low[at(low) + at(low + 1) >= need]
+        seen: dict[bytes, tuple[int, int]] = {}
+        for b in (low * step).tolist():
+            end = _exact(code, passage, b, b + 2 * step, m < LEAST)
+            if end:
                 found[p] = 0, end
                 break
-        if p in found or not edits:
-            continue
-        # Bands [edits * k, edits * k + 2 * edits]: any ``edits`` + 1 diagonals in a row lie in one.
-        step = edits + 1
-        low = np.unique(np.concatenate([diag // step, diag // step - 1])) * step
-        count = np.searchsorted(diag, low + 2 * step, "left") - np.searchsorted(diag, low, "left")
-        for b in low[count >= need].tolist():
+            if not edits:
+                continue
             begin = max(0, b - edits)
-            text = code[begin : b + 2 * step + edits + len(passage)]
-            got = banded_distance(passage, text, b - edits - begin, b + 2 * step + edits - begin)
+            text = code[begin : b + 2 * step + edits + m]
+            own = (b - edits - begin).to_bytes(8, "little", signed=True) + text.tobytes()
+            if own not in seen:  # a repetitive text shows the same region many times
+                seen[own] = banded_distance(passage, text, b - edits - begin, b + 2 * step + edits - begin)
+            got = seen[own]
             if got[0] <= edits and (p not in found or got[0] < found[p][0]):
                 found[p] = got[0], got[1] + begin
     return [(p, e, end) for p, (e, end) in sorted(found.items())]
 
 
+def _exact(code: np.ndarray, passage: np.ndarray, low: int, high: int, words_only: bool) -> int:
+    """Where an exact copy on one of the diagonals low..high - 1 ends; 0 if there is none."""
+    m = len(passage)
+    for b in range(max(0, low), min(high, len(code) - m + 1)):
+        if code[b] == passage[0] and code[b + m - 1] == passage[-1] and np.array_equal(code[b : b + m], passage):
+            if not words_only or ((b == 0 or code[b - 1] == 32) and (b + m == len(code) or code[b + m] == 32)):
+                return b + m
+    return 0
+
+
 def passages(item: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     code, _ = normalise(text)
     if len(code) and code[-1] == 32:
@@ -212,64 +245,79 @@ def passages(item: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
 SCHEMA = "doc_id long, item_id long, passage_start long, edits long, match_start long, match_end long"
 
 
-def _scan(items: list[tuple[int, str]], error: float):
+def _scan(rows: list[tuple[int, int, np.ndarray]], error: float):
     def run(batches):
-        index = Passages([p for item, text in items for p in passages(item, text)])
+        index = Passages(rows, error)
         for batch in batches:
-            rows = []
+            out = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not text:
                     continue
                 code, at = normalise(text)
                 for p, edits, end in matches(code, index, error):
                     begin = max(0, end - len(index.code[p]))
-                    rows.append((key, index.item[p], index.start[p], edits, int(at[min(begin, len(at) - 1)]), int(at[min(end, len(at)) - 1]) + 1))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
+                    out.append((key, index.item[p], index.start[p], edits, int(at[min(begin, len(at) - 1)]), int(at[min(end, len(at)) - 1]) + 1))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "passage_start", "edits", "match_start", "match_end"])
 
     return run
 
 
-def _clean(items: list[tuple[int, str]], error: float):
+def _clean(rows: list[tuple[int, int, np.ndarray]], error: float):
     """Rows with a column ``text`` to those that match no passage."""
 
     def run(batches):
-        index = Passages([p for item, text in items for p in passages(item, text)])
+        index = Passages(rows, error)
         for batch in batches:
             yield batch.filter(pa.array([not (t and matches(normalise(t)[0], index, error)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return run
 
 
+def _cut_passages(batches):
+    for batch in batches:
+        rows = [p for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in passages(item, text)]
+        cols = list(zip(*((i, s, c.astype("<u4").tobytes(), len(c)) for i, s, c in rows), strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "start", "code", "n"])
+
+
 def _blocks(benchmark: DataFrame):
-    """The items (item_id, text) of each block."""
+    """The passages of each block, one block at a time: tasks cut the items, the driver holds BLOCK_GRAMS characters or so.
+
+    Passages fall into blocks by hash, so a long item spreads over many blocks.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
-    # Items fall into blocks by hash; their grams count twice, as passages overlap by half, and once for each short passage over them.
-    size = items.select("item_id", "text", F.length("text").alias("n"))
-    total = size.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-(2 + LEAST // STRIDE) * total // BLOCK_GRAMS))
-    size = materialize(size.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    cut = materialize(items.mapInArrow(_cut_passages, "item_id long, start long, code binary, n long"), "passages")
+    blocks = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // BLOCK_GRAMS))
+    filed = materialize(cut.withColumn("block", F.pmod(F.xxhash64("item_id", "start", "code"), F.lit(blocks))), "items") if blocks > 1 else cut.withColumn("block", F.lit(0))
     for b in range(blocks):
-        yield [(r.item_id, r.text) for r in size.where(F.col("block") == b).select("item_id", "text").collect()]
+        own = filed.where(F.col("block") == b).select("item_id", "start", "code").toArrow()  # about BLOCK_GRAMS characters
+        yield [(i, s, np.frombuffer(c, dtype="<u4").astype(np.uint32)) for i, s, c in zip(*(own.column(k).to_pylist() for k in ("item_id", "start", "code")), strict=True)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """One row per document and passage of ``benchmark`` in it: its place in the item and the text, and the edits.
 
     A whole item's row and its short passages' have the same columns; ``match_start`` is the place as far back from the end as the passage is long.
+    Of several blocks each is scanned and written before the next is read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    out, last = None, None
     for rows in _blocks(benchmark):
-        found = docs.mapInArrow(_scan(rows, error), SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+        if last is not None:
+            last = materialize(last, "matches")
+            out = last if out is None else out.unionByName(last)
+        last = docs.mapInArrow(_scan(rows, error), SCHEMA)
+    return last if out is None else out.unionByName(last)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """``docs`` without the rows that hold a passage of ``benchmark``, each row by its own text whatever its id."""
+    first = True
     for rows in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(rows, error), docs.schema)
+        docs = docs if first else materialize(docs, "clean")
+        docs, first = docs.mapInArrow(_clean(rows, error), docs.schema), False
     return docs
 
 
