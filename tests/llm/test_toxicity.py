@@ -42,3 +42,53 @@ def test_shape_edges_and_held_out_rule(spark):
     assert T.scored(docs.limit(0), labels).count() == 0
     kept = T.drop_toxic(docs.withColumn("score", docs.doc_id), labels)
     assert kept.columns == ["doc_id", "text", "score"] and {r.doc_id for r in kept.collect()} == {1, 2, 4}
+
+
+def direct(words):
+    """A clause's weight by looking back from each word, without a machine."""
+    g, total = T.Grammar(), 0.0
+    kinds = [g.read(w) for w in words]
+    target_free = 0  # words since which no threat is open
+    for i, (c, x) in enumerate(kinds):
+        back = lambda k, n, i=i: any(kinds[j][0] == k for j in range(max(0, i - n), i))
+        hit = 0.0
+        if c == T.C_INSULT:
+            hit = T.BARE * (T.AIMED if back(T.C_TARGET, 3) else 1)
+        elif c == T.C_TARGET:
+            if any(kinds[j][0] == T.C_THREAT for j in range(max(target_free, i - T.REACH), i)):
+                hit = T.THREATENED
+            target_free = i + 1
+        hit *= (T.DENIED if back(T.C_NEGATION, 4) else 1) * (T.REPORTED if back(T.C_REPORT, i) else 1)
+        total += hit * x
+    return total
+
+
+def test_machine_matches_direct_reading():
+    import random
+
+    rng = random.Random(1)
+    words = ["idiot", "scum", "kill", "you", "them", "not", "never", "said", "wrote", "the", "blue", "house"]
+    g = T.Grammar()
+    for _ in range(3000):
+        clause = rng.choices(words, k=rng.randrange(0, 14))
+        assert abs(g.clause(clause)[0] - direct(clause)) < 1e-9, clause
+
+
+def test_report_frames_reach_over_a_colon():
+    g = T.Grammar()
+    said = lambda t: g.features(t)[1]
+    assert said("she said: you are an idiot") == said("she said you are an idiot") < said("note: you are an idiot") == said("you are an idiot")
+    assert said("you aren’t an idiot") == said("you aren't an idiot") < said("you are an idiot")
+    assert said("kill all of you") == said("kill yourself") == T.THREATENED and said("kill the old process") == 0
+
+
+def test_scores_are_the_model_over_features(spark):
+    """The distributed scores against one by one."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    gram, w = T.fit(docs, labels)
+    got = {r.doc_id: r.score for r in T.scored(docs, labels).collect()}
+    for r in docs.collect():
+        z = w[0] + sum(a * b for a, b in zip(w[1:], gram.features(r.text), strict=True))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9

@@ -14,9 +14,16 @@ over the clause weights of a document turns them into the score. Both are fitted
 on at most ``SAMPLE`` labelled rows whose crc32(doc_id) mod 5 is not 0, the ones
 with the smallest hashes, so that a larger input is not fitted longer.
 
-Empty and null texts have no clause and get the model's base score. Labels that
-are null or neither 0 nor 1 are left out of the fit; without labels of both
-kinds the public list and fixed weights remain. An empty table gives no rows.
+The transducers' weights order the kinds of hits; how much each kind counts (clause
+weight, insults, threats, softened hits) is fitted by the logistic model.
+
+Empty and null texts have no clause and get the model's base score; texts of any
+length are read whole. Labels that are null or neither 0 nor 1 are left out of the
+fit, and of several labels of one document the toxic one counts; without labels of
+both kinds the public list and fixed weights remain. Repeated rows each get their
+row, rows of one id are scored by their own text, and a null id is never held out.
+``scored`` reads doc_id and text only; ``drop_toxic`` returns further columns
+whatever their names (but ``__score``, its own). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,23 +42,26 @@ from .common import materialize, only_ids
 
 #: Labelled rows that the fit reads at most.
 SAMPLE = 20_000
-#: Learned insults: toxic documents that hold one at least (rows and share), toxic to clean rate, clean to toxic count, length of the list.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIFT, MOST_CLEAN, MOST_WORDS = 5, 0.01, 8.0, 0.15, 2000
+#: Learned insults: toxic documents that hold one at least (rows and share), toxic to clean rate, clean to toxic count.
+LEAST_DOCS, LEAST_SHARE, LEAST_LIFT, MOST_CLEAN = 5, 0.01, 8.0, 0.15
 STEMS = (8, 7, 6, 5, 4, 3)
 #: The logarithm of the toxic to clean rate at which a learned mark weighs as much as a public one.
 FULL_LIFT = 4.0
 
 INSULT = frozenset("idiot idiots moron morons stupid imbecile scum trash garbage loser losers pathetic worthless disgusting clown vermin filth coward parasite dumb pig idiota estúpido estúpida imbécil basura escoria dummkopf idiotin abschaum versager connard crétin ordure salaud".split())
 THREAT = frozenset("kill hurt destroy beat crush shoot stab burn strangle murder matar töten tuer".split())
-TARGET = frozenset("you your yours he she him her they them these those people tu usted du sie ihr vous eux".split())
+TARGET = frozenset("you your yours he she him her they them these those people yourself yourselves himself herself themselves tu usted du sie ihr vous eux".split())
 NEGATION = frozenset("not never no nobody without isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais nunca sin".split())
 REPORT = frozenset("said says wrote called claimed reported quoted accused according dijo sagte schrieb dit écrit".split())
 
 OTHER, C_INSULT, C_THREAT, C_TARGET, C_NEGATION, C_REPORT = range(6)
 #: Weights that the composed transducers multiply into an insult or a threat.
 BARE, AIMED, DENIED, REPORTED, THREATENED = 1.0, 1.5, 0.3, 0.4, 2.0
+#: Words between a threat and its target.
+REACH = 4
 
-CLAUSE = re.compile(r"[.!?;:\n\r。！？]+")
+#: Clauses end at these signs; a colon ends none after a word of reporting: what follows is what was said.
+CLAUSE = re.compile(rf"[.!?;\n\r。！？]+|(?<!{')(?<!'.join(sorted(REPORT, key=lambda w: (-len(w), w)))}):+(?=\s|$)")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
@@ -83,9 +93,10 @@ def _window(trigger: int, length: int, weight: float, classes: tuple[int, ...])
 
 
 def grammar() -> Transducer:
-    # An insult weighs by itself, a threat when its target follows: "kill you".
-    idle = {(s, c): 0 for s in (0, 1) for c in range(6)} | {(s, C_THREAT): 1 for s in (0, 1)}
-    hit = Transducer(2, idle, {(s, c): 0.0 for s in (0, 1) for c in range(6)} | {(s, C_INSULT): BARE for s in (0, 1)} | {(1, C_TARGET): THREATENED})
+    # An insult weighs by itself, a threat when its target follows within a few words: "kill all of you".
+    step = {(s, c): max(s - 1, 0) for s in range(REACH + 1) for c in range(6)} | {(s, C_THREAT): REACH for s in range(REACH + 1)} | {(s, C_TARGET): 0 for s in range(1, REACH + 1)}
+    weight = {(s, c): 0.0 for s in range(REACH + 1) for c in range(6)} | {(s, C_INSULT): BARE for s in range(REACH + 1)} | {(s, C_TARGET): THREATENED for s in range(1, REACH + 1)}
+    hit = Transducer(REACH + 1, step, weight)
     aimed = _window(C_TARGET, 3, AIMED, (C_INSULT,))
     denied = _window(C_NEGATION, 4, DENIED, (C_INSULT, C_TARGET))
     reported = Transducer(2, {(0, C_REPORT): 1}, {(1, C_INSULT): REPORTED, (1, C_TARGET): REPORTED})
@@ -127,7 +138,7 @@ class Grammar:
 
     def features(self, text: str | None) -> list[float]:
         """Of one whole text: clause weights, squashed and per word, and counts of hits."""
-        low = (text or "").lower()
+        low = (text or "").lower().replace("’", "'")
         weight, insults, threats, soft, clauses, strongest = 0.0, 0, 0, 0, 0, 0.0
         if not self.hot.isdisjoint({w[:3] for w in set(WORD.findall(low))}):
             for part in CLAUSE.split(low):
@@ -137,12 +148,12 @@ class Grammar:
                     weight, insults, threats, soft, strongest = weight + w, insults + i, threats + t, soft + s, max(strongest, w)
                     clauses += w > 0
         length = 1 + len(low) / 6
-        return [math.log1p(weight), min(weight, 4.0), 100 * weight / length, math.log1p(clauses), float(weight >= 1), float(threats > 0), float(insults > soft), strongest]
+        return [math.log1p(weight), min(weight, 4.0), 100 * weight / length, math.log1p(clauses), float(weight >= 1), float(threats > 0), float(insults > soft), strongest, math.log1p(insults), math.log1p(threats), math.log1p(soft)]
 
 
-N_FEATURES = 8
+N_FEATURES = 11
 #: Without labels: an aimed or a second hit passes 0.5.
-FIXED = np.array([-3.0, 1.5, 1.0, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0])
+FIXED = np.array([-3.0, 1.5, 1.0, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0])
 
 
 def held_out(key: Column) -> Column:
@@ -152,8 +163,8 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Grammar, np.ndarray]:
     """The grammar with learned insults and the weights of the logistic model."""
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = materialize(chosen.dropDuplicates(["doc_id"]), "label")
+    usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = materialize(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "label")
     texts = only_ids(docs.select("doc_id", "text"), chosen.select("doc_id"))
     rows = materialize(texts.join(chosen, "doc_id").select("text", "toxic"), "labelled")
     n0, n1 = (rows.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first() or (0, 0))
@@ -195,7 +206,7 @@ def _marks(found: DataFrame, halves: list[int], sizes: dict) -> dict[str, float]
     lift = ((t + 0.5) / (n1 + 1)) / ((c + 0.5) / (n0 + 1))
     rows = found.select("w", t.alias("t"), c.alias("c"), lift.alias("lift"))
     rows = rows.where((F.col("t") >= max(LEAST_DOCS * len(halves) / 2, LEAST_SHARE * n1)) & (F.col("lift") >= LEAST_LIFT) & (F.col("c") <= MOST_CLEAN * F.col("t")))
-    return {r.w: min(1.0, math.log(r.lift) / FULL_LIFT) for r in rows.orderBy(F.desc("t"), "w").limit(MOST_WORDS).collect()}
+    return {r.w: min(1.0, math.log(r.lift) / FULL_LIFT) for r in rows.collect()}  # of the sample, each in LEAST_SHARE of its toxic documents at least
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
