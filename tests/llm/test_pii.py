@@ -65,3 +65,45 @@ def test_whole_table(spark):
         old = re.findall(r"\d{16}|\S+@mail\d\.example\.com|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}|555-\d{4}", before[r.doc_id])
         assert not [x for x in old if x in r.text], (r.doc_id, old)
     assert P.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_full_address_space_ends(spark, monkeypatch):
+    """All 65,536 addresses of a private range: each gets another one of them, one to one."""
+    monkeypatch.setattr(P, "ROUNDS", 2)
+    rows = spark.range(1 << 16).selectExpr("'ip' AS kind", "concat('192.168.', id div 256, '.', id % 256) AS canon")
+    table = P.draw_surrogates(rows).toPandas()
+    assert len(table) == 1 << 16 and set(table.stand_in) == set(table.canon) and not (table.stand_in == table.canon).any()
+
+
+def test_addresses_keep_their_range(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(5)
+    nets = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")]
+    addresses = {str(ipaddress.ip_address(rng.randrange(1 << 32))) for _ in range(3000)} | {str(n[k]) for n in nets for k in (0, 1, 77, -1)} | {"9.255.255.255", "11.0.0.0", "172.15.255.255", "172.32.0.0", "192.167.255.255", "192.169.0.0", "255.255.255.255"}
+    table = P.candidates(spark.createDataFrame([("ip", a) for a in addresses], "kind string, canon string"), "k", 0).toPandas()
+    place = lambda a: next((i for i, n in enumerate(nets) if ipaddress.ip_address(a) in n), None)
+    assert table.stand_in.is_unique and all(place(a) == place(b) for a, b in zip(table.canon, table.stand_in, strict=True))
+
+
+def test_permutations_are_one_to_one_in_small_spaces(spark):
+    """Every two-sign local part of one domain, every vowel and consonant pair of a name: images stay in the space."""
+    from itertools import product
+
+    rows = [("email", f"{a}{b}@x.org") for a, b in product("abcdefghijklmnopqrstuvwxyz", "0123456789")] + [("man", a + b) for a, b in product("bcdfghjklmnpqrstvwxyz", "aeiou")] + [("ssn", f"{i:03d}") for i in range(1000)]
+    table = P.candidates(spark.createDataFrame(rows, "kind string, canon string"), "k", 0).toPandas()
+    for kind in ("man", "ssn"):
+        own = table[table.kind == kind]
+        assert set(own.stand_in) == set(own.canon)
+    mail = table[table.kind == "email"].stand_in
+    assert mail.is_unique and len({m.split("@")[1] for m in mail}) == 1 and all(re.fullmatch(r"[a-z]\d@[a-z]\.org", m) for m in mail)
+
+
+def test_whole_ipv6_and_padded_addresses(spark):
+    df = spark.createDataFrame([(1, "at 2001:db8:0:0:0:0:2:1 and 2001:DB8:0:0:0:0:2:1, not 12:34:56"), (2, "10.01.2.3 is 10.1.2.3")], "doc_id long, text string")
+    a, b = (r.text for r in P.replace_entities(df).orderBy("doc_id").collect())
+    one, two = re.findall(r"(?:\w+:){7}\w+", a)
+    assert one == two.lower() and one != "2001:db8:0:0:0:0:2:1" and a.endswith("not 12:34:56")
+    x, y = re.findall(r"\d+\.\d+\.\d+\.\d+", b)
+    assert x == y and x.startswith("10.")
