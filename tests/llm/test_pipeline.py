@@ -23,7 +23,7 @@ def test_each_stage_matches_brute_force(spark):
                 seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i].text or ""), i)
             left = {i: left[i] for i in seen.values()}
         elif name == "near_dedup":
-            left = {i: left[i] for i, _, _, kept in near([(i, r.text) for i, r in left.items()]) if kept}
+            left = {i: left[i] for i, _, _, kept in near([(i, r.text) for i, r in left.items()], C.NEAR_PERCENT) if kept}
         elif name == "decontaminate":
             index = D.Passages([p for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for p in D.passages(r.item_id, r.text)])
             left = {i: r for i, r in left.items() if not D.matches(D.normalise(r.text)[0], index)}

@@ -22,8 +22,10 @@ anchor's and the span's hash are of independent lanes. Joins carry names, never
 pairs of occurrences.
 
 Null texts count as empty; texts under ``width`` bytes keep all their bytes. Rows
-that are equal in id and text count as separate occurrences. Long texts are
-handled in pieces. An empty table gives no rows.
+that are equal in id and text, ids null or not, count as separate occurrences. Long
+texts are handled whole, in pieces that overlap. Of equal names all occurrences go
+(no tie keeps one). Columns other than doc_id and text are not read. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
