@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as
 Parquet and read again as the next stage's documents. The first four keep the
-columns of documents; the last adds how often each document is taken.
+columns of documents; the last adds how often each document is taken (copies), its
+source's weight, its tokens and its block.
+
+Every stage takes null, empty and very long texts, null and shared ids, repeated
+rows, empty tables and further columns of any name: rows are decided one by one by
+their own text, null and empty texts count as one empty text (which is never toxic,
+near-duplicate or contaminated; of several one stays after exact dedup), of ties
+the smallest id stays and null ids come last, and further columns pass through.
 """
 
 from __future__ import annotations
@@ -37,8 +44,8 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its number of copies, no source repeated more than four times."""
-    return mixing.mix(docs)
+    """Every document, whole, with its number of copies; no source is repeated more than four times."""
+    return mixing.with_copies(docs)
 
 
 STAGES = [
