@@ -113,7 +113,8 @@ class Passages:
         for p, c in enumerate(self.code):
             if len(c) < GRAM:
                 self.tiny.setdefault(tuple(w for w, _ in words(c)), []).append(p)
-        self.step = np.array([budget(len(c), error)[0] + 1 for c in self.code], dtype=np.int64)
+        limits = np.array([budget(len(c), error) for c in self.code], dtype=np.int64).reshape(-1, 2)
+        self.step, self.need = limits[:, 0] + 1, limits[:, 1]
         hashes = [grams(c) for c in self.code]
         owner = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if rows else np.zeros(0, np.int64)
@@ -123,8 +124,8 @@ class Passages:
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[(self.hash >> U(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def bands(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, half band, count) of the text's q-gram hits, counted piece by piece.
+    def bands(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, band) of the bands that reach their passage's count, from hits counted piece by piece.
 
         A passage's half band k holds the diagonals from k * step to k * step + step - 1. Only the
         counters are kept, so a repetitive text takes memory for its bands and not for its pairs.
@@ -150,7 +151,12 @@ class Passages:
                 new, c = np.unique(owner * (2 * far) + half + far, return_counts=True)
                 keys, counts = _add(keys, counts, new, c)
                 first = last
-        return keys // (2 * far), keys % (2 * far) - far, counts
+        # Band k holds half bands k and k + 1, so any ``edits`` + 1 diagonals in a row lie in one; bands under their passage's count go.
+        after = np.r_[keys[1:] == keys[:-1] + 1, False] if len(keys) else np.zeros(0, bool)
+        total = counts + np.where(after, np.r_[counts[1:], 0], 0) if len(keys) else counts
+        owner = keys // (2 * far)
+        some = total >= self.need[owner] if len(keys) else np.zeros(0, bool)
+        return owner[some], keys[some] % (2 * far) - far
 
 
 def _add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,16 +198,12 @@ def matches(code: np.ndarray, index: Passages, error: float = ERROR) -> list[tup
             for i in range(len(text) - n + 1):
                 for p in index.tiny.get(tuple(w for w, _ in text[i : i + n]), []):
                     found.setdefault(p, (0, text[i + n - 1][1]))
-    owner, half, count = index.bands(code)
-    for first, last in zip(np.flatnonzero(np.r_[True, np.diff(owner) != 0]), np.flatnonzero(np.r_[np.diff(owner) != 0, True]) + 1, strict=True) if len(owner) else ():
-        passage = index.code[p := int(owner[first])]
-        edits, need = budget(len(passage), error)
+    owner, band = index.bands(code)
+    cuts = np.flatnonzero(np.diff(owner)) + 1
+    for p, low in zip(owner[np.r_[0, cuts]].tolist() if len(owner) else (), np.split(band, cuts), strict=False):
+        passage = index.code[p]
+        edits = int(index.step[p]) - 1
         m, step = len(passage), edits + 1
-        k, c = half[first:last], count[first:last]
-        # Band b holds half bands b and b + 1, so any ``edits`` + 1 diagonals in a row lie in one.
-        low = np.unique(np.concatenate([k, k - 1]))
-        at = lambda x, k=k, c=c: np.where((y := np.searchsorted(k, x)) < len(k), np.where(k[np.minimum(y, len(k) - 1)] == x, c[np.minimum(y, len(k) - 1)], 0), 0)
-        low = low[at(low) + at(low + 1) >= need]
         seen: dict[bytes, tuple[int, int]] = {}
         for b in (low * step).tolist():
             end = _exact(code, passage, b, b + 2 * step, m < LEAST)
