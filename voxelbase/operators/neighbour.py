@@ -22,12 +22,6 @@ def _at(data: Column, i: Column) -> Column:
     return F.get(data, F.least(F.greatest(i, F.lit(0)), F.size(data) - 1))
 
 
-def convolve(data: Column, kernel: list[float]) -> Column:
-    """A centred correlation with a short kernel of odd length, replicated border."""
-    r = len(kernel) // 2
-    return F.transform(data, lambda x, i: sum((F.lit(float(w)) * _at(data, i + (k - r)) for k, w in enumerate(kernel)), F.lit(0.0)))
-
-
 def mean_kernel(radius: int) -> list[float]:
     return [1 / (2 * radius + 1)] * (2 * radius + 1)
 
@@ -37,27 +31,6 @@ def gaussian_kernel(sigma: float, radius: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def crosstalk(data: Column, kernel: list[float]) -> Column:
-    """An asymmetric kernel, cut at the border and normalised over what is left."""
-    r = len(kernel) // 2
-
-    def one(x: Column, i: Column) -> Column:
-        inside = [((i + (k - r)).between(F.lit(0), F.size(data) - 1), F.get(data, i + (k - r)), w) for k, w in enumerate(kernel)]
-        total = sum((F.when(ok, F.lit(float(w))).otherwise(0.0) for ok, _, w in inside), F.lit(0.0))
-        return sum((F.when(ok, v * w).otherwise(0.0) for ok, v, w in inside), F.lit(0.0)) / total
-
-    return F.transform(data, one)
-
-
-def bilateral(data: Column, radius: int, sigma: float, sigma_value: float) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        terms = [(_at(data, i + k), math.exp(-(k * k) / (2 * sigma * sigma))) for k in range(-radius, radius + 1)]
-        weights = [F.lit(w) * F.exp(-(v - x) * (v - x) / (2 * sigma_value * sigma_value)) for v, w in terms]
-        return sum((w * v for w, (v, _) in zip(weights, terms, strict=True)), F.lit(0.0)) / sum(weights, F.lit(0.0))
-
-    return F.transform(data, one)
-
-
 def frame_map(frames: DataFrame, step) -> DataFrame:
     """``step`` (numpy array to numpy array) over each frame's pixels, for chains of stencils within a frame."""
 
@@ -74,6 +47,27 @@ def _stencil(x: np.ndarray, kernel: list[float]) -> np.ndarray:
     return np.correlate(np.pad(x, r, mode="edge"), kernel, mode="valid")
 
 
+def convolve(frames: DataFrame, kernel: list[float]) -> DataFrame:
+    """A centred correlation of each row with a short kernel of odd length, replicated border."""
+    return frame_map(frames, lambda x: _stencil(x, kernel))
+
+
+def crosstalk(frames: DataFrame, kernel: list[float]) -> DataFrame:
+    """An asymmetric kernel, cut at the border and normalised over what is left."""
+    r = len(kernel) // 2
+    inside = lambda x: np.correlate(np.pad(x, r), kernel, mode="valid")
+    return frame_map(frames, lambda x: inside(x) / inside(np.ones_like(x)))
+
+
+def bilateral(frames: DataFrame, radius: int, sigma: float, sigma_value: float) -> DataFrame:
+    def step(x: np.ndarray) -> np.ndarray:
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(x, radius, mode="edge"), 2 * radius + 1)
+        w = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma * sigma)) * np.exp(-((near - x[:, None]) ** 2) / (2 * sigma_value * sigma_value))
+        return (w * near).sum(axis=1) / w.sum(axis=1)
+
+    return frame_map(frames, step)
+
+
 def guided(frames: DataFrame, radius: int, eps: float) -> DataFrame:
     """Self-guided filter of ``data``: local linear models averaged over the window."""
     k = mean_kernel(radius)

@@ -17,11 +17,15 @@ def _median(sorted_values: Column) -> Column:
     return (F.get(sorted_values, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_values, F.floor(n / 2).cast("int"))) / 2
 
 
-def robust_threshold(frames: DataFrame, sigmas: float) -> DataFrame:
-    """(view, threshold, above) of each frame: median + sigmas * 1.4826 * MAD."""
+def robust_threshold(frames: DataFrame, sigmas: float, least: float = 2.220446049250313e-16) -> DataFrame:
+    """(view, threshold, above) of each frame: median + sigmas * 1.4826 * MAD; the standard deviation takes the MAD's place where that is ``least`` or less."""
     rows = frames.withColumn("__m", _median(F.array_sort("data")))
     mad = _median(F.array_sort(F.transform("data", lambda x: F.abs(x - F.col("__m")))))
-    rows = rows.withColumn("threshold", F.col("__m") + F.lit(sigmas * 1.4826) * mad)
+    n = F.size("data")
+    mean = F.aggregate("data", F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.sqrt(F.aggregate("data", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    rows = rows.withColumn("__s", 1.4826 * mad)
+    rows = rows.withColumn("threshold", F.col("__m") + F.lit(sigmas) * F.when(F.col("__s") > least, F.col("__s")).otherwise(spread))
     return rows.select("view", "threshold", F.size(F.filter("data", lambda x: x > F.col("threshold"))).cast("long").alias("above"))
 
 
@@ -35,3 +39,15 @@ def nearest(points: DataFrame, targets: DataFrame, gate: float) -> DataFrame:
     near = F.explode(F.array(cell("x") - 1, cell("x"), cell("x") + 1))
     met = points.withColumn("cell", near).join(targets.withColumn("cell", cell("bx")), "cell").withColumn("d", F.abs(F.col("x") - F.col("bx"))).where(F.col("d") <= gate)
     return met.groupBy("k").agg(F.min_by("bead", F.struct("d", "bead")).alias("bead"))
+
+
+def lower_quantiles(rows: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Per group the elements at place floor(q (n - 1)) of the sorted values, without interpolation.
+
+    Equal values are counted before they are sorted, so a group's task sorts distinct values only.
+    """
+    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(group)
+    counts = counts.withColumns({"up_to": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
+    at = lambda q: F.min(F.when(F.col("up_to") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
+    return counts.groupBy(group).agg(*(at(q).alias(name) for name, q in quantiles.items()))

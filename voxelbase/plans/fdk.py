@@ -8,14 +8,15 @@ before; packets of views can be reconstructed apart and added.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelbase.functions.scalar import cross, dot, minus, norm, vec
 from voxelbase.operators.geometry import Scan, angle_steps
-from voxelbase.operators.pointwise import cosine_weight
+from voxelbase.operators.pointwise import cosine_weight, parker_weight
 from voxelbase.operators.projector import Grid
 
 
@@ -30,7 +31,17 @@ def spatial_ramp(n: int) -> np.ndarray:
 
 def window_weights(kind: str, f: np.ndarray) -> np.ndarray:
     x = np.clip(f, 0, 1)
-    forms = {"ram_lak": np.ones_like(x), "shepp_logan": np.sinc(x / 2), "cosine": np.cos(np.pi * x / 2), "hann": 0.5 * (1 + np.cos(np.pi * x)), "hamming": 0.54 + 0.46 * np.cos(np.pi * x)}
+    forms = {
+        "ram_lak": np.ones_like(x),
+        "shepp_logan": np.sinc(x / 2),
+        "cosine": np.cos(np.pi * x / 2),
+        "hann": 0.5 * (1 + np.cos(np.pi * x)),
+        "hamming": 0.54 + 0.46 * np.cos(np.pi * x),
+        "blackman": 0.42 + 0.5 * np.cos(np.pi * x) + 0.08 * np.cos(2 * np.pi * x),
+        "butterworth": 1 / (1 + x**4),
+        "kaiser": np.i0(5.0 * np.sqrt(np.maximum(1 - (2 * x - 1) ** 2, 0))) / np.i0(5.0),
+        "tukey": np.where(x < 0.25, 0.5 * (1 + np.cos(np.pi * (4 * x - 1))), np.where(x > 0.75, 0.5 * (1 + np.cos(np.pi * (4 * x - 3))), 1.0)),
+    }
     return np.where(f <= 1, forms[kind], 0.0)
 
 
@@ -65,34 +76,107 @@ def to_frames(pixels: DataFrame, scan: Scan) -> DataFrame:
     return pixels.groupBy("view").agg(order.alias("p")).select("view", F.col("p.value").alias("data"))
 
 
-def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid) -> DataFrame:
-    """(voxel_id, value): sum over views of SOD^2 * step / depth^2 times the bilinear sample."""
-    rows = frames.join(geometry.join(angle_steps(geometry), "view"), "view")
-    i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.nx * grid.ny * grid.nz - 1).cast("long"))).alias("voxel_id")
-    rows = rows.select("*", i)
-    index = [F.col("voxel_id") % grid.nx, F.floor(F.col("voxel_id") / grid.nx) % grid.ny, F.floor(F.col("voxel_id") / (grid.nx * grid.ny))]
-    x = vec(*(F.lit(e + s / 2) + k * s for k, s, e in zip(index, grid.voxel, grid.edge, strict=True)))
-    n = cross(F.col("det_u"), F.col("det_v"))
-    d, q = minus(F.col("det_s"), F.col("src")), minus(x, F.col("src"))
-    det = dot(n, d)
-    w = dot(n, q) / det  # 1 on the detector's plane
-    u = dot(cross(F.col("det_v"), d), q) / det / w
-    v = dot(cross(d, F.col("det_u")), q) / det / w
-    depth = w * F.abs(det) / norm(n)  # along the detector's normal
-    rows = rows.select("voxel_id", "data", "step", u.alias("u"), v.alias("v"), depth.alias("depth"))
-    rows = rows.withColumns({"iu": F.floor("u"), "iv": F.floor("v")}).where(f"iu >= -1 and iu < {scan.nu} and iv >= -1 and iv < {scan.nv}")
-    fu, fv = F.col("u") - F.col("iu"), F.col("v") - F.col("iv")
-
-    def at(a: int, b: int):
-        iu, iv = F.col("iu") + a, F.col("iv") + b
-        return F.when(iu.between(0, scan.nu - 1) & iv.between(0, scan.nv - 1), F.get(F.col("data"), (iv * scan.nu + iu).cast("int"))).otherwise(0.0)
-
-    sample = (1 - fv) * ((1 - fu) * at(0, 0) + fu * at(1, 0)) + fv * ((1 - fu) * at(0, 1) + fu * at(1, 1))
-    return rows.groupBy("voxel_id").agg(F.sum(F.lit(scan.sid**2) * F.col("step") / (F.col("depth") * F.col("depth")) * sample).alias("value"))
+#: Frames that a task sums before it gives off its share of a slab, and voxels in a slab.
+FRAMES, SLAB = 32, 1 << 21
+#: What a voxel-driven back-projection multiplies its samples by.
+WEIGHTS = ("fdk", "none", "matched")
+
+
+def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid, weight: str = "fdk", nearest: bool = False) -> DataFrame:
+    """(voxel_id, value): sums over views of weighted samples of (view, data) where each voxel's ray meets the flat detector.
+
+    ``fdk``: SOD^2 * step / depth^2 with the depth along the detector's normal; ``none``:
+    plain sums; ``matched``: L^3 / (plane distance * l^2) * du * dv with L from source to
+    detector point and l from source to voxel, nearly the transpose of ray sums.
+    A task projects a slab of voxels for all its frames at once and gives off its share
+    of each slab; shares are added slab by slab.
+    """
+    names = ("src", "det_s", "det_u", "det_v")
+    flat = [F.col(f"{n}.{a}").alias(f"{n}_{a}") for n in names for a in "xyz"]
+    rows = frames.join(geometry.join(angle_steps(geometry), "view"), "view").select("data", "step", *flat)
+    depth = max(1, min(grid.nz, SLAB // (grid.nx * grid.ny)))
+    sid, nu, nv, pixel = scan.sid, scan.nu, scan.nv, scan.du * scan.dv
+    (vx, vy, vz), (ex, ey, ez) = grid.voxel, grid.edge
+
+    def one(x, y, z, g, data, step, out):
+        src, det_s, det_u, det_v = (np.array(g[3 * i : 3 * i + 3]) for i in range(4))
+        n, d = np.cross(det_u, det_v), det_s - src
+        det = n @ d
+        qx, qy, qz = x - src[0], y - src[1], z - src[2]
+        dot = lambda a: (a[0] * qx + a[1] * qy) + a[2] * qz
+        w = dot(n) / det  # 1 on the detector's plane
+        u, v = dot(np.cross(det_v, d)) / det / w, dot(np.cross(d, det_u)) / det / w
+        if nearest:
+            u, v = np.floor(u + 0.5), np.floor(v + 0.5)
+        iu, iv = np.floor(u), np.floor(v)
+        fu, fv = u - iu, v - iv
+        ok = (iu >= -1) & (iu < nu) & (iv >= -1) & (iv < nv)
+        # A margin of zeros stands for what lies outside.
+        wide = np.zeros((nv + 2, nu + 2))
+        wide[1 : nv + 1, 1 : nu + 1] = data
+        wide = wide.ravel()
+        at = np.where(ok, (iv + 1) * (nu + 2) + iu + 1, 0).astype(np.int64)
+        if nearest:
+            sample = wide[at]
+        else:
+            top, low = wide[at], wide[np.minimum(at + nu + 2, len(wide) - 1)]
+            sample = (1 - fv) * (top + fu * (wide[np.minimum(at + 1, len(wide) - 1)] - top)) + fv * (low + fu * (wide[np.minimum(at + nu + 3, len(wide) - 1)] - low))
+        if weight == "fdk":
+            sample = sample * (sid * sid * step) / (w * (abs(det) / np.linalg.norm(n))) ** 2
+        elif weight == "matched":
+            near2 = qx * qx + qy * qy + qz * qz
+            sample = sample * (np.sqrt(near2) / w) ** 3 / (abs(det) / np.linalg.norm(n) * near2) / pixel * (vx * vy * vz)
+        out += np.where(ok, sample, 0.0)
+
+    def run(batches):
+        x = (ex + (np.arange(grid.nx) + 0.5) * vx)[None, None, :]
+        y = (ey + (np.arange(grid.ny) + 0.5) * vy)[None, :, None]
+        for batch in batches:
+            for s in range(0, batch.num_rows, FRAMES):
+                part = batch.slice(s, FRAMES)
+                data = [r.values.to_numpy(zero_copy_only=False).reshape(nv, nu) for r in part.column("data")]
+                places = list(zip(*(part.column(f.name).to_pylist() for f in part.schema if f.name not in ("data", "step")), strict=True))
+                for slab, first in enumerate(range(0, grid.nz, depth)):
+                    z = (ez + (np.arange(first, min(first + depth, grid.nz)) + 0.5) * vz)[:, None, None]
+                    out = np.zeros((len(z), grid.ny, grid.nx))
+                    for g, p, step in zip(places, data, part.column("step").to_pylist(), strict=True):
+                        one(x, y, z, g, p, step, out)
+                    yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([out.ravel()], pa.list_(pa.float64()))], names=["slab", "share"])
 
+    shares = rows.mapInArrow(run, "slab long, share array<double>")
+    return shares.groupBy("slab").applyInArrow(_sum_shares(depth * grid.nx * grid.ny), "voxel_id long, value double")
 
-def reconstruct(pixels: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid, window: str = "ram_lak") -> DataFrame:
-    """FDK of (view, v, u, value): weight, filter, back-project. A full turn counts each ray twice; the weight holds the half."""
-    filtered = filter_frames(to_frames(preweight(pixels, scan), scan), scan, window)
-    return back_project(filtered, geometry, scan, grid)
 
+def _sum_shares(size: int):
+    """The shares of one slab, as many as there are packets of frames, added up."""
+
+    def run(key, table):
+        total = None
+        for share in table.column("share"):
+            v = share.values.to_numpy(zero_copy_only=False)
+            total = v.copy() if total is None else total + v
+        base = key[0].as_py() * size
+        return pa.table({"voxel_id": pa.array(np.arange(base, base + len(total))), "value": pa.array(total)})
+
+    return run
+
+
+def short_scan(scan: Scan) -> bool:
+    """Whether the views cover less than a turn, within half a view."""
+    return scan.views < (scan.per_turn or scan.views) - 0.5
+
+
+def short_scan_weight(pixels: DataFrame, geometry: DataFrame, scan: Scan) -> DataFrame:
+    """(view, v, u, value) times the short scan's redundancy weight, and the turn's share that the back-projection leaves out."""
+    gamma = F.atan((F.col("u") - (scan.nu - 1) / 2) * scan.du / scan.sdd) * scan.direction
+    fan = math.atan((scan.nu - 1) / 2 * scan.du / scan.sdd)
+    covered = scan.views * 2 * math.pi / scan.per_turn
+    rows = pixels.join(geometry.select("view", (F.abs(F.col("angle") - F.lit(scan.start))).alias("beta")), "view")
+    return rows.select("view", "v", "u", (F.col("value") * parker_weight(F.col("beta"), gamma, fan, covered) * (2 * math.pi / covered)).alias("value"))
+
+
+def reconstruct(pixels: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid, window: str = "ram_lak") -> DataFrame:
+    """FDK of (view, v, u, value): weight, filter, back-project. A full turn counts each ray twice; the weight holds the half, and short scans get theirs."""
+    rows = preweight(pixels, scan)
+    rows = short_scan_weight(rows, geometry, scan) if short_scan(scan) else rows
+    return back_project(filter_frames(to_frames(rows, scan), scan, window), geometry, scan, grid)

@@ -8,6 +8,7 @@ sees.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -48,16 +49,11 @@ def bounded(x: DataFrame, low: float | None, high: float | None) -> DataFrame:
 
 
 def golden_order(n: int) -> list[int]:
-    """Subsets visited by steps of about n / 1.618, each once."""
+    """Subsets visited by a step of about n / 1.618, raised until it shares no factor with n."""
     step = max(1, round(n / 1.6180339887498949))
-    seen: list[int] = []
-    at = 0
-    while len(seen) < n:
-        while at in seen:
-            at = (at + 1) % n
-        seen.append(at)
-        at = (at + step) % n
-    return seen
+    while math.gcd(step, n) > 1:
+        step += 1
+    return [i * step % n for i in range(n)]
 
 
 def algebraic(matrix: DataFrame, b: DataFrame, iterations: int, relax: float = 1.0, decay: float = 1.0, subsets: Callable[[Column], Column] | None = None, n_subsets: int = 1, golden: bool = False, low: float | None = 0.0, high: float | None = None, x0: DataFrame | None = None) -> DataFrame:
@@ -80,10 +76,14 @@ def algebraic(matrix: DataFrame, b: DataFrame, iterations: int, relax: float = 1
 
 
 def cgls(matrix: DataFrame, b: DataFrame, iterations: int) -> DataFrame:
-    """Conjugate gradients on the normal equations; a step that raises the residual is undone and ends the run."""
+    """Conjugate gradients on the normal equations.
+
+    A step that raises the residual is undone, and the directions start afresh from
+    the residual of the volume kept; a second such step in a row ends the run.
+    """
     x, r = settle(zeros(matrix)), settle(b.select("ray_id", "value"))
     p = settle(back(matrix, r))
-    gamma, size = norm2(p), norm2(r)
+    gamma, size, fresh = norm2(p), norm2(r), False
     for _ in range(iterations):
         q = settle(forward(matrix, p))
         qq = norm2(q)
@@ -93,8 +93,13 @@ def cgls(matrix: DataFrame, b: DataFrame, iterations: int) -> DataFrame:
         x_new, r_new = settle(axpy(x, alpha, p, "voxel_id")), settle(axpy(r, -alpha, q, "ray_id"))
         size_new = norm2(r_new)
         if size_new > size:
-            break
-        x, r, size = x_new, r_new, size_new
+            if fresh:
+                break
+            r = settle(residual(matrix, b, x))
+            p = settle(back(matrix, r))
+            gamma, size, fresh = norm2(p), norm2(r), True
+            continue
+        x, r, size, fresh = x_new, r_new, size_new, False
         s = settle(back(matrix, r))
         gamma, before = norm2(s), gamma
         p = settle(axpy(s, gamma / (before + EPS * EPS), p, "voxel_id"))
@@ -119,29 +124,119 @@ def quadratic_gradient(x: DataFrame, grid: Grid) -> DataFrame:
     return neighbours(x, grid).groupBy("voxel_id").agg(F.sum(F.col("value") - F.col("other")).alias("value"))
 
 
-def huber_gradient(delta: float) -> Callable[[DataFrame, Grid], DataFrame]:
-    def gradient(x: DataFrame, grid: Grid) -> DataFrame:
-        d = F.col("value") - F.col("other")
-        return neighbours(x, grid).groupBy("voxel_id").agg(F.sum(d / F.greatest(F.lit(1.0), F.abs(d) / delta)).alias("value"))
+def slopes(x: DataFrame, grid: Grid) -> DataFrame:
+    """(voxel_id, gx, gy, gz): differences to the next voxel of each axis; 0 at the grid's end and next to voxels outside the table."""
+    i = F.col("voxel_id")
+    places = {"gx": (i % grid.nx, 1), "gy": (F.floor(i / grid.nx) % grid.ny, grid.nx), "gz": (F.floor(i / (grid.nx * grid.ny)), grid.nx * grid.ny)}
+    sent = [F.when(place > 0, F.struct((i - k).alias("to"), F.lit(name).alias("axis"))) for name, (place, k) in places.items()]
+    after = x.select(F.explode(F.filter(F.array(*sent), lambda t: t.isNotNull())).alias("s"), F.col("value").alias("next"))
+    after = after.groupBy(F.col("s.to").alias("voxel_id")).agg(*(F.max(F.when(F.col("s.axis") == name, F.col("next"))).alias(name) for name in places))
+    return x.join(after, "voxel_id", "left").select("voxel_id", *(F.coalesce(F.col(name) - F.col("value"), F.lit(0.0)).alias(name) for name in places))
 
-    return gradient
 
+def _divergence(x: DataFrame, grid: Grid, weight: Callable[[Column], Column]) -> DataFrame:
+    """Minus the divergence of ``weight(norm of the slopes)`` times the slopes: a gradient over (voxel_id, value)."""
+    g = [F.col(c) for c in ("gx", "gy", "gz")]
+    w = weight(F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2]))
+    i = F.col("voxel_id")
+    steps = (1, grid.nx, grid.nx * grid.ny)
+    flux = [F.struct((i + k).alias("to"), (w * c).alias("f")) for c, k in zip(g, steps, strict=True)] + [F.struct(i.alias("to"), (-w * (g[0] + g[1] + g[2])).alias("f"))]
+    sums = slopes(x, grid).select(F.explode(F.array(*flux)).alias("s")).groupBy(F.col("s.to").alias("voxel_id")).agg(F.sum("s.f").alias("value"))
+    return sums.join(x.select("voxel_id"), "voxel_id", "left_semi")
+
+
+def huber_gradient(delta: float) -> Callable[[DataFrame, Grid], DataFrame]:
+    """Of the Huber function of the slopes' norm."""
+    return lambda x, grid: _divergence(x, grid, lambda n: 1 / F.greatest(F.lit(delta), n))
 
-def smoothed_tv_gradient(eps: float) -> Callable[[DataFrame, Grid], DataFrame]:
-    def gradient(x: DataFrame, grid: Grid) -> DataFrame:
-        d = F.col("value") - F.col("other")
-        return neighbours(x, grid).groupBy("voxel_id").agg(F.sum(d / F.sqrt(d * d + eps * eps)).alias("value"))
 
-    return gradient
+def smoothed_tv_gradient(eps: float) -> Callable[[DataFrame, Grid], DataFrame]:
+    """Of sqrt(|slopes|^2 + eps^2) - eps."""
+    return lambda x, grid: _divergence(x, grid, lambda n: 1 / F.sqrt(n * n + eps * eps))
 
 
 def penalty_value(x: DataFrame, grid: Grid, kind: str, parameter: float = 1.0) -> float:
-    """The penalty's value: ``tikhonov``, ``quadratic``, ``huber`` or ``smoothed_tv`` over neighbour pairs."""
+    """The penalty's value: ``tikhonov``; ``quadratic`` over neighbour pairs; ``huber``, ``smoothed_tv`` or ``tv`` of the slopes' norm."""
     if kind == "tikhonov":
         return 0.5 * norm2(x)
-    d = F.abs(F.col("value") - F.col("other"))
-    each = {"quadratic": 0.5 * d * d, "huber": F.when(d <= parameter, d * d / (2 * parameter)).otherwise(d - parameter / 2), "smoothed_tv": F.sqrt(d * d + parameter * parameter) - parameter}[kind]
-    return neighbours(x, grid).agg(F.coalesce(F.sum(each), F.lit(0.0)) / 2).first()[0]
+    if kind == "quadratic":
+        d = F.col("value") - F.col("other")
+        return neighbours(x, grid).agg(F.coalesce(F.sum(0.5 * d * d), F.lit(0.0)) / 2).first()[0]
+    n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
+    each = {"huber": F.when(n <= parameter, n * n / (2 * parameter)).otherwise(n - parameter / 2), "smoothed_tv": F.sqrt(n * n + parameter * parameter) - parameter, "tv": n}[kind]
+    return slopes(x, grid).agg(F.coalesce(F.sum(each), F.lit(0.0))).first()[0]
+
+
+def smooth_by_tv(x: DataFrame, grid: Grid, rounds: int, step: float, eps: float) -> DataFrame:
+    """Steps down the smoothed total variation, as taken after an outer iteration."""
+    gradient = smoothed_tv_gradient(eps)
+    for _ in range(rounds):
+        x = settle(axpy(x, -step, gradient(x, grid), "voxel_id"))
+    return x
+
+
+def weighted_squares(matrix: DataFrame, b: DataFrame, weights: DataFrame, x: DataFrame, scale: float = 1.0) -> float:
+    """scale / 2 times the weighted squares of b - A x; a weight that is negative or not finite stops the query."""
+    w = F.col("weight")
+    bad = F.isnan(w) | (w < 0) | (w == float("inf"))
+    rows = residual(matrix, b, x).join(weights, "ray_id").withColumn("weight", F.when(bad, F.raise_error(F.lit("odd weight")).cast("double")).otherwise(w))
+    return rows.agg(F.coalesce(F.sum(w * F.col("value") * F.col("value")), F.lit(0.0))).first()[0] * scale / 2
+
+
+def lipschitz(matrix: DataFrame, weights: DataFrame) -> float:
+    """The largest entry of A' W A 1."""
+    one = row_sums(matrix).join(weights, "ray_id").select("ray_id", (F.col("total") * F.col("weight")).alias("value"))
+    return back(matrix, one).agg(F.coalesce(F.max(F.abs("value")), F.lit(0.0))).first()[0]
+
+
+def descend(matrix: DataFrame, b: DataFrame, grid: Grid, weights: DataFrame, iterations: int, strength: float, penalty: tuple[str, float], gradient, low: float | None = 0.0) -> DataFrame:
+    """Gradient descent that never rises: a step is halved until objective <= before + 1e-12 max(1, |before|)."""
+    x = settle(zeros(matrix))
+    cost = lambda t: weighted_squares(matrix, b, weights, t) + strength * penalty_value(t, grid, *penalty)
+    value, step = cost(x), 1.0 / max(lipschitz(matrix, weights), EPS)
+    for _ in range(iterations):
+        r = residual(matrix, b, x).join(weights, "ray_id").select("ray_id", (F.col("value") * F.col("weight")).alias("value"))
+        down = settle(axpy(back(matrix, r), -strength, gradient(x, grid), "voxel_id"))
+        for _ in range(30):
+            new = settle(bounded(axpy(x, step, down, "voxel_id"), low, None))
+            got = cost(new)
+            if got <= value + 1e-12 * max(1.0, abs(value)):
+                x, value = new, got
+                break
+            step /= 2
+        else:
+            break
+    return x
+
+
+def regularised(matrix: DataFrame, b: DataFrame, grid: Grid, iterations: int, relax: float, strength: float, gradient, low: float | None = 0.0) -> DataFrame:
+    """An algebraic update, then a step down the penalty, one after the other."""
+    x = zeros(matrix)
+    for _ in range(iterations):
+        x = algebraic(matrix, b, 1, relax, low=low, x0=x)
+        x = settle(bounded(axpy(x, -strength, gradient(x, grid), "voxel_id"), low, None))
+    return x
+
+
+def tv_denoise(z: DataFrame, grid: Grid, strength: float, rounds: int) -> DataFrame:
+    """The proximal map of total variation by the primal-dual iteration of Chambolle and Pock: min 1/2 |u - z|^2 + strength * TV(u)."""
+    tau = sigma = 1 / 12**0.5  # of the difference operator's norm, at most sqrt(12)
+    u = bar = settle(z)
+    axes = ("gx", "gy", "gz")
+    p = settle(z.select("voxel_id", *(F.lit(0.0).alias(c) for c in axes)))
+    for _ in range(rounds):
+        g = slopes(bar, grid).select("voxel_id", *(F.col(c).alias(f"d{c}") for c in axes))
+        moved = p.join(g, "voxel_id").select("voxel_id", *((F.col(c) + sigma * F.col(f"d{c}")).alias(c) for c in axes))
+        size = F.greatest(F.lit(1.0), F.sqrt(sum((F.col(c) * F.col(c) for c in axes), F.lit(0.0))) / strength)
+        p = settle(moved.select("voxel_id", *((F.col(c) / size).alias(c) for c in axes)))
+        i = F.col("voxel_id")
+        flux = [F.struct((i + k).alias("to"), F.col(c).alias("f")) for c, k in zip(axes, (1, grid.nx, grid.nx * grid.ny), strict=True)] + [F.struct(i.alias("to"), (-F.col("gx") - F.col("gy") - F.col("gz")).alias("f"))]
+        adjoint = p.select(F.explode(F.array(*flux)).alias("s")).groupBy(F.col("s.to").alias("voxel_id")).agg(F.sum("s.f").alias("pull"))
+        rows = u.join(adjoint, "voxel_id", "left").join(z.withColumnRenamed("value", "z"), "voxel_id")
+        new = (F.col("value") - tau * F.coalesce("pull", F.lit(0.0)) + tau * F.col("z")) / (1 + tau)
+        both = settle(rows.select("voxel_id", new.alias("value"), (2 * new - F.col("value")).alias("bar")))
+        u, bar = both.select("voxel_id", "value"), both.select("voxel_id", F.col("bar").alias("value"))
+    return u
 
 
 def penalised(matrix: DataFrame, b: DataFrame, grid: Grid, iterations: int, step: float, strength: float, gradient=tikhonov_gradient, weights: DataFrame | None = None, low: float | None = 0.0, nesterov: bool = False) -> DataFrame:

@@ -47,7 +47,7 @@ def _(spark, d):
     return rows.groupBy("label").agg(F.count(v).alias("n"), tidy(F.avg(v)).alias("mean"), tidy(F.stddev_pop(v)).alias("std"), tidy(F.min(v)).alias("low"), tidy(F.max(v)).alias("high"))
 
 
-@query("roi_profile", f"WITH v AS (SELECT p_partkey AS i, p_size / 1000.0 AS value FROM part WHERE p_partkey < 400), z AS (SELECT i // 100 AS z, avg(value) AS m, count(*) AS n FROM v WHERE pow(i % 10 - 4.5, 2) + pow((i // 10) % 10 - 4.5, 2) <= 9 GROUP BY ALL) SELECT z, n, {R('m')} AS mean FROM z")
+@query("roi_profile", f"WITH v AS (SELECT p_partkey % 400 AS i, avg(p_size) / 1000.0 AS value FROM part GROUP BY 1), z AS (SELECT i // 100 AS z, avg(value) AS m, count(*) AS n FROM v WHERE pow(i % 10 - 4.5, 2) + pow((i // 10) % 10 - 4.5, 2) <= 9 GROUP BY ALL) SELECT z, n, {R('m')} AS mean FROM z")
 def _(spark, d):
     i = F.col("voxel_id")
     inside = F.pow(i % 10 - 4.5, 2.0) + F.pow(F.floor(i / 10) % 10 - 4.5, 2.0) <= 9
@@ -71,7 +71,7 @@ def _(spark, d):
     return pixels(spark, d).where("value > 0.1").groupBy("view").agg(tidy(F.sum(F.col("u") * w) / F.sum(w), 5).alias("u"), F.count(F.lit(1)).alias("n"))
 
 
-@query("block_average", f"SELECT (i % 10) // 2 AS bx, ((i // 10) % 10) // 2 AS by, (i // 100) // 2 AS bz, {R('avg(p_size / 1000.0)')} AS value FROM (SELECT p_partkey AS i, p_size FROM part WHERE p_partkey < 400) GROUP BY ALL")
+@query("block_average", f"SELECT (i % 10) // 2 AS bx, ((i // 10) % 10) // 2 AS by, (i // 100) // 2 AS bz, {R('avg(s)')} AS value FROM (SELECT p_partkey % 400 AS i, avg(p_size) / 1000.0 AS s FROM part GROUP BY 1) GROUP BY ALL")
 def _(spark, d):
     return M.block_average(volume(spark, d, 10, 10, 4), 10, 10, 2).select("bx", "by", "bz", tidy(F.col("value")).alias("value"))
 

@@ -36,29 +36,29 @@ def _stencil(terms: dict[int, float]) -> str:
     return f"WITH {PX}, k(o, w) AS (VALUES {k}) SELECT p.view, p.u, {R('sum(k.w * q.value)')} AS value FROM px p, k JOIN px q ON q.view = p.view AND q.u = least(greatest(p.u + k.o, 0), 63) GROUP BY p.view, p.u"
 
 
-@query("mean_filter", _stencil({k: 1 / 5 for k in range(-2, 3)}))
+@query("mean_filter_row", _stencil({k: 1 / 5 for k in range(-2, 3)}))
 def _(spark, d):
-    return _flat(frames(spark, d).withColumn("data", N.convolve(F.col("data"), N.mean_kernel(2))))
+    return _flat(N.convolve(frames(spark, d), N.mean_kernel(2)))
 
 
-@query("gaussian_filter", _stencil(dict(zip(range(-3, 4), N.gaussian_kernel(1.2, 3), strict=True))))
+@query("gaussian_filter_row", _stencil(dict(zip(range(-3, 4), N.gaussian_kernel(1.2, 3), strict=True))))
 def _(spark, d):
-    return _flat(frames(spark, d).withColumn("data", N.convolve(F.col("data"), N.gaussian_kernel(1.2, 3))))
+    return _flat(N.convolve(frames(spark, d), N.gaussian_kernel(1.2, 3)))
 
 
 @query("edge_convolution", _stencil({-1: 0.2, 0: 0.5, 1: 0.3}))
 def _(spark, d):
-    return _flat(frames(spark, d).withColumn("data", N.convolve(F.col("data"), [0.2, 0.5, 0.3])))
+    return _flat(N.convolve(frames(spark, d), [0.2, 0.5, 0.3]))
 
 
 @query("crosstalk", f"WITH {PX}, k(o, w) AS (VALUES (-1, 0.1), (0, 0.7), (1, 0.2)) SELECT p.view, p.u, {R('sum(k.w * q.value) / sum(k.w)')} AS value FROM px p, k JOIN px q ON q.view = p.view AND q.u = p.u + k.o GROUP BY p.view, p.u")
 def _(spark, d):
-    return _flat(frames(spark, d).withColumn("data", N.crosstalk(F.col("data"), [0.1, 0.7, 0.2])))
+    return _flat(N.crosstalk(frames(spark, d), [0.1, 0.7, 0.2]))
 
 
-@query("bilateral_filter", f"WITH {PX}, w AS (SELECT p.view, p.u, q.value, exp(-pow(k.o, 2) / 4.5) * exp(-pow(q.value - p.value, 2) / 0.02) AS w FROM px p, range(-2, 3) k(o) JOIN px q ON q.view = p.view AND q.u = least(greatest(p.u + k.o, 0), 63)) SELECT view, u, {R('sum(w * value) / sum(w)')} AS value FROM w GROUP BY view, u")
+@query("bilateral_filter_row", f"WITH {PX}, w AS (SELECT p.view, p.u, q.value, exp(-pow(k.o, 2) / 4.5) * exp(-pow(q.value - p.value, 2) / 0.02) AS w FROM px p, range(-2, 3) k(o) JOIN px q ON q.view = p.view AND q.u = least(greatest(p.u + k.o, 0), 63)) SELECT view, u, {R('sum(w * value) / sum(w)')} AS value FROM w GROUP BY view, u")
 def _(spark, d):
-    return _flat(frames(spark, d).withColumn("data", N.bilateral(F.col("data"), 2, 1.5, 0.1)))
+    return _flat(N.bilateral(frames(spark, d), 2, 1.5, 0.1))
 
 
 GUIDED = f"""WITH {PX}, m AS (SELECT p.view, p.u, avg(q.value) AS m, avg(q.value * q.value) AS s FROM px p, range(-2, 3) k(o) JOIN px q ON q.view = p.view AND q.u = least(greatest(p.u + k.o, 0), 63) GROUP BY p.view, p.u),
@@ -67,7 +67,7 @@ av AS (SELECT p.view, p.u, avg(q.a) AS a, avg(q.b) AS b FROM px p, range(-2, 3)
 SELECT view, u, {R('value * a + b')} AS value FROM px JOIN av USING (view, u)"""
 
 
-@query("guided_filter", GUIDED)
+@query("guided_filter_row", GUIDED)
 def _(spark, d):
     return _flat(N.guided(frames(spark, d), 2, 0.01))
 
@@ -102,15 +102,15 @@ def _(spark, d):
     return N.afterglow(pixels(spark, d), ["u"], "view", 0.05, 0.3, 20).select("view", "u", tidy(F.col("out")).alias("out"))
 
 
-@query("track_prediction", f"WITH {PX} SELECT view, label, u AS target, {R('2 * lag(value, 1) OVER w - lag(value, 2) OVER w')} AS predicted FROM px WHERE u < 5 WINDOW w AS (PARTITION BY u ORDER BY view)")
+@query("track_prediction", f"WITH {PX} SELECT view, label, u AS target, {R('2 * lag(value, 1) OVER w - lag(value, 2) OVER w')} AS predicted FROM px WINDOW w AS (PARTITION BY u ORDER BY view)")
 def _(spark, d):
-    rows = pixels(spark, d).where("u < 5").select("view", "label", F.col("u").alias("target"), F.col("value").alias("u"))
+    rows = pixels(spark, d).select("view", "label", F.col("u").alias("target"), F.col("value").alias("u"))
     return N.predict_tracks(rows).select("view", "label", "target", tidy(F.col("predicted")).alias("predicted"))
 
 
-@query("stagnation", f"WITH r AS (SELECT event_type AS solver, event_id AS iteration, 1 + value AS residual FROM events WHERE event_id < 2000), c AS (SELECT *, abs(residual - lag(residual) OVER w) / lag(residual) OVER w AS change FROM r WINDOW w AS (PARTITION BY solver ORDER BY iteration)), g AS (SELECT *, coalesce(change < 0.4, false) AS slow, sum(CASE WHEN coalesce(change < 0.4, false) THEN 0 ELSE 1 END) OVER (PARTITION BY solver ORDER BY iteration) AS grp FROM c) SELECT solver, iteration, {R('change')} AS change, (sum(slow::int) OVER (PARTITION BY solver, grp ORDER BY iteration))::bigint AS patience FROM g")
+@query("stagnation", f"WITH r AS (SELECT event_type AS solver, event_id AS iteration, 1 + value AS residual FROM events), c AS (SELECT *, abs(residual - lag(residual) OVER w) / lag(residual) OVER w AS change FROM r WINDOW w AS (PARTITION BY solver ORDER BY iteration)), g AS (SELECT *, coalesce(change < 0.4, false) AS slow, sum(CASE WHEN coalesce(change < 0.4, false) THEN 0 ELSE 1 END) OVER (PARTITION BY solver ORDER BY iteration) AS grp FROM c) SELECT solver, iteration, {R('change')} AS change, (sum(slow::int) OVER (PARTITION BY solver, grp ORDER BY iteration))::bigint AS patience FROM g")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").where("event_id < 2000").select(F.col("event_type").alias("solver"), F.col("event_id").alias("iteration"), (1 + F.col("value")).alias("residual"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("solver"), F.col("event_id").alias("iteration"), (1 + F.col("value")).alias("residual"))
     return N.stagnation(rows, 0.4).select("solver", "iteration", tidy(F.col("change")).alias("change"), "patience")
 
 
@@ -142,7 +142,7 @@ def _(spark, d):
     return pixels(spark, d).groupBy("label").agg(*q)
 
 
-@query("robust_threshold", f"WITH {PX}, m AS (SELECT view, median(value) AS m FROM px GROUP BY view), a AS (SELECT view, any_value(m) AS m, median(abs(value - m)) AS mad FROM px JOIN m USING (view) GROUP BY view) SELECT view, {R('m + 3 * 1.4826 * mad')} AS threshold, (SELECT count(*) FROM px WHERE px.view = a.view AND px.value > m + 3 * 1.4826 * mad) AS above FROM a")
+@query("robust_threshold", f"WITH {PX}, m AS (SELECT view, median(value) AS m FROM px GROUP BY view), a AS (SELECT view, any_value(m) AS m, median(abs(value - m)) AS mad, stddev_pop(value) AS sd FROM px JOIN m USING (view) GROUP BY view) SELECT view, {R('m + 3 * s')} AS threshold, (SELECT count(*) FROM px WHERE px.view = a.view AND px.value > m + 3 * s) AS above FROM (SELECT view, m, CASE WHEN 1.4826 * mad > 2.3e-16 THEN 1.4826 * mad ELSE sd END AS s FROM a)a")
 def _(spark, d):
     return O.robust_threshold(frames(spark, d), 3.0).select("view", tidy(F.col("threshold")).alias("threshold"), "above")
 
@@ -153,11 +153,19 @@ def _(spark, d):
     return s.groupBy("label").agg(F.max_by("view", F.struct("s", -F.col("view"))).alias("view"), tidy(F.max("s")).alias("score"))
 
 
-@query("golden_order", "SELECT pos::int AS pos, s::int AS s FROM (VALUES (0, 0), (1, 5), (2, 2), (3, 7), (4, 4), (5, 1), (6, 6), (7, 3)) t(pos, s)")
+GOLDEN = "WITH s AS (SELECT n, min(s) AS step FROM range(2, 41) a(n), range(1, 80) b(s) WHERE s >= greatest(1, round(n / 1.6180339887498949)) AND gcd(s, n) = 1 GROUP BY n) SELECT n::int AS n, pos::int AS pos, ((pos * step) % n)::int AS subset FROM s, range(0, 40) p(pos) WHERE pos < n"
+
+
+@query("golden_order", GOLDEN)
 def _(spark, d):
     from voxelbase.plans.solve import golden_order
 
-    return spark.createDataFrame(list(enumerate(golden_order(8))), "pos int, s int")
+    return spark.createDataFrame([(n, i, s) for n in range(2, 41) for i, s in enumerate(golden_order(n))], "n int, pos int, subset int")
+
+
+@query("lower_quantiles", f"WITH {PX}, r AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value) AS k, count(*) OVER (PARTITION BY label) AS n FROM px) SELECT label, {R('max(CASE WHEN k = floor(0.05 * (n - 1)) + 1 THEN value END)')} AS q05, {R('max(CASE WHEN k = floor(0.95 * (n - 1)) + 1 THEN value END)')} AS q95 FROM r GROUP BY label")
+def _(spark, d):
+    return O.lower_quantiles(pixels(spark, d), "label", "value", {"q05": 0.05, "q95": 0.95}).select("label", tidy(F.col("q05")).alias("q05"), tidy(F.col("q95")).alias("q95"))
 
 
 @query("rejected_targets", f"WITH {PX} SELECT DISTINCT u AS target FROM px EXCEPT SELECT u FROM px WHERE value > 0.55")

@@ -56,8 +56,8 @@ def matrix_sql(s: Scan, g: Grid) -> str:
 a AS MATERIALIZED (SELECT ray_id, voxel_id, (hi - lo) * len AS weight FROM (SELECT ray_id, voxel_id, sqrt(dx * dx + dy * dy + dz * dz) AS len, greatest(0.0, {low}) AS lo, least(1.0, {high}) AS hi FROM ray, vox) WHERE hi - lo > 1e-12)"""
 
 
-BASE = f"{geo_sql(SCAN)}, {rays_sql(SCAN)}, {matrix_sql(SCAN, GRID)}, x AS (SELECT p_partkey AS voxel_id, p_size / 1000.0 AS value FROM part WHERE p_partkey < {GRID.nx * GRID.ny * GRID.nz})"
-FORWARD = f"{BASE}, b AS MATERIALIZED (SELECT ray_id, sum(weight * value) AS value FROM a JOIN x USING (voxel_id) GROUP BY ray_id)"
+BASE = f"{geo_sql(SCAN)}, {rays_sql(SCAN)}, {matrix_sql(SCAN, GRID)}, x AS (SELECT p_partkey % {GRID.nx * GRID.ny * GRID.nz} AS voxel_id, avg(p_size) / 1000.0 AS value FROM part GROUP BY 1)"
+FORWARD = f"{BASE}, b AS MATERIALIZED (SELECT ray_id, coalesce(p.value, 0.0) AS value FROM ray LEFT JOIN (SELECT ray_id, sum(weight * value) AS value FROM a JOIN x USING (voxel_id) GROUP BY ray_id) p USING (ray_id))"
 
 
 def scene(spark, d):
@@ -66,8 +66,10 @@ def scene(spark, d):
 
 
 def data(spark, d):
+    """The matrix, and a reading of every ray: 0 where it meets nothing, which is a measurement too."""
     matrix, x = scene(spark, d)
-    return matrix, J.forward(matrix, x)
+    rays = J.rays(G.flat_geometry(spark, SCAN), SCAN).select("ray_id")
+    return matrix, rays.join(J.forward(matrix, x), "ray_id", "left").select("ray_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def _geometry_columns(g, *extra):
@@ -138,13 +140,13 @@ def _(spark, d):
 
 @query(
     "project_points",
-    f"""WITH {geo_sql(SCAN)}, p AS (SELECT p_partkey AS k, p_partkey % 7 - 3.0 AS x, p_partkey % 5 - 2.0 AS y, (p_partkey % 3 - 1.0) AS z FROM part WHERE p_partkey < 50),
+    f"""WITH {geo_sql(SCAN)}, p AS (SELECT p_partkey AS k, p_partkey % 7 - 3.0 AS x, p_partkey % 5 - 2.0 AS y, (p_partkey % 3 - 1.0) AS z FROM part),
 t AS (SELECT view, k, {SCAN.sdd} / ((x - sx) * sin(a) * -1 + (y - sy) * cos(a)) AS m, (x - sx) * cos(a) + (y - sy) * sin(a) AS h, z - sz AS w FROM geo, p)
 SELECT view, k, {R('h * m / 1.6 + 7.5')} AS u, {R('w * m / 1.6 + 1.5')} AS v FROM t""",
 )
 def _(spark, d):
     k = F.col("p_partkey")
-    points = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 50").select(k.alias("k"), F.struct((k % 7 - 3.0).alias("x"), (k % 5 - 2.0).alias("y"), (k % 3 - 1.0).alias("z")).alias("x"))
+    points = spark.read.parquet(f"{d}/part.parquet").select(k.alias("k"), F.struct((k % 7 - 3.0).alias("x"), (k % 5 - 2.0).alias("y"), (k % 3 - 1.0).alias("z")).alias("x"))
     rows = points.crossJoin(F.broadcast(G.projection_matrix(G.flat_geometry(spark, SCAN))))  # one small matrix a view
     u, v = G.project(F.col("p"), F.col("x"))
     return rows.select("view", "k", tidy(u).alias("u"), tidy(v).alias("v"))
@@ -173,7 +175,7 @@ def _(spark, d):
     return rows.select("kind", "id", tidy(F.col("total")).alias("total"))
 
 
-JOSEPH_SQL = f"""WITH {geo_sql(SCAN)}, {rays_sql(SCAN)}, x AS (SELECT p_partkey AS voxel_id, p_size / 1000.0 AS value FROM part WHERE p_partkey < 400),
+JOSEPH_SQL = f"""WITH {geo_sql(SCAN)}, {rays_sql(SCAN)}, x AS (SELECT p_partkey % 400 AS voxel_id, avg(p_size) / 1000.0 AS value FROM part GROUP BY 1),
 r AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS len, CASE WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN 0 WHEN abs(dy) >= abs(dz) THEN 1 ELSE 2 END AS m FROM ray),
 s AS (SELECT ray_id, m, k, len / abs(CASE m WHEN 0 THEN dx ELSE dy END) AS step, ((-5 + k + 0.5) - CASE m WHEN 0 THEN sx ELSE sy END) / CASE m WHEN 0 THEN dx ELSE dy END AS t, sx, sy, sz, dx, dy, dz FROM r, range(0, 10) q(k) WHERE m < 2),
 p AS (SELECT ray_id, m, k, step, CASE m WHEN 0 THEN sy + t * dy ELSE sx + t * dx END + 5 - 0.5 AS pb, sz + t * dz + 2 - 0.5 AS pc FROM s WHERE t BETWEEN 0 AND 1),
@@ -243,7 +245,7 @@ def _(spark, d):
     return _volume(solve.algebraic(solve.settle(m), solve.settle(b), 3))
 
 
-@query("os_sart", sirt_sql(2, solve.golden_order(3), 0.8, 0.95))
+@query("os_sart", sirt_sql(2, [0, 2, 1], 0.8, 0.95))
 def _(spark, d):
     m, b = data(spark, d)
     x = solve.algebraic(solve.settle(m), solve.settle(b), 2, 0.8, 0.95, subsets=lambda ray: F.floor(ray / 64) % 3, n_subsets=3, golden=True)
@@ -287,11 +289,14 @@ def gradient_sql(iterations: int, step: float, strength: float, grad: str) -> st
 
 PAIR = "SELECT x.voxel_id, sum({e}) AS value FROM {{x}} x JOIN nb USING (voxel_id) JOIN {{x}} o ON o.voxel_id = nb.other GROUP BY x.voxel_id"
 D = "(x.value - o.value)"
+SLOPES = "SELECT v.voxel_id, coalesce(a.value - v.value, 0.0) AS gx, coalesce(b.value - v.value, 0.0) AS gy, coalesce(c.value - v.value, 0.0) AS gz FROM {x} v JOIN vox USING (voxel_id) LEFT JOIN {x} a ON a.voxel_id = v.voxel_id + 1 AND ix < 9 LEFT JOIN {x} b ON b.voxel_id = v.voxel_id + 10 AND iy < 9 LEFT JOIN {x} c ON c.voxel_id = v.voxel_id + 100"
+FLUX = "WITH s AS (" + SLOPES.replace("{x}", "{{x}}") + "), t AS (SELECT *, {w} AS w FROM s) SELECT voxel_id, sum(f) AS value FROM (SELECT voxel_id, -w * (gx + gy + gz) AS f FROM t UNION ALL SELECT voxel_id + 1, w * gx FROM t UNION ALL SELECT voxel_id + 10, w * gy FROM t UNION ALL SELECT voxel_id + 100, w * gz FROM t) GROUP BY voxel_id"
+XVOX = f"vox AS (SELECT id AS voxel_id, id % 10 AS ix, (id // 10) % 10 AS iy, id // 100 AS iz FROM range(0, 400) t(id)), x AS (SELECT p_partkey % 400 AS voxel_id, avg(p_size) / 1000.0 AS value FROM part GROUP BY 1)"
 PENALTIES = {
     "tikhonov": (solve.tikhonov_gradient, "SELECT voxel_id, value FROM {x}"),
     "quadratic": (solve.quadratic_gradient, PAIR.format(e=D)),
-    "huber": (solve.huber_gradient(0.005), PAIR.format(e=f"{D} / greatest(1.0, abs({D}) / 0.005)")),
-    "smoothed_tv": (solve.smoothed_tv_gradient(0.01), PAIR.format(e=f"{D} / sqrt({D} * {D} + 0.0001)")),
+    "huber": (solve.huber_gradient(0.005), FLUX.format(w="1 / greatest(0.005, sqrt(gx * gx + gy * gy + gz * gz))")),
+    "smoothed_tv": (solve.smoothed_tv_gradient(0.01), FLUX.format(w="1 / sqrt(gx * gx + gy * gy + gz * gz + 0.0001)")),
 }
 for _name, (_grad, _sql) in PENALTIES.items():
 
@@ -301,6 +306,74 @@ for _name, (_grad, _sql) in PENALTIES.items():
         return _volume(solve.penalised(solve.settle(m), solve.settle(b), GRID, 2, 0.002, 0.3, gradient))
 
 
+PENALTY_SQL = f"""WITH {XVOX}, s AS ({SLOPES.format(x='x')}), n AS (SELECT sqrt(gx * gx + gy * gy + gz * gz) AS n FROM s)
+SELECT 'huber' AS penalty, {R('sum(CASE WHEN n <= 0.005 THEN n * n / 0.01 ELSE n - 0.0025 END)')} AS value FROM n UNION ALL SELECT 'smoothed_tv', {R('sum(sqrt(n * n + 0.0001) - 0.01)')} FROM n UNION ALL SELECT 'tv', {R('sum(n)')} FROM n UNION ALL SELECT 'tikhonov', {R('sum(value * value) / 2')} FROM x"""
+
+
+@query("penalty_values", PENALTY_SQL)
+def _(spark, d):
+    x = solve.settle(volume(spark, d, 10, 10, 4))
+    rows = [(k, solve.penalty_value(x, GRID, k, p)) for k, p in (("huber", 0.005), ("smoothed_tv", 0.01), ("tv", 0.0), ("tikhonov", 0.0))]
+    return spark.createDataFrame(rows, "penalty string, v double").select("penalty", tidy(F.col("v")).alias("value"))
+
+
+def smooth_sql(rounds: int) -> str:
+    ctes, x = [XVOX], "x"
+    for i in range(rounds):
+        ctes += [f"g{i} AS MATERIALIZED ({FLUX.format(w='1 / sqrt(gx * gx + gy * gy + gz * gz + 0.0001)').format(x=x)})", f"x{i + 1} AS MATERIALIZED (SELECT voxel_id, {x}.value - 0.002 * coalesce(g{i}.value, 0) AS value FROM {x} LEFT JOIN g{i} USING (voxel_id))"]
+        x = f"x{i + 1}"
+    return f"WITH {', '.join(ctes)} SELECT voxel_id, {R('value')} AS value FROM {x}"
+
+
+@query("tv_smoothing", smooth_sql(2))
+def _(spark, d):
+    return _volume(solve.smooth_by_tv(volume(spark, d, 10, 10, 4), GRID, 2, 0.002, 0.01))
+
+
+def denoise_sql(rounds: int, strength: float) -> str:
+    t = 1 / 12**0.5
+    ctes = [XVOX, "u0 AS (SELECT voxel_id, value, value AS bar, 0.0::double AS px, 0.0::double AS py, 0.0::double AS pz FROM x)"]
+    for i in range(rounds):
+        ctes += [
+            f"b{i} AS (SELECT voxel_id, bar AS value FROM u{i}), s{i} AS ({SLOPES.format(x=f'b{i}')})",
+            f"m{i} AS (SELECT u{i}.*, px + {t} * gx AS qx, py + {t} * gy AS qy, pz + {t} * gz AS qz FROM u{i} JOIN s{i} USING (voxel_id))",
+            f"q{i} AS MATERIALIZED (SELECT voxel_id, value, qx / k AS px, qy / k AS py, qz / k AS pz FROM (SELECT *, greatest(1.0, sqrt(qx * qx + qy * qy + qz * qz) / {strength}) AS k FROM m{i}))",
+            f"f{i} AS (SELECT voxel_id, sum(f) AS f FROM (SELECT voxel_id, -px - py - pz AS f FROM q{i} UNION ALL SELECT voxel_id + 1, px FROM q{i} UNION ALL SELECT voxel_id + 10, py FROM q{i} UNION ALL SELECT voxel_id + 100, pz FROM q{i}) GROUP BY voxel_id)",
+            f"u{i + 1} AS MATERIALIZED (SELECT voxel_id, n AS value, 2 * n - old AS bar, px, py, pz FROM (SELECT q{i}.voxel_id, q{i}.value AS old, (q{i}.value - {t} * coalesce(f, 0) + {t} * x.value) / (1 + {t}) AS n, px, py, pz FROM q{i} JOIN x USING (voxel_id) LEFT JOIN f{i} USING (voxel_id)))",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT voxel_id, {R('value')} AS value FROM u{rounds}"
+
+
+@query("tv_denoise", denoise_sql(4, 0.004))
+def _(spark, d):
+    return _volume(solve.tv_denoise(volume(spark, d, 10, 10, 4), GRID, 0.004, 4))
+
+
+WLS_SQL = f"""WITH {FORWARD}, w AS (SELECT ray_id, 1.0 / (1 + ray_id % 4) AS w FROM ray), one AS (SELECT ray_id, sum(weight) AS total FROM a GROUP BY ray_id)
+SELECT (SELECT {R('sum(w * value * value) / 2')} FROM b JOIN w USING (ray_id)) AS objective, (SELECT {R('max(l)', 4)} FROM (SELECT sum(a.weight * total * w) AS l FROM a JOIN one USING (ray_id) JOIN w USING (ray_id) GROUP BY voxel_id)) AS lipschitz"""
+
+
+@query("weighted_objective", WLS_SQL)
+def _(spark, d):
+    m, b = (solve.settle(t) for t in data(spark, d))
+    w = b.select("ray_id", (1.0 / (1 + F.col("ray_id") % 4)).alias("weight"))
+    rows = [(solve.weighted_squares(m, b, w, solve.zeros(m)), solve.lipschitz(m, w))]
+    return spark.createDataFrame(rows, "a double, b double").select(tidy(F.col("a")).alias("objective"), tidy(F.col("b"), 4).alias("lipschitz"))
+
+
+@query("monotone_descent", None)
+def _(spark, d):
+    m, b = (solve.settle(t) for t in data(spark, d))
+    w = solve.settle(b.select("ray_id", F.lit(1.0).alias("weight")))
+    return _volume(solve.descend(m, b, GRID, w, 2, 0.01, ("smoothed_tv", 0.01), solve.smoothed_tv_gradient(0.01)))
+
+
+@query("regularised_algebraic", None)
+def _(spark, d):
+    m, b = (solve.settle(t) for t in data(spark, d))
+    return _volume(solve.regularised(m, b, GRID, 2, 0.9, 0.0005, solve.smoothed_tv_gradient(0.01)))
+
+
 @query("penalised_nesterov", None)
 def _(spark, d):
     m, b = data(spark, d)
@@ -330,7 +403,7 @@ def _(spark, d):
     return spark.createDataFrame(rows, "iteration int, residual double, update double").select("iteration", tidy(F.col("residual"), 5).alias("residual"), tidy(F.col("update"), 5).alias("update"))
 
 
-FDK_SQL = f"""WITH {geo_sql(SCAN)}, {rays_sql(SCAN)}, {matrix_sql(SCAN, GRID)}, x AS (SELECT p_partkey AS voxel_id, p_size / 1000.0 AS value FROM part WHERE p_partkey < 400),
+FDK_SQL = f"""WITH {geo_sql(SCAN)}, {rays_sql(SCAN)}, {matrix_sql(SCAN, GRID)}, x AS (SELECT p_partkey % 400 AS voxel_id, avg(p_size) / 1000.0 AS value FROM part GROUP BY 1),
 b AS (SELECT view, v, u, coalesce(value, 0.0) * 120.0 / sqrt(pow((u - 7.5) * 1.6, 2) + pow((v - 1.5) * 1.6, 2) + 14400.0) AS value FROM ray LEFT JOIN (SELECT ray_id, sum(weight * value) AS value FROM a JOIN x USING (voxel_id) GROUP BY ray_id) USING (ray_id)),
 f AS MATERIALIZED (SELECT p.view, p.v, o.u, sum(p.value * CASE WHEN o.u = p.u THEN 0.25 WHEN (o.u - p.u) % 2 = 0 THEN 0.0 ELSE -1 / (pi() * pi() * (o.u - p.u) * (o.u - p.u)) END) / 1.6 AS value FROM b p, range(0, 16) o(u) GROUP BY p.view, p.v, o.u),
 q AS (SELECT voxel_id, view, -4.5 + ix AS px, -4.5 + iy AS py, -1.5 + iz AS pz, a, sx, sy, sz FROM vox, geo),
@@ -344,10 +417,42 @@ FROM s JOIN f ON f.view = s.view AND f.u BETWEEN floor(s.u) AND floor(s.u) + 1 A
 def _(spark, d):
     geometry = G.flat_geometry(spark, SCAN)
     _, b = data(spark, d)
-    pixels = J.rays(geometry, SCAN).join(b, "ray_id", "left").select("view", "v", "u", F.coalesce("value", F.lit(0.0)).alias("value"))
+    pixels = J.rays(geometry, SCAN).join(b, "ray_id").select("view", "v", "u", "value")
     return _volume(fdk.reconstruct(pixels, geometry, SCAN, GRID))
 
 
+SHORT = Scan(views=9, nu=16, nv=4, du=1.6, dv=1.6, sid=60.0, sdd=120.0, start=0.1, per_turn=14)
+_FAN, _COVER = math.atan(7.5 * 1.6 / 120.0), 9 * 2 * math.pi / 14
+_Q = f"CASE WHEN be <= 0 THEN 0.0 WHEN be < 2 * ({_FAN} + ga) THEN pow(sin(pi() / 4 * be / ({_FAN} + ga)), 2) WHEN be <= pi() + 2 * ga THEN 1.0 WHEN be < pi() + 2 * {_FAN} THEN pow(sin(pi() / 4 * (pi() + 2 * {_FAN} - be) / ({_FAN} - ga)), 2) ELSE 0.0 END * {_COVER} / pi() * 2 * pi() / {_COVER}"
+SHORT_SQL = FDK_SQL.replace(geo_sql(SCAN), geo_sql(SHORT)).replace(rays_sql(SCAN), rays_sql(SHORT)).replace("2 * pi() / 12", "2 * pi() / 14").replace("f AS MATERIALIZED", f"pk AS (SELECT view, v, u, value * {_Q} AS value FROM (SELECT *, view * 2 * pi() / 14 AS be, atan((u - 7.5) * 1.6 / 120.0) AS ga FROM b)), f AS MATERIALIZED").replace("FROM b p,", "FROM pk p,")
+
+
+@query("fdk_short_scan", SHORT_SQL)
+def _(spark, d):
+    geometry = solve.settle(G.flat_geometry(spark, SHORT))
+    matrix = J.siddon(J.rays(geometry, SHORT), GRID)
+    b = J.forward(matrix, volume(spark, d, 10, 10, 4))
+    pixels = J.rays(geometry, SHORT).join(b, "ray_id", "left").select("view", "v", "u", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return _volume(fdk.reconstruct(pixels, geometry, SHORT, GRID))
+
+
+def _voxel_sql(nearest: bool) -> str:
+    tail = "FROM s JOIN b f ON f.view = s.view AND "
+    if nearest:
+        return FDK_SQL[: FDK_SQL.index("SELECT s.voxel_id")] + f"SELECT s.voxel_id, {R('sum(f.value)')} AS value {tail} f.u = floor(s.u + 0.5) AND f.v = floor(s.v + 0.5) GROUP BY s.voxel_id"
+    return FDK_SQL[: FDK_SQL.index("SELECT s.voxel_id")] + f"SELECT s.voxel_id, {R('sum(f.value * (1 - abs(s.u - f.u)) * (1 - abs(s.v - f.v)))')} AS value {tail} f.u BETWEEN floor(s.u) AND floor(s.u) + 1 AND f.v BETWEEN floor(s.v) AND floor(s.v) + 1 GROUP BY s.voxel_id"
+
+
+for _nearest in (False, True):
+
+    @query("voxel_back_nearest" if _nearest else "voxel_back_linear", _voxel_sql(_nearest))
+    def _(spark, d, nearest=_nearest):
+        geometry = G.flat_geometry(spark, SCAN)
+        pixels = J.rays(geometry, SCAN).join(data(spark, d)[1], "ray_id").select("view", "v", "u", "value")
+        frames = fdk.to_frames(fdk.preweight(pixels, SCAN), SCAN)
+        return _volume(fdk.back_project(frames, geometry, SCAN, GRID, "none", nearest))
+
+
 @query("fdk_packets_agree", "SELECT 0.0::double AS gap")
 def _(spark, d):
     """Packets of five views added up against all views at once."""
