@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +142,22 @@ def projection_matrix(geometry: DataFrame) -> DataFrame:
     return geometry.select("view", F.array(*row(a), *row(b), *row(c)).alias("p"))
 
 
+def from_projection_matrix(matrices: DataFrame) -> DataFrame:
+    """(view, src, det_s, det_u, det_v) of (view, p: 12 doubles): the inverse of p's left 3 x 3 part, in any scale of p."""
+
+    def run(batches):
+        for b in batches:
+            p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3, 4)
+            inverse = np.linalg.inv(p[:, :, :3])
+            src = -(inverse @ p[:, :, 3:])[:, :, 0]
+            vectors = [src, src + inverse[:, :, 2], inverse[:, :, 0], inverse[:, :, 1]]
+            cols = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v[:, i])) for i in range(3)], names=list("xyz")) for v in vectors]
+            yield pa.RecordBatch.from_arrays([b.column("view"), *cols], names=["view", "src", "det_s", "det_u", "det_v"])
+
+    vector = "struct<x: double, y: double, z: double>"
+    return matrices.select("view", "p").mapInArrow(run, f"view long, src {vector}, det_s {vector}, det_u {vector}, det_v {vector}")
+
+
 def project(p: Column, x: Column) -> tuple[Column, Column]:
     at = lambda i: p[4 * i] * x["x"] + p[4 * i + 1] * x["y"] + p[4 * i + 2] * x["z"] + p[4 * i + 3]
     return at(0) / at(2), at(1) / at(2)
