@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxelbase.queries import flow, images, measure, neighbour, pointwise, recon, relate, scanners
+from voxelbase.queries import figures, flow, images, measure, neighbour, pointwise, recon, relate, scanners
 
-FAMILIES = (pointwise, neighbour, images, measure, recon, scanners, flow, relate)
+FAMILIES = (pointwise, neighbour, images, measure, recon, scanners, flow, relate, figures)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

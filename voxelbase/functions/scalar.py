@@ -93,6 +93,22 @@ def hu_to_mu(hu: Column, mu_water: float, mu_air: float = 0.0, hu_water: float =
     return (hu - F.lit(hu_air - scale * mu_air)) / F.lit(scale)
 
 
+def is_finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def simpson(values: Column, step: float) -> Column:
+    """Simpson's rule over an array of an odd number of values, ``step`` apart."""
+    last = F.size(values) - 1
+    weighted = F.transform(values, lambda x, i: x * F.when((i == 0) | (i == last), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0))
+    return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x) * step / 3
+
+
+def voxel_place(point: Column, grid) -> list[Column]:
+    """A point's place in voxels from the first voxel's centre, by axis."""
+    return [(point[a] - F.lit(e)) / F.lit(s) - 0.5 for a, s, e in zip("xyz", grid.voxel, grid.edge, strict=True)]
+
+
 # 3-vectors are structs of x, y, z.
 def vec(x, y, z) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))

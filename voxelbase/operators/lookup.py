@@ -6,6 +6,8 @@ they are literals in the plan; a row finds its interval without a join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,22 @@ def piecewise_linear(x: Column, knots: list[tuple[float, float]]) -> Column:
     return _intervals(x, xs, piece, F.lit(knots[0][1]), F.lit(knots[-1][1]))
 
 
+def log_linear(x: Column, knots: list[tuple[float, float]]) -> Column:
+    """The logarithm linear between knots of positive values, constant beyond the ends."""
+    return F.exp(piecewise_linear(x, [(a, math.log(p)) for a, p in knots]))
+
+
+def trilinear(points: DataFrame, volume: DataFrame, grid) -> DataFrame:
+    """Points (k, a, b, c: places in voxels) with the volume's value there, 0 outside: each point meets its eight voxels."""
+    low = {c: F.floor(c) for c in "abc"}
+    corners = F.array(*(F.struct((low["a"] + i).alias("i"), (low["b"] + j).alias("j"), (low["c"] + m).alias("m")) for i in (0, 1) for j in (0, 1) for m in (0, 1)))
+    rows = points.select("k", "a", "b", "c", F.explode(corners).alias("q")).select("k", "a", "b", "c", "q.*")
+    inside = F.col("i").between(0, grid.nx - 1) & F.col("j").between(0, grid.ny - 1) & F.col("m").between(0, grid.nz - 1)
+    rows = rows.withColumn("voxel_id", F.when(inside, (F.col("m") * grid.ny + F.col("j")) * grid.nx + F.col("i")))
+    share = (1 - F.abs(F.col("a") - F.col("i"))) * (1 - F.abs(F.col("b") - F.col("j"))) * (1 - F.abs(F.col("c") - F.col("m")))
+    return rows.join(volume, "voxel_id", "left").groupBy("k").agg(F.sum(share * F.coalesce("value", F.lit(0.0))).alias("value"))
+
+
 def inverse_linear(y: Column, knots: list[tuple[float, float]]) -> Column:
     """The abscissa of y on a rising curve."""
     return piecewise_linear(y, [(b, a) for a, b in knots])

@@ -22,6 +22,13 @@ def quality(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def error_moments(rows: DataFrame, region: str, error: Column, level: Column, above: Column, place: Column) -> DataFrame:
+    """Mean and root mean squares per region from sums that merge, and where the largest error lies (ties: the smallest place)."""
+    low, gap = F.least(above, F.lit(0.0)), error - level
+    mean = lambda e: F.sqrt(F.avg(e * e))
+    return rows.groupBy(region).agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean"), mean(error).alias("rmse"), mean(level).alias("level"), mean(low).alias("clipped"), mean(gap).alias("difference"), F.max_by(place, F.struct(F.abs(error), -place)).alias("worst_at"))
+
+
 def polynomial_fit(rows: DataFrame, x: str, y: str, order: int, ridge: float = 0.0, weight: str | None = None) -> list[float]:
     """Ascending coefficients of a least-squares polynomial; only moments (a few sums) reach the driver."""
     w = F.col(weight) if weight else F.lit(1.0)
@@ -66,21 +73,52 @@ def air_water_calibration(air: DataFrame, water: DataFrame, least_gap: float = 1
 def homogeneous_fit(points: DataFrame) -> list[float]:
     """Direct linear transform: the 3 x 4 matrix (12 numbers, unit norm) that takes (x, y, z) to (u, v).
 
-    The 12 x 12 matrix of products is one aggregate; its smallest eigenvector is the answer.
+    Points are first moved to their mean and scaled to mean distances sqrt(2) and sqrt(3),
+    which keeps the system well conditioned. The 12 x 12 matrix of products is one
+    aggregate; its smallest eigenvector is the answer, taken back to the points' own units.
     """
-    c = [F.col(k) for k in "xyz"] + [F.lit(1.0)]
+    m = dict(zip("xyzuv", points.agg(*(F.avg(c) for c in "xyzuv")).first(), strict=True))
+    far = lambda names: F.avg(F.sqrt(sum(((F.col(c) - m[c]) * (F.col(c) - m[c]) for c in names), F.lit(0.0))))
+    far3, far2 = points.agg(far("xyz"), far("uv")).first()
+    s3, s2 = 3**0.5 / max(far3, 1e-300), 2**0.5 / max(far2, 1e-300)
+    moved = {c: (F.col(c) - m[c]) * (s3 if c in "xyz" else s2) for c in "xyzuv"}
+    c = [moved[k] for k in "xyz"] + [F.lit(1.0)]
     zero = [F.lit(0.0)] * 4
-    rows = [[*c, *zero, *(-F.col("u") * k for k in c)], [*zero, *c, *(-F.col("v") * k for k in c)]]
+    rows = [[*c, *zero, *(-moved["u"] * k for k in c)], [*zero, *c, *(-moved["v"] * k for k in c)]]
     sums = [F.sum(sum((r[i] * r[j] for r in rows[1:]), rows[0][i] * rows[0][j])) for i in range(12) for j in range(i, 12)]
     flat = iter(points.agg(*sums).first())
-    m = np.zeros((12, 12))
+    a = np.zeros((12, 12))
     for i in range(12):
         for j in range(i, 12):
-            m[i, j] = m[j, i] = next(flat)
-    p = np.linalg.eigh(m)[1][:, 0]
+            a[i, j] = a[j, i] = next(flat)
+    p = np.linalg.eigh(a)[1][:, 0].reshape(3, 4)
+    world = np.diag([s3, s3, s3, 1.0])
+    world[:3, 3] = [-s3 * m[k] for k in "xyz"]
+    image = np.array([[1 / s2, 0, m["u"]], [0, 1 / s2, m["v"]], [0, 0, 1]])
+    p = (image @ p @ world).ravel()
+    p /= np.linalg.norm(p)
     return (p * np.sign(p[np.abs(p).argmax()])).tolist()
 
 
+def circle_fit_3d(points: DataFrame) -> tuple[list[float], list[float], float]:
+    """Centre, unit normal and radius of a circle through (x, y, z): the plane by the moments' least axis, the circle in the plane.
+
+    The normal's largest part is positive.
+    """
+    mean = np.array(points.agg(*(F.avg(c) for c in "xyz")).first())
+    q = [F.col(c) - float(m) for c, m in zip("xyz", mean, strict=True)]
+    flat = iter(points.agg(*(F.avg(q[i] * q[j]) for i in range(3) for j in range(i, 3))).first())
+    moments = np.zeros((3, 3))
+    for i in range(3):
+        for j in range(i, 3):
+            moments[i, j] = moments[j, i] = next(flat)
+    axes = np.linalg.eigh(moments)[1]
+    normal = axes[:, 0] * np.sign(axes[np.abs(axes[:, 0]).argmax(), 0])
+    along = lambda a: sum((c * float(k) for c, k in zip(q, a, strict=True)), F.lit(0.0))
+    x, y, r = circle_fit(points.select(along(axes[:, 1]).alias("x"), along(axes[:, 2]).alias("y")))
+    return (mean + x * axes[:, 1] + y * axes[:, 2]).tolist(), normal.tolist(), r
+
+
 def circle_fit(points: DataFrame) -> tuple[float, float, float]:
     """Centre and radius of (x, y) by least squares on x^2 + y^2."""
     a, b, c = linear_fit(points, [F.col("x"), F.col("y"), F.lit(1.0)], F.col("x") * F.col("x") + F.col("y") * F.col("y"))

@@ -26,6 +26,11 @@ def transmission_to_log(t: Column) -> Column:
     return -F.log(F.greatest(t, F.lit(1e-8)))
 
 
+def display_log(signal: Column, reference: Column) -> Column:
+    """The log of a signal for display, bounded at 1e-30 of its reference."""
+    return -F.log(F.greatest(signal / F.greatest(reference, F.lit(1e-30)), F.lit(1e-30)))
+
+
 def object_mask(energy: Column, air: Column, threshold: float) -> Column:
     return -F.log(F.greatest(energy / air, F.lit(1e-30))) > threshold
 

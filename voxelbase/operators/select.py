@@ -51,3 +51,8 @@ def lower_quantiles(rows: DataFrame, group: str, value: str, quantiles: dict[str
     counts = counts.withColumns({"up_to": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
     at = lambda q: F.min(F.when(F.col("up_to") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value)))
     return counts.groupBy(group).agg(*(at(q).alias(name) for name, q in quantiles.items()))
+
+
+def best(rows: DataFrame, group: str, candidate: str, error: str) -> DataFrame:
+    """Each group's candidate of the least error; ties go to the smaller candidate."""
+    return rows.groupBy(group).agg(F.min_by(candidate, F.struct(error, candidate)).alias(candidate), F.min(error).alias(error))
