@@ -114,6 +114,7 @@ class Passages:
             if len(c) < GRAM:
                 self.tiny.setdefault(tuple(w for w, _ in words(c)), []).append(p)
         limits = np.array([budget(len(c), error) for c in self.code], dtype=np.int64).reshape(-1, 2)
+        self.longest = max((len(c) for c in self.code), default=0)
         self.step, self.need = limits[:, 0] + 1, limits[:, 1]
         hashes = [grams(c) for c in self.code]
         owner = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
@@ -131,7 +132,7 @@ class Passages:
         counters are kept, so a repetitive text takes memory for its bands and not for its pairs.
         """
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        far = len(code) + max((len(c) for c in self.code), default=0) + 1
+        far = len(code) + self.longest + 1
         for s in range(0, max(0, len(code) - GRAM + 1), PIECE):
             h = grams(code[s : s + PIECE + GRAM - 1])
             at = np.flatnonzero(self.table[(h >> U(64 - TABLE_BITS)).astype(np.int64)])
