@@ -155,16 +155,17 @@ def _cut(rows: DataFrame, walked: DataFrame, seed: int) -> DataFrame:
     return materialize(out.select(F.col("__s").alias("source"), "cut_turn", "cut_block", F.col("l.key").alias("cut_key"), F.col("l.id").alias("cut_id")), "cuts")
 
 
-def with_copies(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None) -> DataFrame:
+def with_copies(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None, key: str | None = None) -> DataFrame:
     """``docs`` with copies (how often the row is taken), weight (of its source), n_tokens and block; rows taken never stay out.
 
     Texts don't shuffle: a row finds from its own key and its source's plan whether
     the last epoch takes it. ``tokens`` names a column of token counts; without it
-    words are counted. Columns of these names are replaced.
+    words are counted. ``key`` names a column that holds the order of the rows already.
+    Columns of these names are replaced.
     """
     names = [c for c in docs.columns if c not in ("copies", "weight", "n_tokens", "block")]
     count = (F.col(tokens) if tokens else word_count()).cast("long")
-    keyed = docs.select(*(F.col(f"`{c}`") for c in names), count.alias("__tokens"), _order(seed).alias("__key"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in names), count.alias("__tokens"), (F.col(key) if key else _order(seed)).alias("__key"))
     rows = materialize(keyed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__key").alias("key")), "mix")
     sources = plan_sources(rows, entropy, repeats, budget, block_tokens)
     out = [F.col(f"`{c}`") for c in names] + [F.col("__tokens").alias("n_tokens")]
@@ -185,7 +186,10 @@ def with_copies(docs: DataFrame, entropy: float | None = None, repeats: float |
 
 def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, tokens: str | None = None) -> DataFrame:
     """Per selected document: doc_id, source, n_tokens, copies, weight (of its source), block, position (of the block in its source's permutation)."""
-    keyed = materialize(with_copies(docs, entropy, repeats, budget, block_tokens, seed, tokens).select("doc_id", "source", "n_tokens", "copies", "weight", "block"), "mix")
+    # Words are counted once: the result has no texts, so the counted rows stand for the documents.
+    count = (F.col(f"`{tokens}`") if tokens else word_count()).cast("long")
+    rows = materialize(docs.select("doc_id", "source", count.alias("__n"), _order(seed).alias("__order")), "counted")
+    keyed = materialize(with_copies(rows, entropy, repeats, budget, block_tokens, seed, "__n", "__order").select("doc_id", "source", "n_tokens", "copies", "weight", "block"), "mix")
     # Positions number the blocks that some selected document is in, in the order of their draw.
     blocks = keyed.select("source", "block").distinct().withColumn("turn", _turn(seed)).withColumn("range", F.shiftright("turn", 64 - RANGE_BITS))
     blocks = materialize(blocks, "blocks")
