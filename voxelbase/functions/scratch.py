@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return root or tempfile.mkdtemp(prefix="voxelbase-")
+    """``spark.checkpoint.dir``; a folder of this machine only where the session names none and runs on one machine (tests)."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="voxelbase-"))
+        root = context.getCheckpointDir()
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -20,7 +26,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
+    context, root = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(root)
     return df.checkpoint(eager=True)
