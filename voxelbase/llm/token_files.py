@@ -15,9 +15,7 @@ lost executor leaves at most files that nothing reads. Reading maps the files in
 block of a document.
 
 Encoding takes the library's ids of each distinct piece of text between places where the
-byte-level pre-tokeniser always cuts (before a blank and a letter or digit, between an
-ASCII letter and one of ``.``, ``,`` and line feed, between a single line feed and an ASCII letter);
-any other tokenizer gets whole texts.
+byte-level pre-tokeniser always cuts; any other tokenizer gets whole texts.
 
 Null and empty texts give the end id alone. Rows without an id come last. Rows with
 equal ids stand by the digest of their text, repeated rows next to each other, each with
@@ -47,9 +45,10 @@ PIECES_KEPT = 1_000_000
 #: Characters of text encoded at a time, and ids held at a time when reading.
 TEXT_BLOCK, ID_BLOCK = 4_000_000, 1 << 20
 MANIFEST = "part int, ids string, offsets string, docs string, width int, n_docs long, n_null long, n_ids long"
-#: Places where a byte-level pre-tokeniser always cuts. A blank belongs to the word that follows it; the last of several line feeds stands alone before a word only.
-_WORD = re.compile(r"(?= \w)")
-_PIECE = re.compile(r"(?<=[A-Za-z])(?=[.,\n])|(?<=[A-Za-z.,!?]\n)(?=[A-Za-z])")
+#: Text cut where a byte-level pre-tokeniser always cuts, with the blank before a word: runs of ASCII letters before another ASCII
+#: character, lone marks and line feeds between such runs, and whatever stands up to the next blank with a letter or digit.
+_PIECES = re.compile(r" ?[A-Za-z]++(?=[\x00-&(-@\[-`{-\x7f]|\Z)|[.,](?= \w)|[.,]?\n(?=[A-Za-z])|(?s: ?[^ ]*+(?: (?!\w)[^ ]*+)*+)").findall
+_WORD = re.compile(r" ?[A-Za-z]+").fullmatch
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
@@ -73,27 +72,32 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         before = spec.get("pre_tokenizer") or {}
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"[ .,\n]", t["content"]) for t in spec["added_tokens"])
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\A[A-Za-z]|[ .,\n]", t["content"]) for t in spec["added_tokens"])
         self.in_pieces = plain and not spec.get("normalizer") and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
-        self.known: dict[str, bytes] = {}
+        self.model, self.known = self.tokenizer.model, {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """ASCII words are one unit to the pre-tokeniser, so they go to the library's model at once; the rest goes through all of it."""
+        words = [p for p in pieces if _WORD(p)]
+        for w in words:  # the byte-level alphabet writes a blank as G with a dot
+            self.known[w] = np.array([t.id for t in self.model.tokenize(w.replace(" ", "\u0120"))], dtype=self.kind).tobytes()
+        rest = list(pieces.difference(words))
+        for i in range(0, len(rest), 50_000):
+            self.known.update(zip(rest[i : i + 50_000], self._ids(rest[i : i + 50_000]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.in_pieces:
             return self._ids(texts)
-        words = [_WORD.split(t) for t in texts]
-        new = {w for own in words for w in own}.difference(self.known)
+        pieces = [_PIECES(t) for t in texts]
+        new = set().union(*pieces).difference(self.known)
         if len(self.known) + len(new) > PIECES_KEPT:
-            self.known.clear()
-            new = {w for own in words for w in own}
-        parts = {w: _PIECE.split(w) for w in new}
-        missing = list({p for own in parts.values() for p in own}.difference(self.known))
-        for i in range(0, len(missing), 50_000):
-            self.known.update(zip(missing[i : i + 50_000], self._ids(missing[i : i + 50_000]), strict=True))
-        self.known.update((w, b"".join(map(self.known.__getitem__, own))) for w, own in parts.items())
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+            self.known = {"": b""}
+            new = set().union(*pieces).difference(self.known)
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, own)) for own in pieces]
 
 
 @cache
