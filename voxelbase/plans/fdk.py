@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from voxelbase.operators.geometry import Scan, angle_steps
 from voxelbase.operators.pointwise import cosine_weight, parker_weight
 from voxelbase.operators.projector import Grid
 
+from .shares import SCHEMA, add_shares, share, slab_depth
+
 
 def spatial_ramp(n: int) -> np.ndarray:
     """The ramp of unit spacing at offsets 0..n-1."""
@@ -76,8 +79,8 @@ def to_frames(pixels: DataFrame, scan: Scan) -> DataFrame:
     return pixels.groupBy("view").agg(order.alias("p")).select("view", F.col("p.value").alias("data"))
 
 
-#: Frames that a task sums before it gives off its share of a slab, and voxels in a slab.
-FRAMES, SLAB = 32, 1 << 21
+#: Frames that a task sums before it gives off its share of a slab.
+FRAMES = 32
 #: What a voxel-driven back-projection multiplies its samples by.
 WEIGHTS = ("fdk", "none", "matched")
 
@@ -89,12 +92,12 @@ def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid,
     plain sums; ``matched``: L^3 / (plane distance * l^2) * du * dv with L from source to
     detector point and l from source to voxel, nearly the transpose of ray sums.
     A task projects a slab of voxels for all its frames at once and gives off its share
-    of each slab; shares are added slab by slab.
+    of each slab; shares are added slab by slab, in two levels.
     """
     names = ("src", "det_s", "det_u", "det_v")
     flat = [F.col(f"{n}.{a}").alias(f"{n}_{a}") for n in names for a in "xyz"]
     rows = frames.join(geometry.join(angle_steps(geometry), "view"), "view").select("data", "step", *flat)
-    depth = max(1, min(grid.nz, SLAB // (grid.nx * grid.ny)))
+    depth = slab_depth(grid)
     sid, nu, nv, pixel = scan.sid, scan.nu, scan.nv, scan.du * scan.dv
     (vx, vy, vz), (ex, ey, ez) = grid.voxel, grid.edge
 
@@ -131,6 +134,7 @@ def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid,
     def run(batches):
         x = (ex + (np.arange(grid.nx) + 0.5) * vx)[None, None, :]
         y = (ey + (np.arange(grid.ny) + 0.5) * vy)[None, :, None]
+        packet = TaskContext.get().partitionId()
         for batch in batches:
             for s in range(0, batch.num_rows, FRAMES):
                 part = batch.slice(s, FRAMES)
@@ -141,24 +145,10 @@ def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid,
                     out = np.zeros((len(z), grid.ny, grid.nx))
                     for g, p, step in zip(places, data, part.column("step").to_pylist(), strict=True):
                         one(x, y, z, g, p, step, out)
-                    yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([out.ravel()], pa.list_(pa.float64()))], names=["slab", "share"])
-
-    shares = rows.mapInArrow(run, "slab long, share array<double>")
-    return shares.groupBy("slab").applyInArrow(_sum_shares(depth * grid.nx * grid.ny), "voxel_id long, value double")
-
-
-def _sum_shares(size: int):
-    """The shares of one slab, as many as there are packets of frames, added up."""
-
-    def run(key, table):
-        total = None
-        for share in table.column("share"):
-            v = share.values.to_numpy(zero_copy_only=False)
-            total = v.copy() if total is None else total + v
-        base = key[0].as_py() * size
-        return pa.table({"voxel_id": pa.array(np.arange(base, base + len(total))), "value": pa.array(total)})
+                    yield share(slab, packet, out)
+                packet += 1
 
-    return run
+    return add_shares(rows.mapInArrow(run, SCHEMA), depth * grid.nx * grid.ny)
 
 
 def short_scan(scan: Scan) -> bool:
