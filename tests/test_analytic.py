@@ -11,7 +11,8 @@ from voxelbase.operators import geometry as G
 from voxelbase.operators import projector as J
 from voxelbase.operators.geometry import Scan
 from voxelbase.operators.projector import Grid
-from voxelbase.plans import fdk, helical, shares
+from voxelbase.plans import fdk, halo, helical, shares, xfdk
+from voxelbase.streaming import halo as stream_halo
 
 
 def frames_of(spark, scan, grid, volume):
@@ -52,7 +53,7 @@ def test_blocks_of_views_do_not_show(spark, monkeypatch):
         return {r.view: r.data for r in helical.parallel_rebin(frames, scan).collect()}
 
     one = rows()
-    monkeypatch.setattr(helical, "BLOCK", 1)
+    monkeypatch.setattr(halo, "BLOCK", 1)
     other = rows()
     p = helical.parallel_scan(scan)
     assert sorted(one) == sorted(other) == list(range(p.views)) and p.views % p.half == 0
@@ -122,3 +123,50 @@ def test_nothing_in_gives_zero_frames(spark):
     grid = Grid(4, 4, 4)
     out = footprint.forward(spark.createDataFrame([], "voxel_id long, value double"), G.flat_geometry(spark, SCAN), SCAN, grid).collect()
     assert len(out) == SCAN.views and not any(any(r.data) for r in out)
+
+
+CIRCLE = Scan(views=24, nu=16, nv=6, du=1.6, dv=1.6, sid=60.0, sdd=120.0, start=0.2)
+
+
+def test_extended_fdk_of_a_ball_and_of_the_cone_s_edge(spark):
+    scan, grid = Scan(views=90, nu=40, nv=24, du=1.2, dv=1.2, sid=100.0, sdd=200.0, start=0.2), Grid(18, 18, 14)
+    inside = grid.voxels(spark).where("(ix - 8.5) * (ix - 8.5) + (iy - 8.5) * (iy - 8.5) <= 36").select("voxel_id", F.lit(0.02).alias("value"))
+    out = xfdk.reconstruct(frames_of(spark, scan, grid, inside), scan, grid).join(grid.voxels(spark), "voxel_id").toPandas()
+    near = out[((out.ix - 8.5) ** 2 + (out.iy - 8.5) ** 2 <= 12) & out.iz.between(3, 10)]
+    assert len(out) == 18 * 18 * 14 and abs(near.value.mean() - 0.02) < 0.001
+
+
+def test_partial_scan_weights_of_opposite_rays_add_up():
+    f = xfdk.fan_of(Scan(views=90, nu=40, nv=12, du=1.2, dv=1.2, sid=100.0, sdd=200.0))
+    r, z = np.array([5.0, 20.0, 40.0, 45.0, 45.0]), np.array([1.0, 1.0, 2.2, 2.2, 2.9])
+    room, turned = xfdk.coverage(f, r, z), np.linspace(-np.pi, np.pi, 721)[:-1, None]
+    a, b = xfdk.ray_weight(f, r, z, turned), xfdk.ray_weight(f, r, z, turned + np.pi)
+    assert (room[:2] == np.pi / 2).all() and (room[2:4] < 1.5).all() and room[4] < 0 and (a >= -1e-12).all()
+    assert np.allclose((a + b)[:, room > 0], 2.0) and (a[:, room < 0] == 0).all()
+
+
+def test_circles_with_offsets_are_refused():
+    for change in ({"offset": (1.0, 0.0, 0.0)}, {"per_turn": 48}, {"pitch": 1.0}, {"tilt": (0.1, 0.0, 0.0)}, {"nv": 1}):
+        with pytest.raises(ValueError):
+            xfdk.fan_of(replace(CIRCLE, **change))
+
+
+def test_stream_of_packets_equals_the_whole(spark, tmp_path, monkeypatch):
+    """Packets of 1, 7 and 5 views, one sent twice, the last first; a restart between; blocks of four views round the circle."""
+    monkeypatch.setattr(halo, "BLOCK", 4)
+    rng, grid = np.random.default_rng(2), Grid(6, 6, 4)
+    rows = [(i, rng.random(96).tolist()) for i in range(24)]
+    schema = "view long, data array<double>"
+    whole = {r.voxel_id: r.value for r in xfdk.reconstruct(spark.createDataFrame(rows, schema), CIRCLE, grid).collect()}
+    path = str(tmp_path)
+    for packet in ([rows[0]], rows[19:24], rows[1:8], rows[4:6], rows[8:13], rows[13:19]):
+        spark.createDataFrame(packet, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if packet[0][0] in (1, 4):
+            continue  # two packets for one run
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        targets = stream_halo.gathered(xfdk.resampled(stream, CIRCLE), xfdk.gather_of(CIRCLE))
+        stream_halo.reconstruct(targets, lambda b: xfdk.back_project(xfdk.filtered(b, CIRCLE), CIRCLE, grid), f"{path}/parts", f"{path}/checkpoint")
+        got = {r.voxel_id: r.value for r in stream_halo.volume(spark, f"{path}/parts").collect()}
+        if packet[0][0] != 13:
+            assert max(abs(got.get(k, 0.0) - v) for k, v in whole.items()) > 1e-6  # not all views have come
+    assert max(abs(got.get(k, 0.0) - v) for k, v in whole.items()) < 1e-12

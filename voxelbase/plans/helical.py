@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelbase.operators.geometry import Scan
+from voxelbase.operators.neighbour import frame_map
 from voxelbase.operators.projector import Grid
 
 from .fdk import filter_frames
+from .halo import Gather
 from .shares import SCHEMA, add_shares, share, slab_depth, zero_shares
 
 #: Target channels for each detector channel, and views left at either end for interpolation besides the fan's.
 OVERSAMPLED, MARGIN = 2, 10
-#: Target views in a block, at least; phases in a group.
-BLOCK, PHASES = 64, 16
+#: Phases in a group.
+PHASES = 16
 #: |q| up to which a ray counts whole.
 FLAT = 0.6
 
@@ -112,29 +114,9 @@ def _corners(p: Parallel) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def parallel_rebin(frames: DataFrame, scan: Scan) -> DataFrame:
     """(view, data) of flat helical frames to parallel views, numbered from 0, of nv rows and ``2 nu`` channels."""
     p = parallel_scan(scan)
-    corners, arc = _corners(p), _arc(p)
-    low, high = min(int(o.min()) for o, _, _ in corners), max(int(o.max()) for o, _, _ in corners)
-    size = max(BLOCK, high - low)
-    blocks = -(-p.views // size)
-
-    def run(key, table):
-        block = key[0].as_py()
-        first, last = block * size, min((block + 1) * size, p.views)
-        raw = np.zeros((last - first + high - low, scan.nv, scan.nu))
-        for view, data in zip(table.column("view").to_pylist(), table.column("data"), strict=True):
-            raw[view - first - p.lead - low] = data.values.to_numpy(zero_copy_only=False).reshape(scan.nv, scan.nu)
-        raw = raw @ arc.T
-        at = np.arange(last - first)[:, None] - low
-        out = sum(raw[at + o, :, c] * w[:, None] for o, c, w in corners)  # (views, channels, rows)
-        rows = [x.T.ravel() for x in out]
-        return pa.table({"view": pa.array(np.arange(first, last)), "data": pa.array(rows, pa.list_(pa.float64()))})
-
-    begin = F.greatest(F.lit(0), F.ceil((F.col("view") - (p.lead + high + size - 1)) / size).cast("long"))
-    end = F.least(F.lit(blocks - 1), F.floor((F.col("view") - (p.lead + low)) / size).cast("long"))
-    dealt = frames.select("view", "data").where(begin <= end).withColumn("block", F.explode(F.sequence(begin, end)))
-    # A block's table of source views ends where the next target's would begin.
-    dealt = dealt.where((F.col("view") >= F.col("block") * size + p.lead + low) & (F.col("view") < F.least((F.col("block") + 1) * size, F.lit(p.views)) + p.lead + high))
-    return dealt.groupBy("block").applyInArrow(run, "view long, data array<double>")
+    arc = _arc(p)
+    on_arc = frame_map(frames, lambda x: (x.reshape(scan.nv, scan.nu) @ arc.T).ravel())
+    return Gather(p.views, scan.nv, scan.nu, _corners(p), p.lead).run(on_arc)
 
 
 def redundancy(q: np.ndarray, flat: float = FLAT) -> np.ndarray:

@@ -7,13 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from voxelbase.functions.scalar import tidy
-from voxelbase.functions.scratch import settle
+from voxelbase.functions.scratch import scratch_path, settle
 from voxelbase.operators import footprint
 from voxelbase.operators import geometry as G
 from voxelbase.operators.geometry import Scan
 from voxelbase.operators.projector import Grid
-from voxelbase.plans import helical
+from voxelbase.plans import helical, xfdk
 from voxelbase.sources import tables
+from voxelbase.streaming import halo
 
 from .recon import geo_sql
 
@@ -137,3 +138,56 @@ def _(spark, d):
     other = footprint.back(frames.select("view", F.col("y").alias("data")), geometry, FOOT, grid).withColumnRenamed("value", "aty").join(volume, "voxel_id")
     two = other.agg(F.sum(F.col("aty") * F.col("value")).alias("two"), F.count(F.lit(1)).alias("voxels"))
     return one.join(two).select(F.round(F.abs(F.col("one") - F.col("two")) / F.abs(F.col("one")), 9).alias("gap"), "voxels")
+
+
+# A full circle with a view for each row of embeddings.
+CIRCLE_GRID = Grid(10, 10, 6, (1.0, 1.0, 1.0), (0.5, -0.25, 0.2))
+
+
+def circle(views: int) -> Scan:
+    return Scan(views=views, nu=16, nv=4, du=1.6, dv=1.6, sid=60.0, sdd=120.0, start=0.3)
+
+
+_BETA, _GAMMA = math.atan(7.5 * 1.6 / 120.0), math.atan(1.5 * 1.6 / 120.0)
+_EDGE = 60.0 * math.sin(_BETA)
+_SPACE, _COT, _WIDE = 2 * _EDGE / 15, 1 / math.tan(_GAMMA), _EDGE**2 / 120.0
+XFDK_SQL = f"""WITH c AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT vec_id AS view, i // 16 AS v, i % 16 AS u, abs(embedding[i + 1]::double) AS value FROM embeddings, range(0, 64) q(i)),
+b AS (SELECT j, asin(least(1.0, greatest(-1.0, ({_EDGE} - j * {_SPACE}) / 60.0))) AS be FROM range(0, 16) q(j)),
+pl AS (SELECT i, j, -120.0 * tan(be) / 1.6 + 7.5 AS uc, 120.0 * tan(i * {2 * _GAMMA / 3} - {_GAMMA}) / (cos(be) * 1.6) + 1.5 AS vc, cos(be) * cos(i * {2 * _GAMMA / 3} - {_GAMMA}) AS co FROM b, range(0, 4) q(i)),
+sm AS MATERIALIZED (SELECT e.view, i, j, sum(co * value * (1 - abs(uc - u)) * (1 - abs(vc - v))) AS value FROM pl JOIN e ON u BETWEEN floor(uc) AND floor(uc) + 1 AND v BETWEEN floor(vc) AND floor(vc) + 1 GROUP BY e.view, i, j),
+la AS (SELECT j, -be * n / (2 * pi()) AS late, n FROM b, c),
+rb AS MATERIALIZED (SELECT t.view, sm.i, sm.j, sum(sm.value * CASE m WHEN 0 THEN 1 - (late - floor(late)) ELSE late - floor(late) END) AS value
+  FROM la, range(0, 2) q(m), range(0, 100000) t(view) JOIN sm ON sm.view = (((t.view + floor(late)::bigint + m) % n) + n) % n AND sm.j = la.j WHERE t.view < n GROUP BY t.view, sm.i, sm.j),
+f AS MATERIALIZED (SELECT p.view, p.i, o.j, sum(p.value * CASE WHEN o.j = p.j THEN 0.25 WHEN (o.j - p.j) % 2 = 0 THEN 0.0 ELSE -1 / (pi() * pi() * (o.j - p.j) * (o.j - p.j)) END) / {_SPACE} AS value FROM rb p, range(0, 16) o(j) GROUP BY p.view, p.i, o.j),
+vx AS (SELECT id AS voxel_id, -4.0 + id % 10 AS x, -4.75 + id // 10 % 10 AS y, -2.3 + id // 100 AS z FROM range(0, 600) t(id)),
+co AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(-x, y) AS phi, {_COT} * abs(z) AS lost FROM vx),
+cv AS (SELECT *, CASE WHEN r >= 60 OR lost > (3600 - r * r) / 60 + 0.00048 THEN -1.0 WHEN r <= 60 - lost THEN pi() / 2 ELSE least(pi() / 2, greatest(0.0, asin(least(1.0, greatest(-1.0, (60 - lost) / r))) - atan(sqrt(r * r - pow(60 - lost, 2)) / lost))) END AS room,
+  least(1.0, greatest(-1.0, (r - (60 - lost - {_WIDE})) / {_WIDE})) AS bl FROM co),
+g AS (SELECT cv.*, t.view, n, 0.3 + t.view * 2 * pi() / n AS th FROM cv, c, range(0, 100000) t(view) WHERE t.view < n),
+h AS (SELECT *, x * cos(th) + y * sin(th) AS xi, sqrt(3600 - pow(x * cos(th) + y * sin(th), 2)) + y * cos(th) - x * sin(th) AS len, (th - phi + pi()) - 2 * pi() * floor((th - phi + pi()) / (2 * pi())) - pi() AS tu FROM g),
+w AS (SELECT voxel_id, view, n, (xi + {_EDGE}) / {_SPACE} AS uc, (atan(z / len) + {_GAMMA}) / {2 * _GAMMA / 3} AS vc, (1 + sin(pi() / 2 * bl)) / 2 AS blend, room, tu FROM h WHERE abs(atan(z / len)) <= {_GAMMA} AND room >= 0),
+k AS (SELECT *, 1 - blend + blend * CASE WHEN room <= 1e-7 THEN CASE WHEN tu >= -pi() / 2 AND tu < pi() / 2 THEN 2.0 ELSE 0.0 END
+  ELSE sin(pi() / 2 * least(1.0, greatest(-1.0, (tu + pi() / 2) / room))) - sin(pi() / 2 * least(1.0, greatest(-1.0, (tu - pi() / 2) / room))) END AS weight FROM w),
+s AS (SELECT k.voxel_id, sum(pi() / n * weight * value * (1 - abs(uc - f.j)) * (1 - abs(vc - f.i))) AS value FROM k JOIN f ON f.view = k.view AND f.j BETWEEN floor(uc) AND floor(uc) + 1 AND f.i BETWEEN floor(vc) AND floor(vc) + 1 GROUP BY k.voxel_id)
+SELECT voxel_id, {R('coalesce(s.value, 0.0)')} AS value FROM vx LEFT JOIN s USING (voxel_id)"""
+
+
+@query("xfdk_reconstruct", XFDK_SQL)
+def _(spark, d):
+    frames = helix_frames(spark, d)
+    return xfdk.reconstruct(frames, circle(frames.count()), CIRCLE_GRID).select("voxel_id", tidy(F.col("value")).alias("value"))
+
+
+@query("xfdk_stream", XFDK_SQL)
+def _(spark, d):
+    """The same frames, in packets by a stream with a restart: half of them, then the rest from the checkpoint."""
+    frames = helix_frames(spark, d)
+    scan, path = circle(frames.count()), scratch_path(spark, "xfdk")
+    for part in (0, 1):
+        frames.where(F.floor(F.col("view") * 2 / scan.views) == part).repartitionByRange(3, "view").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+        targets = halo.gathered(xfdk.resampled(stream, scan), xfdk.gather_of(scan))
+        halo.reconstruct(targets, lambda b: xfdk.back_project(xfdk.filtered(b, scan), scan, CIRCLE_GRID), f"{path}/parts", f"{path}/checkpoint")
+    voxels = CIRCLE_GRID.voxels(spark).select("voxel_id").join(halo.volume(spark, f"{path}/parts"), "voxel_id", "left")
+    return voxels.select("voxel_id", tidy(F.coalesce("value", F.lit(0.0))).alias("value"))
