@@ -6,13 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelbase.functions.scratch import settle
 from voxelbase.operators import footprint
 from voxelbase.operators import geometry as G
 from voxelbase.operators import projector as J
 from voxelbase.operators.geometry import Scan
 from voxelbase.operators.projector import Grid
-from voxelbase.plans import fdk, halo, helical, shares, xfdk
+from voxelbase.plans import fdk, halo, helical, orbit, shares, xfdk
 from voxelbase.streaming import halo as stream_halo
+from voxelbase.streaming import protocol
 
 
 def frames_of(spark, scan, grid, volume):
@@ -170,3 +172,69 @@ def test_stream_of_packets_equals_the_whole(spark, tmp_path, monkeypatch):
         if packet[0][0] != 13:
             assert max(abs(got.get(k, 0.0) - v) for k, v in whole.items()) > 1e-6  # not all views have come
     assert max(abs(got.get(k, 0.0) - v) for k, v in whole.items()) < 1e-12
+
+
+STILL = Scan(views=20, nu=24, nv=24, du=1.0, dv=1.0, sid=60.0, sdd=100.0, start=0.4)
+
+
+def still(spark):
+    return settle(G.source_orbit(spark, STILL, 12.0, 45.0).withColumns({"origin_u": F.lit(5.0), "origin_v": F.lit(6.0)}))
+
+
+@pytest.mark.parametrize("mode", ["rotated", "radial"])
+def test_windows_see_what_their_own_frames_see(spark, mode):
+    """A window's pixel and the detector's pixel that its map names lie on one ray from the source; steps fit the detector's in the middle."""
+    centre = (0.5, -0.4, 0.3)
+    geo = {r.view: r for r in still(spark).collect()}
+    for r in orbit.windows(still(spark), 9, 7, mode, centre).collect():
+        raw, h = geo[r.view], np.array(r.h).reshape(3, 3)
+        v = lambda x: np.array([x.x, x.y, x.z])
+        for u, w in ((0, 0), (8, 0), (3, 6), (4, 3)):
+            x, y, q = h @ [u, w, 1]
+            own, its = v(r.det_s) + u * v(r.det_u) + w * v(r.det_v) - v(r.src), v(raw.det_s) + x / q * v(raw.det_u) + y / q * v(raw.det_v) - v(raw.src)
+            assert np.allclose(np.cross(own, its), 0, atol=1e-8) and own @ its > 0
+        if mode == "radial":
+            middle = v(r.det_s) + 4 * v(r.det_u) + 3 * v(r.det_v)
+            assert np.allclose(np.cross(middle - v(r.src), np.array(centre) - v(r.src)), 0, atol=1e-8) and abs(v(r.det_u) @ v(r.det_v)) < 1e-9
+            assert abs(np.linalg.norm((h @ [4.5, 3, 1])[:2] / (h @ [4.5, 3, 1])[2] - (h @ [3.5, 3, 1])[:2] / (h @ [3.5, 3, 1])[2]) - 1) < 1e-3
+
+
+def test_window_off_the_detector_stops(spark):
+    maps = orbit.windows(still(spark).withColumn("origin_u", F.lit(17.0)), 9, 7)
+    with pytest.raises(Exception, match="window leaves the detector"):
+        orbit.check_windows(maps, 9, 7, 24, 24).collect()
+    assert orbit.check_windows(orbit.windows(still(spark), 9, 7), 9, 7, 24, 24).count() == 20
+
+
+def test_plain_circle_is_the_same_either_way(spark):
+    scan, grid, rng = Scan(views=16, nu=14, nv=6, du=1.6, dv=1.6, sid=60.0, sdd=120.0, start=0.2), Grid(6, 6, 4), np.random.default_rng(4)
+    frames = spark.createDataFrame([(i, rng.random(84).tolist()) for i in range(16)], "view long, data array<double>")
+    geometry = G.flat_geometry(spark, scan)
+    px = frames.select("view", F.posexplode("data").alias("i", "value")).select("view", F.floor(F.col("i") / 14).alias("v"), (F.col("i") % 14).alias("u"), "value")
+    a = {r.voxel_id: r.value for r in fdk.reconstruct(px, geometry, scan, grid).collect()}
+    b = {r.voxel_id: r.value for r in orbit.reconstruct(frames, geometry, scan, grid).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_scan_protocol_fails_resets_and_goes_on(spark, tmp_path):
+    """Two scans at once over five runs from one checkpoint."""
+    path, frame = str(tmp_path), lambda first, n, size=4, value=1.0: [(first + i, [value * (first + i)] * size) for i in range(n)]
+    runs = [
+        [("a", 0, "packet", 0, frame(0, 1)), ("a", 1, "begin", None, None), ("a", 2, "packet", 0, frame(0, 2)), ("b", 0, "begin", None, None), ("b", 1, "packet", 0, frame(0, 3))],
+        [("a", 2, "packet", 2, frame(2, 1)), ("a", 3, "begin", None, None), ("a", 5, "packet", 2, frame(2, 3)), ("a", 4, "complete", None, None), ("b", 2, "packet", 4, frame(4, 1)), ("b", 3, "packet", 3, frame(3, 2))],
+        [("a", 6, "complete", None, None), ("b", 4, "complete", None, None), ("b", 5, "cancel", None, None), ("b", 6, "begin", None, None), ("b", 7, "packet", 0, frame(0, 4, value=2.0))],
+        [("b", 8, "packet", 4, frame(4, 2)), ("b", 9, "cancel", None, None), ("b", 10, "begin", None, None), ("b", 11, "packet", 0, frame(0, 1, 3)), ("b", 12, "cancel", None, None), ("b", 13, "begin", None, None), ("b", 14, "packet", 0, frame(0, 5, value=10.0))],
+        [("b", 15, "complete", None, None), ("b", 16, "stop", None, None)],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, protocol.COMMANDS).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(protocol.COMMANDS).parquet(f"{path}/in")
+        protocol.run(stream, 5, 4, lambda f: f.select(F.col("view").alias("voxel_id"), F.col("data")[0].alias("value")), path)
+    log = {(r.scan, r.batch, r.seq): r for r in protocol.log(spark, path).collect()}
+    taken = {s: [k[2] for k in sorted(log) if k[0] == s and log[k].accepted] for s in "ab"}
+    assert taken == {"a": [1, 2, 5, 6], "b": [0, 1, 5, 6, 7, 9, 10, 12, 13, 14, 15]}
+    assert len(log) == sum(map(len, runs)) and not log["a", 1, 2].accepted and log["a", 1, 4].received == 2
+    assert log["b", 1, 2].failed and log["b", 1, 3].failed and log["b", 2, 4].failed and not log["b", 2, 6].failed and log["b", 3, 8].failed and log["b", 3, 11].failed
+    assert log["b", 4, 15].attempt == 4 and not log["b", 4, 15].active
+    out = {(r.scan, r.voxel_id): r.value for r in protocol.volumes(spark, path).collect()}
+    assert out == {("a", i): float(i) for i in range(5)} | {("b", i): 10.0 * i for i in range(5)}

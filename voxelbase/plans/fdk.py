@@ -48,15 +48,22 @@ def window_weights(kind: str, f: np.ndarray) -> np.ndarray:
     return np.where(f <= 1, forms[kind], 0.0)
 
 
+def ramp_gain(nu: int, window: str = "ram_lak", cutoff: float = 0.5) -> tuple[int, np.ndarray]:
+    """The padded length of rows of ``nu`` samples and the windowed ramp's gains, for unit spacing."""
+    size = 1 << (2 * nu - 1).bit_length()
+    kernel = np.zeros(size)
+    kernel[:nu] = spatial_ramp(nu)
+    kernel[size - nu + 1 :] = kernel[1:nu][::-1]
+    return size, np.fft.rfft(kernel).real * window_weights(window, np.fft.rfftfreq(size) / cutoff)
+
+
 def filter_frames(frames: DataFrame, scan: Scan, window: str = "ram_lak", cutoff: float = 0.5) -> DataFrame:
     """(view, data) with rows of nu values each, one after another: every row filtered by the ramp."""
-    nu, size = scan.nu, 1 << (2 * scan.nu - 1).bit_length()
+    nu = scan.nu
 
     def run(batches):
-        kernel = np.zeros(size)
-        kernel[:nu] = spatial_ramp(nu)
-        kernel[size - nu + 1 :] = kernel[1:nu][::-1]
-        gain = np.fft.rfft(kernel).real * window_weights(window, np.fft.rfftfreq(size) / cutoff) / scan.du
+        size, gain = ramp_gain(nu, window, cutoff)
+        gain = gain / scan.du
         for b in batches:
             out = []
             for data in b.column("data"):
@@ -82,14 +89,14 @@ def to_frames(pixels: DataFrame, scan: Scan) -> DataFrame:
 #: Frames that a task sums before it gives off its share of a slab.
 FRAMES = 32
 #: What a voxel-driven back-projection multiplies its samples by.
-WEIGHTS = ("fdk", "none", "matched")
+WEIGHTS = ("fdk", "radial", "none", "matched")
 
 
 def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid, weight: str = "fdk", nearest: bool = False) -> DataFrame:
     """(voxel_id, value): sums over views of weighted samples of (view, data) where each voxel's ray meets the flat detector.
 
-    ``fdk``: SOD^2 * step / depth^2 with the depth along the detector's normal; ``none``:
-    plain sums; ``matched``: L^3 / (plane distance * l^2) * du * dv with L from source to
+    ``fdk``: SOD^2 * step / depth^2 with the depth along the detector's normal; ``radial``:
+    the same along each view's ray to the grid's centre, SOD being its length; ``none``: plain sums; ``matched``: L^3 / (plane distance * l^2) * du * dv with L from source to
     detector point and l from source to voxel, nearly the transpose of ray sums.
     A task projects a slab of voxels for all its frames at once and gives off its share
     of each slab; shares are added slab by slab, in two levels.
@@ -126,6 +133,9 @@ def back_project(frames: DataFrame, geometry: DataFrame, scan: Scan, grid: Grid,
             sample = (1 - fv) * (top + fu * (wide[np.minimum(at + 1, len(wide) - 1)] - top)) + fv * (low + fu * (wide[np.minimum(at + nu + 3, len(wide) - 1)] - low))
         if weight == "fdk":
             sample = sample * (sid * sid * step) / (w * (abs(det) / np.linalg.norm(n))) ** 2
+        elif weight == "radial":
+            ray = np.array(grid.centre) - src
+            sample = sample * (ray @ ray) ** 2 * step / dot(ray) ** 2
         elif weight == "matched":
             near2 = qx * qx + qy * qy + qz * qz
             sample = sample * (np.sqrt(near2) / w) ** 3 / (abs(det) / np.linalg.norm(n) * near2) / pixel * (vx * vy * vz)

@@ -12,9 +12,9 @@ from voxelbase.operators import footprint
 from voxelbase.operators import geometry as G
 from voxelbase.operators.geometry import Scan
 from voxelbase.operators.projector import Grid
-from voxelbase.plans import helical, xfdk
+from voxelbase.plans import fdk, helical, orbit, xfdk
 from voxelbase.sources import tables
-from voxelbase.streaming import halo
+from voxelbase.streaming import halo, protocol
 
 from .recon import geo_sql
 
@@ -191,3 +191,85 @@ def _(spark, d):
         halo.reconstruct(targets, lambda b: xfdk.back_project(xfdk.filtered(b, scan), scan, CIRCLE_GRID), f"{path}/parts", f"{path}/checkpoint")
     voxels = CIRCLE_GRID.voxels(spark).select("voxel_id").join(halo.volume(spark, f"{path}/parts"), "voxel_id", "left")
     return voxels.select("voxel_id", tidy(F.coalesce("value", F.lit(0.0))).alias("value"))
+
+
+# A source on its own circle above a still detector of 8 x 8 pixels, and a circle with a tilted axis: a view for each row of embeddings.
+STILL, WINDOW, ORBIT_GRID = Scan(views=1, nu=8, nv=8, du=2.0, dv=2.0, sid=60.0, sdd=100.0), Scan(views=1, nu=5, nv=5, du=2.0, dv=2.0, sid=60.0, sdd=100.0), Grid(5, 6, 3, (0.9, 0.8, 0.7), (0.2, -0.3, 0.1))
+_RADIUS, _HEIGHT, _BELOW = 4.0, 45.0, 40.0
+_CX, _CY, _CZ = ORBIT_GRID.centre
+
+
+def _still(spark, d):
+    frames = helix_frames(spark, d)
+    scan = Scan(**(STILL.__dict__ | {"views": frames.count(), "start": 0.3}))
+    geometry = G.source_orbit(spark, scan, _RADIUS, _HEIGHT).withColumns({"origin_u": (F.col("view") % 2 + 1).cast("double"), "origin_v": F.lit(1.0)})
+    return frames, geometry, scan
+
+
+_VOXELS = f"vx AS (SELECT id AS voxel_id, {_CX} + (id % 5 - 2) * 0.9 AS x, {_CY} + (id // 5 % 6 - 2.5) * 0.8 AS y, {_CZ} + (id // 30 - 1) * 0.7 AS z FROM range(0, 90) t(id))"
+ORBIT_SQL = f"""WITH c AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT vec_id AS view, i // 8 AS v, i % 8 AS u, abs(embedding[i + 1]::double) AS value FROM embeddings, range(0, 64) q(i)),
+g AS (SELECT view, n, a, {_RADIUS} * cos(a) AS sx, {_RADIUS} * sin(a) AS sy, view * 2 * pi() / n AS de, view % 2 + 3.0 AS mu FROM (SELECT t.view, n, 0.3 + t.view * 2 * pi() / n AS a FROM c, range(0, 100000) t(view) WHERE t.view < n)),
+pl AS (SELECT g.*, u, v, mu + (u - 2) * cos(de) - (v - 2) * sin(de) AS rx, 3.0 + (u - 2) * sin(de) + (v - 2) * cos(de) AS ry FROM g, range(0, 5) q(u), range(0, 5) w(v)),
+ra AS (SELECT view, {_CX} - sx AS ax, {_CY} - sy AS ay, {_CZ - _HEIGHT} AS az, sqrt(pow({_CX} - sx, 2) + pow({_CY} - sy, 2) + {(_CZ - _HEIGHT) ** 2}) AS s FROM g),
+sm AS MATERIALIZED (SELECT pl.view, pl.u, pl.v, sum(e.value * (1 - abs(rx - e.u)) * (1 - abs(ry - e.v))) * any_value(pow(s * {(_HEIGHT + _BELOW) / (_HEIGHT - _CZ)}, 2) / (2 * s) / sqrt(pow((rx - 3.5) * 2 - sx, 2) + pow((ry - 3.5) * 2 - sy, 2) + {(_HEIGHT + _BELOW) ** 2})) AS value
+  FROM pl JOIN ra USING (view) JOIN e ON e.view = pl.view AND e.u BETWEEN floor(rx) AND floor(rx) + 1 AND e.v BETWEEN floor(ry) AND floor(ry) + 1 GROUP BY pl.view, pl.u, pl.v),
+f AS MATERIALIZED (SELECT p.view, p.v, o.u, sum(p.value * CASE WHEN o.u = p.u THEN 0.25 WHEN (o.u - p.u) % 2 = 0 THEN 0.0 ELSE -1 / (pi() * pi() * (o.u - p.u) * (o.u - p.u)) END) / 2.0 AS value FROM sm p, range(0, 5) o(u) GROUP BY p.view, p.v, o.u),
+{_VOXELS},
+k AS (SELECT voxel_id, g.*, (sx + {_HEIGHT + _BELOW} / ({_HEIGHT} - z) * (x - sx)) / 2 + 3.5 - mu AS px, (sy + {_HEIGHT + _BELOW} / ({_HEIGHT} - z) * (y - sy)) / 2 + 3.5 - 3 AS py, pow(s, 4) * 2 * pi() / n / pow((x - sx) * ax + (y - sy) * ay + (z - {_HEIGHT}) * az, 2) AS weight FROM vx, g JOIN ra USING (view)),
+s AS (SELECT voxel_id, view, weight, px * cos(de) + py * sin(de) + 2 AS uc, py * cos(de) - px * sin(de) + 2 AS vc FROM k),
+t AS (SELECT voxel_id, sum(weight * value * (1 - abs(uc - f.u)) * (1 - abs(vc - f.v))) AS value FROM s JOIN f ON f.view = s.view AND f.u BETWEEN floor(uc) AND floor(uc) + 1 AND f.v BETWEEN floor(vc) AND floor(vc) + 1 GROUP BY voxel_id)
+SELECT voxel_id, {R('coalesce(t.value, 0.0)')} AS value FROM vx LEFT JOIN t USING (voxel_id)"""
+
+
+def _voxels(rows):
+    return rows.select("voxel_id", tidy(F.col("value")).alias("value"))
+
+
+@query("source_orbit_fdk", ORBIT_SQL)
+def _(spark, d):
+    frames, geometry, scan = _still(spark, d)
+    return _voxels(orbit.source_orbit(frames, geometry, scan, WINDOW, ORBIT_GRID))
+
+
+_TILT = 0.2
+_TC, _TS = math.cos(_TILT), math.sin(_TILT)
+# The tilted scan seen from its own axis: a plain circle around voxels turned back, its reference ray aimed at the turned centre.
+TILTED_SQL = f"""WITH c AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT vec_id AS view, i // 16 AS v, i % 16 AS u, abs(embedding[i + 1]::double) AS value FROM embeddings, range(0, 64) q(i)),
+g AS (SELECT view, n, a, 60 * sin(a) AS sx, -60 * cos(a) AS sy FROM (SELECT t.view, n, 0.3 + t.view * 2 * pi() / n AS a FROM c, range(0, 100000) t(view) WHERE t.view < n)),
+ra AS (SELECT *, {_CX} - sx AS ax, {_TC * _CY + _TS * _CZ} - sy AS ay, {_TC * _CZ - _TS * _CY} AS az FROM g),
+rb AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS s, 120.0 / (ay * cos(a) - ax * sin(a)) AS far FROM ra),
+sm AS MATERIALIZED (SELECT view, v, u, value * pow(s * far, 2) / (2 * s) / sqrt(pow((u - 7.5) * 1.6, 2) + pow((v - 1.5) * 1.6, 2) + 14400) AS value FROM e JOIN rb USING (view)),
+f AS MATERIALIZED (SELECT p.view, p.v, o.u, sum(p.value * CASE WHEN o.u = p.u THEN 0.25 WHEN (o.u - p.u) % 2 = 0 THEN 0.0 ELSE -1 / (pi() * pi() * (o.u - p.u) * (o.u - p.u)) END) / 1.6 AS value FROM sm p, range(0, 16) o(u) GROUP BY p.view, p.v, o.u),
+{_VOXELS},
+k AS (SELECT voxel_id, view, s, n, a, ax, ay, az, x - sx AS qx, {_TC} * y + {_TS} * z - sy AS qy, {_TC} * z - {_TS} * y AS qz FROM vx, rb),
+s AS (SELECT voxel_id, view, (qx * cos(a) + qy * sin(a)) / (qy * cos(a) - qx * sin(a)) * 75 + 7.5 AS uc, qz / (qy * cos(a) - qx * sin(a)) * 75 + 1.5 AS vc, pow(s, 4) * 2 * pi() / n / pow(qx * ax + qy * ay + qz * az, 2) AS weight FROM k),
+t AS (SELECT voxel_id, sum(weight * value * (1 - abs(uc - f.u)) * (1 - abs(vc - f.v))) AS value FROM s JOIN f ON f.view = s.view AND f.u BETWEEN floor(uc) AND floor(uc) + 1 AND f.v BETWEEN floor(vc) AND floor(vc) + 1 GROUP BY voxel_id)
+SELECT voxel_id, {R('coalesce(t.value, 0.0)')} AS value FROM vx LEFT JOIN t USING (voxel_id)"""
+
+
+@query("tilted_fdk", TILTED_SQL)
+def _(spark, d):
+    frames = helix_frames(spark, d)
+    scan = circle(frames.count())
+    return _voxels(orbit.reconstruct(frames, G.tilted_axis(spark, scan, _TILT), scan, ORBIT_GRID))
+
+
+@query("tilted_stream", TILTED_SQL)
+def _(spark, d):
+    """The tilted scan as packets of 37 views: a first attempt fails on a packet out of order and is cancelled, the second is completed."""
+    frames = helix_frames(spark, d)
+    scan, path = circle(frames.count()), scratch_path(spark, "protocol")
+    geometry = settle(G.tilted_axis(spark, scan, _TILT))
+    packet = F.floor(F.col("view") / 37)
+    packets = frames.groupBy(packet.alias("k")).agg(F.array_sort(F.collect_list(F.struct("view", "data"))).alias("frames"), F.min("view").alias("first_view"))
+    rows = lambda first: packets.select(F.lit("tilted").alias("scan"), (F.col("k") + first).alias("seq"), F.lit("packet").alias("op"), "first_view", "frames")
+    order = lambda *ops: spark.createDataFrame([("tilted", seq, op, None, None) for seq, op in ops], protocol.COMMANDS)
+    last = 1_000_000
+    parts = [order((0, "begin")).unionByName(rows(1).where("k < 2")).unionByName(rows(2).where("k = 3")), order((10, "cancel"), (11, "begin")), rows(12).where("k < 5"), rows(12).where("k >= 5").unionByName(order((last, "complete")))]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(protocol.COMMANDS).parquet(f"{path}/in")
+        protocol.run(stream, scan.views, scan.nu * scan.nv, lambda b: fdk.back_project(orbit.filtered(b, geometry, scan.nu, scan.nv, ORBIT_GRID.centre), geometry, scan, ORBIT_GRID, "radial"), path)
+    return _voxels(protocol.volumes(spark, path))
