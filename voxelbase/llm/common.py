@@ -71,6 +71,16 @@ def release(df: DataFrame) -> None:
             delete_path(df.sparkSession, folder)
 
 
+def carried(docs: DataFrame, used: tuple[str, ...], run) -> DataFrame:
+    """``run(docs)`` with all columns but ``used`` under names that nothing inside uses or misreads, given back after.
+
+    So further columns pass through whatever their names: with dots, clashing or twice.
+    """
+    inner = [c if c in used and c not in docs.columns[:i] else f"carried{i}_" for i, c in enumerate(docs.columns)]
+    out, outer = run(docs.toDF(*inner)), dict(zip(inner, docs.columns, strict=True))
+    return out.toDF(*(outer.get(c, c) for c in out.columns))
+
+
 def filter_bits(rows: int, per_row: int = 16, most: int = MAX_FILTER_BITS) -> int:
     """A power of two near ``per_row`` bits a row, at most ``most``."""
     return min(most, max(BLOCK_BITS, 1 << math.ceil(math.log2(max(2, rows * per_row)))))

@@ -19,8 +19,7 @@ without an id get no component and are kept. Rows that share an id are one
 document, linked if any of its texts is; repeated rows each get their row. Texts
 of any length are read whole, piece by piece. Ties: the smallest id names a
 component. Columns other than doc_id and text are not read by ``near_groups``;
-``drop_near_copies`` returns them whatever their names (those that start with two
-underscores are its own). An empty table gives no rows.
+``drop_near_copies`` returns them whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, build_filter, connected_components, filter_bits, join_spread, materialize, only_ids, test_filter, without_ids
+from .common import arrow_rows, build_filter, carried, connected_components, filter_bits, join_spread, materialize, only_ids, test_filter, without_ids
 from .hashing import Substrings, U, mix
 
 WORDS = 5
@@ -324,12 +323,39 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, min_percent: int) -> DataFrame
         return materialize(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify(min_percent), "u long, v long"), "links")
 
 
+def _shared_ids(rows: DataFrame) -> DataFrame:
+    """Ids with rows of different sets; a filter of repeated ids keeps all others from the shuffle."""
+    ids = rows.where("doc_id is not null").select("doc_id", F.coalesce("digest", F.lit(b"")).alias("digest"))
+    bits = filter_bits(rows.count())
+    maybe = test_filter(ids, "doc_id", build_filter(ids, "doc_id", bits, repeated=True), bits).where("maybe")
+    return maybe.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+
+
+def _joined_by_id(docs: DataFrame, min_percent: int) -> DataFrame:
+    """``near_groups`` where ids are shared: rows are grouped by numbers of their own, then rows of one id are linked and each component takes its smallest id."""
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")
+    groups = materialize(near_groups(numbered, min_percent), "groups")
+    named = groups.where("doc_id is not null").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component"))
+    named = materialize(named.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_shingles", "component"), "named")
+    least = named.groupBy("doc_id").agg(F.min("component").alias("v"), F.max("component").alias("high")).where("v < high").drop("high")
+    links = named.select("doc_id", F.col("component").alias("u")).distinct().join(least, "doc_id").where("u <> v").select("u", "v").distinct()
+    moved = materialize(connected_components(links).where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("to")), "moved")
+    named = materialize(named.join(moved, "component", "left").select("doc_id", "n_shingles", F.coalesce("to", "component").alias("component")), "named")
+    first = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "first")
+    out = join_spread(named, first, "component", "size", named.count()).select("doc_id", "n_shingles", "component_id")
+    nameless = groups.where("doc_id is null").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_groups(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bands, depth, limit = plan(min_percent)
     with arrow_rows(docs.sparkSession, 1000):
         rows = materialize(docs.mapInArrow(_sketch(bands, depth), SIGNATURE), "signature")
+    if not _shared_ids(rows).isEmpty():
+        return _joined_by_id(docs, min_percent)
 
     # Classes of equal sets, each named by its smallest id.
     linked = rows.where("digest is not null and doc_id is not null")
@@ -388,6 +414,10 @@ def drop_near_copies(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFra
 
     Rows are grouped by a number of their own, so null and shared ids decide nothing but the order.
     """
+    return carried(docs, ("doc_id", "text"), lambda rows: _drop_near_copies(rows, min_percent))
+
+
+def _drop_near_copies(docs: DataFrame, min_percent: int) -> DataFrame:
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups = near_groups(rows.select(F.col("__row").alias("doc_id"), "text"), min_percent)
     moved = materialize(groups.where("not kept").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")), "moved")
