@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 from .hashing import Substrings, U
 
 GRAM = 10
@@ -317,11 +317,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """``docs`` without the rows that hold a passage of ``benchmark``, each row by its own text whatever its id."""
-    first = True
-    for rows in _blocks(benchmark):
-        docs = docs if first else materialize(docs, "clean")
-        docs, first = docs.mapInArrow(_clean(rows, error), docs.schema), False
-    return docs
+
+    def run(docs):
+        first = True
+        for rows in _blocks(benchmark):
+            docs = docs if first else materialize(docs, "clean")
+            docs, first = docs.mapInArrow(_clean(rows, error), docs.schema), False
+        return docs
+
+    return carried(docs, ("doc_id", "text"), run)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

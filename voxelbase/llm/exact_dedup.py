@@ -12,7 +12,7 @@ Null texts count as empty. Rows without an id can't be kept before rows with
 one; equal rows with the same id all say ``kept``. Texts of any length are read
 whole. Ties: of equal texts the smallest id stays. Columns other than doc_id and
 text are not read by ``exact_groups``; ``drop_copies`` returns them whatever
-their names (those that start with two underscores are its own). An empty table gives no rows.
+their names and types. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_FILTER_BITS, SPACES, build_filter, filter_bits, join_spread, materialize, scratch_path, test_filter
+from .common import MAX_FILTER_BITS, SPACES, build_filter, carried, filter_bits, join_spread, materialize, scratch_path, test_filter
 
 
 def _sha(text: str) -> Column:
@@ -64,13 +64,17 @@ def exact_groups(docs: DataFrame, bits_per_row: int = 16, most: int = MAX_FILTER
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each text: the smallest id, null ids last, and of equal ids the smallest row."""
-    keyed = docs.withColumn("__sha", _sha("text"))
+    """``docs`` with one row of each text: the smallest id, null ids last, of equal ids the smallest text as it stands, then the first row."""
+    return carried(docs, ("doc_id", "text"), _drop_copies)
+
+
+def _drop_copies(docs: DataFrame) -> DataFrame:
+    keyed = docs.withColumns({"__sha": _sha("text"), "__row": F.monotonically_increasing_id()})
     keys = materialize(keyed.select("__sha"), "digest")
     bits = filter_bits(keys.count())
     split = test_filter(keyed, "__sha", build_filter(keys, "__sha", bits, repeated=True), bits, "__maybe")
-    row = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", *(c for c in docs.columns if c != "doc_id"))
-    first = split.where("__maybe").groupBy("__sha").agg(F.min(row).alias("__first")).select(*(F.col("__first")[c].alias(c) for c in docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "__row")  # further columns may be of types without an order
+    first = split.where("__maybe").groupBy("__sha").agg(F.min_by(F.struct(*docs.columns), order).alias("__first")).select(*(F.col("__first")[c].alias(c) for c in docs.columns))
     return split.where("not __maybe").select(*docs.columns).unionByName(first)
 
 

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 
 KEY = "voxelbase-surrogates"
 #: Draws that avoid originals; afterwards full spaces keep the first draw, and names and e-mails get the round as a counter.
@@ -234,8 +234,11 @@ def _unfixed(rows: DataFrame) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and the column n_replaced (clashing columns: the last one is replaced)."""
-    docs = docs.drop("n_replaced")
+    """``docs`` with surrogates in ``text`` and the column n_replaced (one of that name is replaced)."""
+    return carried(docs.drop("n_replaced"), ("text",), lambda rows: _replaced(rows, key))
+
+
+def _replaced(docs: DataFrame, key: str) -> DataFrame:
     names = docs.columns
     signs = F.coalesce(F.col("text").rlike(SIGNS), F.lit(False))
     found = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, only_ids
+from .common import carried, materialize, only_ids
 
 #: Labelled rows that the fit reads at most.
 SAMPLE = 20_000
@@ -160,13 +160,22 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Grammar, np.ndarray]:
-    """The grammar with learned insults and the weights of the logistic model."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of at most ``sample`` labelled rows: those of the ids with the smallest hashes, and if shared ids bring more, of these the smallest hashes of texts."""
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = materialize(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "label")
     texts = only_ids(docs.select("doc_id", "text"), chosen.select("doc_id"))
-    rows = materialize(texts.join(chosen, "doc_id").select("text", "toxic"), "labelled")
+    rows = materialize(texts.join(chosen, "doc_id").select("text", "toxic", F.monotonically_increasing_id().alias("row")), "labelled")
+    if rows.count() > sample:
+        few = rows.select(F.xxhash64("text").alias("h"), "row").orderBy("h", "row").limit(sample).select("row")
+        rows = materialize(rows.join(few, "row"), "labelled")
+    return rows.select("text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Grammar, np.ndarray]:
+    """The grammar with learned insults and the weights of the logistic model."""
+    rows = sampled(docs, labels, sample)
     n0, n1 = (rows.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first() or (0, 0))
     if not n0 or not n1:
         return Grammar(), FIXED
@@ -244,7 +253,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more."""
     gram, weights = fit(docs, labels)
-    return score(docs, gram, weights).where("__score < 0.5").drop("__score")
+    return carried(docs, ("doc_id", "text"), lambda rows: score(rows, gram, weights).where("__score < 0.5").drop("__score"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
