@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from voxelbase.functions.scalar import tidy
+from voxelbase.functions.scratch import scratch_path
 from voxelbase.operators import neighbour as N
 from voxelbase.operators import select as O
 from voxelbase.operators.projector import Grid
+from voxelbase.operators.traps import Traps, afterglow, afterglow_stream
 from voxelbase.sources.tables import frames, pixels
+from voxelbase.streaming.halo import keyed_state
 
 from .pointwise import PX
 
@@ -102,6 +108,49 @@ def _(spark, d):
     return N.afterglow(pixels(spark, d), ["u"], "view", 0.05, 0.3, 20).select("view", "u", tidy(F.col("out")).alias("out"))
 
 
+TRAPS = Traps(0.06, (0.7, 0.3), (3.0, 400.0), 8.0, 20.0)
+SLOW_TRAPS = replace(TRAPS, steady=True)
+
+
+def _traps_sql(t: Traps) -> str:
+    """Every frame's own share, and of all earlier ones what each trap still gives; a steady start counts as frames like the first for ever."""
+    late = []
+    for w, tau in zip(t.weights, t.taus):
+        give, gain = 1 - math.exp(-t.exposure / tau), math.exp(-t.frame / tau)
+        take = t.share * w * tau * give / t.exposure * math.exp(-(t.frame - t.exposure) / tau)
+        late.append(f"{give} * (coalesce(sum({take} * pow({gain}, p.view - q.view - 1) * q.value), 0)" + (f" + {take / max(1 - gain, 1e-6)} * pow({gain}, p.view) * any_value(f.value))" if t.steady else ")"))
+    own = 1 - t.share + sum(t.share * w * (1 - tau * (1 - math.exp(-t.exposure / tau)) / t.exposure) for w, tau in zip(t.weights, t.taus))
+    return f"WITH {PX}, f AS (SELECT u, value FROM px WHERE view = 0) SELECT p.view, p.u, {R(f'any_value({own} * p.value) + ' + ' + '.join(late))} AS out FROM px p JOIN f USING (u) LEFT JOIN px q ON q.u = p.u AND q.view < p.view GROUP BY p.view, p.u"
+
+
+def _pixels_of(rows):
+    return rows.select("view", F.posexplode("data").alias("u", "out")).select("view", "u", tidy(F.col("out")).alias("out"))
+
+
+@query("afterglow_traps", _traps_sql(TRAPS))
+def _(spark, d):
+    return _pixels_of(afterglow(frames(spark, d), TRAPS))
+
+
+@query("afterglow_steady", _traps_sql(SLOW_TRAPS))
+def _(spark, d):
+    return _pixels_of(afterglow(frames(spark, d), SLOW_TRAPS))
+
+
+@query("afterglow_stream", _traps_sql(SLOW_TRAPS))
+def _(spark, d):
+    """The same frames as a stream in two runs from one checkpoint, the later half first in each."""
+    path = scratch_path(spark, "afterglow")
+    rows = frames(spark, d).select(F.lit("object").alias("scan"), "view", "data")
+    for k in (0, 1):
+        for half in (1, 0):
+            rows.where((F.floor(F.col("view") / 100) % 2 == k) & (F.col("view") % 2 == half)).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(f"{path}/in")
+        with keyed_state(spark):
+            afterglow_stream(stream, SLOW_TRAPS).writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _pixels_of(spark.read.schema("scan string, view long, data array<double>").parquet(f"{path}/out"))
+
+
 @query("track_prediction", f"WITH {PX} SELECT view, label, u AS target, {R('2 * lag(value, 1) OVER w - lag(value, 2) OVER w')} AS predicted FROM px WINDOW w AS (PARTITION BY u ORDER BY view)")
 def _(spark, d):
     rows = pixels(spark, d).select("view", "label", F.col("u").alias("target"), F.col("value").alias("u"))
