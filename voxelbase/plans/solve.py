@@ -124,38 +124,43 @@ def quadratic_gradient(x: DataFrame, grid: Grid) -> DataFrame:
     return neighbours(x, grid).groupBy("voxel_id").agg(F.sum(F.col("value") - F.col("other")).alias("value"))
 
 
-def slopes(x: DataFrame, grid: Grid) -> DataFrame:
-    """(voxel_id, gx, gy, gz): differences to the next voxel of each axis; 0 at the grid's end and next to voxels outside the table."""
+def slopes(x: DataFrame, grid: Grid, flat: bool = False) -> DataFrame:
+    """(voxel_id, gx, gy, gz): differences to the next voxel of each axis over the voxel's size; 0 at the grid's end and next to voxels outside the table. ``flat``: none along z."""
     i = F.col("voxel_id")
     places = {"gx": (i % grid.nx, 1), "gy": (F.floor(i / grid.nx) % grid.ny, grid.nx), "gz": (F.floor(i / (grid.nx * grid.ny)), grid.nx * grid.ny)}
-    sent = [F.when(place > 0, F.struct((i - k).alias("to"), F.lit(name).alias("axis"))) for name, (place, k) in places.items()]
+    size = dict(zip(places, grid.voxel, strict=True))
+    sent = [F.when(place > 0, F.struct((i - k).alias("to"), F.lit(name).alias("axis"))) for name, (place, k) in places.items() if not (flat and name == "gz")]
     after = x.select(F.explode(F.filter(F.array(*sent), lambda t: t.isNotNull())).alias("s"), F.col("value").alias("next"))
     after = after.groupBy(F.col("s.to").alias("voxel_id")).agg(*(F.max(F.when(F.col("s.axis") == name, F.col("next"))).alias(name) for name in places))
-    return x.join(after, "voxel_id", "left").select("voxel_id", *(F.coalesce(F.col(name) - F.col("value"), F.lit(0.0)).alias(name) for name in places))
+    return x.join(after, "voxel_id", "left").select("voxel_id", *(F.coalesce((F.col(name) - F.col("value")) / size[name], F.lit(0.0)).alias(name) for name in places))
 
 
-def _divergence(x: DataFrame, grid: Grid, weight: Callable[[Column], Column]) -> DataFrame:
+def _pull(rows: DataFrame, grid: Grid) -> DataFrame:
+    """(voxel_id, pull): minus the divergence of the flux (voxel_id, gx, gy, gz)."""
+    i, over = F.col("voxel_id"), [F.col(c) / h for c, h in zip(("gx", "gy", "gz"), grid.voxel, strict=True)]
+    flux = [F.struct((i + k).alias("to"), c.alias("f")) for c, k in zip(over, (1, grid.nx, grid.nx * grid.ny), strict=True)] + [F.struct(i.alias("to"), (-over[0] - over[1] - over[2]).alias("f"))]
+    return rows.select(F.explode(F.array(*flux)).alias("s")).groupBy(F.col("s.to").alias("voxel_id")).agg(F.sum("s.f").alias("pull"))
+
+
+def _divergence(x: DataFrame, grid: Grid, weight: Callable[[Column], Column], flat: bool = False) -> DataFrame:
     """Minus the divergence of ``weight(norm of the slopes)`` times the slopes: a gradient over (voxel_id, value)."""
     g = [F.col(c) for c in ("gx", "gy", "gz")]
     w = weight(F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2]))
-    i = F.col("voxel_id")
-    steps = (1, grid.nx, grid.nx * grid.ny)
-    flux = [F.struct((i + k).alias("to"), (w * c).alias("f")) for c, k in zip(g, steps, strict=True)] + [F.struct(i.alias("to"), (-w * (g[0] + g[1] + g[2])).alias("f"))]
-    sums = slopes(x, grid).select(F.explode(F.array(*flux)).alias("s")).groupBy(F.col("s.to").alias("voxel_id")).agg(F.sum("s.f").alias("value"))
-    return sums.join(x.select("voxel_id"), "voxel_id", "left_semi")
+    flux = slopes(x, grid, flat).select("voxel_id", *((w * c).alias(n) for c, n in zip(g, ("gx", "gy", "gz"), strict=True)))
+    return _pull(flux, grid).withColumnRenamed("pull", "value").join(x.select("voxel_id"), "voxel_id", "left_semi")
 
 
-def huber_gradient(delta: float) -> Callable[[DataFrame, Grid], DataFrame]:
+def huber_gradient(delta: float, flat: bool = False) -> Callable[[DataFrame, Grid], DataFrame]:
     """Of the Huber function of the slopes' norm."""
-    return lambda x, grid: _divergence(x, grid, lambda n: 1 / F.greatest(F.lit(delta), n))
+    return lambda x, grid: _divergence(x, grid, lambda n: 1 / F.greatest(F.lit(delta), n), flat)
 
 
-def smoothed_tv_gradient(eps: float) -> Callable[[DataFrame, Grid], DataFrame]:
+def smoothed_tv_gradient(eps: float, flat: bool = False) -> Callable[[DataFrame, Grid], DataFrame]:
     """Of sqrt(|slopes|^2 + eps^2) - eps."""
-    return lambda x, grid: _divergence(x, grid, lambda n: 1 / F.sqrt(n * n + eps * eps))
+    return lambda x, grid: _divergence(x, grid, lambda n: 1 / F.sqrt(n * n + eps * eps), flat)
 
 
-def penalty_value(x: DataFrame, grid: Grid, kind: str, parameter: float = 1.0) -> float:
+def penalty_value(x: DataFrame, grid: Grid, kind: str, parameter: float = 1.0, flat: bool = False) -> float:
     """The penalty's value: ``tikhonov``; ``quadratic`` over neighbour pairs; ``huber``, ``smoothed_tv`` or ``tv`` of the slopes' norm."""
     if kind == "tikhonov":
         return 0.5 * norm2(x)
@@ -164,7 +169,7 @@ def penalty_value(x: DataFrame, grid: Grid, kind: str, parameter: float = 1.0) -
         return neighbours(x, grid).agg(F.coalesce(F.sum(0.5 * d * d), F.lit(0.0)) / 2).first()[0]
     n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
     each = {"huber": F.when(n <= parameter, n * n / (2 * parameter)).otherwise(n - parameter / 2), "smoothed_tv": F.sqrt(n * n + parameter * parameter) - parameter, "tv": n}[kind]
-    return slopes(x, grid).agg(F.coalesce(F.sum(each), F.lit(0.0))).first()[0]
+    return slopes(x, grid, flat).agg(F.coalesce(F.sum(each), F.lit(0.0))).first()[0]
 
 
 def smooth_by_tv(x: DataFrame, grid: Grid, rounds: int, step: float, eps: float) -> DataFrame:
@@ -220,7 +225,7 @@ def regularised(matrix: DataFrame, b: DataFrame, grid: Grid, iterations: int, re
 
 def tv_denoise(z: DataFrame, grid: Grid, strength: float, rounds: int) -> DataFrame:
     """The proximal map of total variation by the primal-dual iteration of Chambolle and Pock: min 1/2 |u - z|^2 + strength * TV(u)."""
-    tau = sigma = 1 / 12**0.5  # of the difference operator's norm, at most sqrt(12)
+    tau = sigma = 1 / sum(4 / h**2 for h in grid.voxel) ** 0.5  # of the difference operator's norm, at most this root
     u = bar = settle(z)
     axes = ("gx", "gy", "gz")
     p = settle(z.select("voxel_id", *(F.lit(0.0).alias(c) for c in axes)))
@@ -229,9 +234,7 @@ def tv_denoise(z: DataFrame, grid: Grid, strength: float, rounds: int) -> DataFr
         moved = p.join(g, "voxel_id").select("voxel_id", *((F.col(c) + sigma * F.col(f"d{c}")).alias(c) for c in axes))
         size = F.greatest(F.lit(1.0), F.sqrt(sum((F.col(c) * F.col(c) for c in axes), F.lit(0.0))) / strength)
         p = settle(moved.select("voxel_id", *((F.col(c) / size).alias(c) for c in axes)))
-        i = F.col("voxel_id")
-        flux = [F.struct((i + k).alias("to"), F.col(c).alias("f")) for c, k in zip(axes, (1, grid.nx, grid.nx * grid.ny), strict=True)] + [F.struct(i.alias("to"), (-F.col("gx") - F.col("gy") - F.col("gz")).alias("f"))]
-        adjoint = p.select(F.explode(F.array(*flux)).alias("s")).groupBy(F.col("s.to").alias("voxel_id")).agg(F.sum("s.f").alias("pull"))
+        adjoint = _pull(p, grid)
         rows = u.join(adjoint, "voxel_id", "left").join(z.withColumnRenamed("value", "z"), "voxel_id")
         new = (F.col("value") - tau * F.coalesce("pull", F.lit(0.0)) + tau * F.col("z")) / (1 + tau)
         both = settle(rows.select("voxel_id", new.alias("value"), (2 * new - F.col("value")).alias("bar")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from voxelbase.operators import geometry as G
 from voxelbase.operators import projector as J
 from voxelbase.operators.geometry import Scan
 from voxelbase.operators.projector import Grid
-from voxelbase.plans import fdk, solve
+from voxelbase.plans import fdk, pocs, solve
 from voxelbase.sources.tables import volume
 
 SCAN = Scan(views=12, nu=16, nv=4, du=1.6, dv=1.6, sid=60.0, sdd=120.0, start=0.1)
@@ -349,6 +350,99 @@ def _(spark, d):
     return _volume(solve.tv_denoise(volume(spark, d, 10, 10, 4), GRID, 0.004, 4))
 
 
+# The same penalties on voxels of 0.5 x 1 x 2.
+SPACED = Grid(10, 10, 4, (0.5, 1.0, 2.0))
+
+
+def _spaced(sql: str) -> str:
+    """The SQL at spacing 1 with slopes over the voxel's sides, and fluxes over them again."""
+    for near, axis, k, h in zip("abc", "xyz", (1, 10, 100), SPACED.voxel):
+        sql = sql.replace(f"coalesce({near}.value - v.value, 0.0) AS g{axis}", f"coalesce({near}.value - v.value, 0.0) / {h} AS g{axis}")
+        sql = sql.replace(f"voxel_id + {k}, w * g{axis} FROM", f"voxel_id + {k}, w * g{axis} / {h} FROM").replace(f"voxel_id + {k}, p{axis} FROM", f"voxel_id + {k}, p{axis} / {h} FROM")
+    sql = sql.replace("-w * (gx + gy + gz) AS f", "-w * (gx / 0.5 + gy + gz / 2.0) AS f").replace("-px - py - pz AS f", "-px / 0.5 - py - pz / 2.0 AS f")
+    return sql.replace(str(1 / 12**0.5), str(1 / 21**0.5))  # 4 / 0.25 + 4 + 4 / 4
+
+
+@query("penalty_values_spaced", _spaced(PENALTY_SQL) + f" UNION ALL SELECT 'flat_tv', {R('sum(sqrt(gx * gx + gy * gy))')} FROM s")
+def _(spark, d):
+    x = solve.settle(volume(spark, d, 10, 10, 4))
+    rows = [(k, solve.penalty_value(x, SPACED, k, p)) for k, p in (("huber", 0.005), ("smoothed_tv", 0.01), ("tv", 0.0), ("tikhonov", 0.0))]
+    rows.append(("flat_tv", solve.penalty_value(x, SPACED, "tv", flat=True)))
+    return spark.createDataFrame(rows, "penalty string, v double").select("penalty", tidy(F.col("v")).alias("value"))
+
+
+@query("tv_smoothing_spaced", _spaced(smooth_sql(2)))
+def _(spark, d):
+    return _volume(solve.smooth_by_tv(volume(spark, d, 10, 10, 4), SPACED, 2, 0.002, 0.01))
+
+
+@query("tv_denoise_spaced", _spaced(denoise_sql(4, 0.004)))
+def _(spark, d):
+    return _volume(solve.tv_denoise(volume(spark, d, 10, 10, 4), SPACED, 0.004, 4))
+
+
+# POCS: two outer steps, their norms as scalars of the query.
+POCS = pocs.Pocs(iterations=2, relax=0.9, relax_decay=0.95, descents=2, length=0.3, length_decay=0.5, most_ratio=0.2)
+
+
+def pocs_sql(p: pocs.Pocs, subsets: list[int]) -> str:
+    ctes, x, k, n = [FORWARD, "x0 AS (SELECT DISTINCT voxel_id, 0.0::double AS value FROM a)"], "x0", 0, len(subsets)
+    norm = lambda name, rows: ctes.append(f"{name} AS MATERIALIZED (SELECT sqrt(coalesce(sum(v * v), 0)) AS n FROM ({rows}))")
+    off = lambda t: f"SELECT b.value - coalesce(q.value, 0) AS v FROM b LEFT JOIN (SELECT ray_id, sum(weight * value) AS value FROM a JOIN {t} USING (voxel_id) GROUP BY ray_id) q USING (ray_id)"
+    gap = lambda t, u: f"SELECT {t}.value - {u}.value AS v FROM {t} JOIN {u} USING (voxel_id)"
+    w = lambda c: f"exp(-pow({c} / {p.edge}, 2))" if p.edge else "1.0"
+    for i in range(p.iterations):
+        start = x
+        norm(f"off{i}", off(x))
+        for s in subsets:
+            own = f"(SELECT * FROM a WHERE (ray_id // 64) % {n} = {s})"
+            ctes.append(f"r{k} AS (SELECT ray_id, (b.value - p.value) / (p.total + 1e-8) AS value FROM b JOIN (SELECT ray_id, sum(weight * value) AS value, sum(weight) AS total FROM {own} JOIN {x} USING (voxel_id) GROUP BY ray_id) p USING (ray_id))")
+            ctes.append(f"x{k + 1} AS MATERIALIZED (SELECT {x}.voxel_id, greatest({x}.value + {p.relax * p.relax_decay**i} * coalesce(s.value, 0), 0.0) AS value FROM {x} LEFT JOIN (SELECT voxel_id, sum(weight * value) / (any_value(c) + 1e-8) AS value FROM {own} JOIN r{k} USING (ray_id) JOIN (SELECT voxel_id, sum(weight) AS c FROM {own} GROUP BY voxel_id) USING (voxel_id) GROUP BY voxel_id) s USING (voxel_id))")
+            x, k = f"x{k + 1}", k + 1
+        norm(f"er{i}", off(x))
+        norm(f"dp{i}", gap(x, start))
+        step = (("1.0" if i == 0 else f"(SELECT off{i}.n / greatest(er0.n, 1e-6) FROM off{i}, er0)") if p.kind == "pcsd" else f"(SELECT n FROM le{i})")
+        if p.kind == "asd" and i == 0:
+            ctes.append(f"le0 AS (SELECT {p.length} * n AS n FROM dp0)")
+        before = x
+        for t in range(p.descents):
+            tag = f"{i}_{t}"
+            ctes += [
+                f"d{tag} AS (SELECT v.voxel_id, coalesce(v.value - e.value, 0.0) AS dx, coalesce(v.value - f.value, 0.0) AS dy, coalesce(v.value - h.value, 0.0) AS dz FROM {x} v JOIN vox USING (voxel_id) LEFT JOIN {x} e ON e.voxel_id = v.voxel_id - 1 AND ix > 0 LEFT JOIN {x} f ON f.voxel_id = v.voxel_id - 10 AND iy > 0 LEFT JOIN {x} h ON h.voxel_id = v.voxel_id - 100)",
+                f"w{tag} AS (SELECT voxel_id, {w('dx')} * dx / n AS fx, {w('dy')} * dy / n AS fy, {w('dz')} * dz / n AS fz FROM (SELECT *, sqrt({w('dx')} * dx * dx + {w('dy')} * dy * dy + {w('dz')} * dz * dz) + 1e-8 AS n FROM d{tag}))",
+                f"g{tag} AS MATERIALIZED (SELECT voxel_id, sum(f) AS v FROM (SELECT voxel_id, fx + fy + fz AS f FROM w{tag} UNION ALL SELECT voxel_id - 1, -fx FROM w{tag} UNION ALL SELECT voxel_id - 10, -fy FROM w{tag} UNION ALL SELECT voxel_id - 100, -fz FROM w{tag}) GROUP BY voxel_id)",
+                f"y{tag} AS MATERIALIZED (SELECT {x}.voxel_id, {x}.value - {step} / (SELECT sqrt(sum(v * v)) FROM g{tag} JOIN {x} USING (voxel_id)) * coalesce(g{tag}.v, 0) AS value FROM {x} LEFT JOIN g{tag} USING (voxel_id))",
+            ]
+            x = f"y{tag}"
+        ctes.append(f"z{i} AS MATERIALIZED (SELECT voxel_id, greatest(value, 0.0) AS value FROM {x})")
+        x = f"z{i}"
+        if p.kind == "asd":
+            norm(f"dg{i}", gap(x, before))
+            ctes.append(f"le{i + 1} AS (SELECT le{i}.n * CASE WHEN dg{i}.n > {p.most_ratio} * dp{i}.n AND er{i}.n > {p.most_error} THEN {p.length_decay} ELSE 1 END AS n FROM le{i}, dg{i}, dp{i}, er{i})")
+    return f"WITH {', '.join(ctes)} SELECT voxel_id, {R('value')} AS value FROM {x}"
+
+
+for _name, _pocs, _subsets in (
+    ("asd_pocs", POCS, [0]),
+    ("os_asd_pocs", POCS, [0, 1, 2]),
+    ("aw_asd_pocs", replace(POCS, edge=0.005), [0]),
+    ("pcsd", replace(POCS, kind="pcsd"), [0]),
+    ("os_aw_pcsd", replace(POCS, kind="pcsd", edge=0.02), [0, 1, 2]),
+):
+
+    @query(_name, pocs_sql(_pocs, _subsets))
+    def _(spark, d, p=_pocs, n=len(_subsets)):
+        m, b = (solve.settle(t) for t in data(spark, d))
+        return _volume(pocs.reconstruct(m, b, GRID, p, (lambda ray: F.floor(ray / 64) % n) if n > 1 else None, n)[0])
+
+
+@query("sart", sirt_sql(1, list(range(12)), 0.8))
+def _(spark, d):
+    """A step for each view."""
+    m, b = (solve.settle(t) for t in data(spark, d))
+    return _volume(solve.algebraic(m, b, 1, 0.8, subsets=lambda ray: F.floor(ray / 64) % 12, n_subsets=12))
+
+
 WLS_SQL = f"""WITH {FORWARD}, w AS (SELECT ray_id, 1.0 / (1 + ray_id % 4) AS w FROM ray), one AS (SELECT ray_id, sum(weight) AS total FROM a GROUP BY ray_id)
 SELECT (SELECT {R('sum(w * value * value) / 2')} FROM b JOIN w USING (ray_id)) AS objective, (SELECT {R('max(l)', 4)} FROM (SELECT sum(a.weight * total * w) AS l FROM a JOIN one USING (ray_id) JOIN w USING (ray_id) GROUP BY voxel_id)) AS lipschitz"""
 
