@@ -133,25 +133,34 @@ def squared_distance(planes: DataFrame, ny: int, nx: int, threshold: float) -> D
     return planes.select(F.col("z").cast("long").alias("z"), "data").mapInArrow(step, PLANES)
 
 
+def labels(hit: np.ndarray) -> np.ndarray:
+    """8-connected components of each plane (n, ny, nx), named by their first pixel in row-major order; ny * nx elsewhere.
+
+    Labels spread to neighbours until they rest.
+    """
+    _, ny, nx = hit.shape
+    far = ny * nx
+    label = np.where(hit, np.arange(far).reshape(ny, nx), far)
+    while True:
+        wide = np.pad(label, [(0, 0), (1, 1), (1, 1)], constant_values=far)
+        new = np.where(hit, np.min([wide[:, b : b + ny, a : a + nx] for b in range(3) for a in range(3)], axis=0), far)
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(planes: DataFrame, ny: int, nx: int, threshold: float, least: int = 1) -> DataFrame:
     """(z, component, area, y, x, weight_y, weight_x): 8-connected components of each plane, named by their first pixel in row-major order.
 
-    y and x are the mean place, the others weighted by max(value - threshold, 1e-6). Labels spread to neighbours until they rest.
+    y and x are the mean place, the others weighted by max(value - threshold, 1e-6).
     """
 
     def step(batches):
-        place = np.arange(ny * nx).reshape(ny, nx)
         for batch in batches:
             data = batch.column("data").flatten().to_numpy(zero_copy_only=False).reshape(-1, ny, nx)
             hit = data > threshold
             far = ny * nx
-            label = np.where(hit, place, far)
-            while True:
-                wide = np.pad(label, [(0, 0), (1, 1), (1, 1)], constant_values=far)
-                new = np.where(hit, np.min([wide[:, b : b + ny, a : a + nx] for b in range(3) for a in range(3)], axis=0), far)
-                if (new == label).all():
-                    break
-                label = new
+            label = labels(hit)
             i, y, x = np.nonzero(hit)
             key, where = np.unique(i * far + label[i, y, x], return_inverse=True)
             w = np.maximum(data[i, y, x] - threshold, 1e-6)
