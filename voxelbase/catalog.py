@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from voxelbase.queries import analytic, beads, corrections, figures, flow, images, measure, neighbour, pointwise, recon, relate, scanners
+from voxelbase.queries import analytic, beads, corrections, figures, flow, images, measure, neighbour, pointwise, poses, recon, relate, scanners
 
-FAMILIES = (pointwise, neighbour, images, measure, recon, scanners, analytic, corrections, beads, flow, relate, figures)
+FAMILIES = (pointwise, neighbour, images, measure, recon, scanners, analytic, corrections, beads, poses, flow, relate, figures)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
