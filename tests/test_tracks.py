@@ -160,6 +160,7 @@ def test_too_few_views_stop(spark):
     rows = spark.createDataFrame([(1, s, 0, 1.0, 1.0, s < 7, False) for s in range(9)], T.TRACK)
     with pytest.raises(Exception, match="too few views"):
         T.fill_periodic(rows, 9).collect()
+    assert [r.y for r in T.fill_periodic(rows, 9, strict=False).orderBy("step").collect()] == [1.0] * 7 + [None] * 2
     assert T.fill_periodic(rows.where("step < 7"), 9).count() == 7
 
 

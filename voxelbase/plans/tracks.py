@@ -259,11 +259,11 @@ def periodic_spline(t: np.ndarray, values: np.ndarray, period: float, at: np.nda
     return g * g * ((1 + 2 * f) * y[i] + f * h * m[i]) + f * f * ((1 + 2 * g) * y[i + 1] - g * h * m[i + 1])
 
 
-def fill_periodic(tracks: DataFrame, period: int) -> DataFrame:
+def fill_periodic(tracks: DataFrame, period: int, strict: bool = True) -> DataFrame:
     """``tracks`` (``TRACK``) with unobserved places from a periodic cubic spline through the observed ones.
 
     Observed places stay. A group is one target of one scan (24 bytes a view). A target seen in fewer than
-    ``VISIBLE`` views stops the query, unless it is seen in all.
+    ``VISIBLE`` views, unless in all, stops the query; if not ``strict`` its unobserved places are null.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -271,13 +271,14 @@ def fill_periodic(tracks: DataFrame, period: int) -> DataFrame:
         seen = table.column("observed").to_numpy()
         if seen.all():
             return table
-        if seen.sum() < VISIBLE:
+        few = seen.sum() < VISIBLE
+        if few and strict:
             raise ValueError(f"target {table.column('target')[0]} of scan {table.column('scan')[0]} is seen in too few views")
         step = table.column("step").to_numpy().astype(float)
         places = np.stack([table.column(c).to_numpy().astype(float) for c in "yx"], axis=1)
-        places[~seen] = periodic_spline(step[seen], places[seen], period, step[~seen])
+        places[~seen] = np.nan if few else periodic_spline(step[seen], places[seen], period, step[~seen])
         for k, c in enumerate("yx"):
-            table = table.set_column(table.schema.get_field_index(c), c, pa.array(places[:, k]))
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(places[:, k], mask=np.isnan(places[:, k])))
         return table
 
     return tracks.select(*TRACK_NAMES).groupBy("scan", "target").applyInArrow(run, TRACK)

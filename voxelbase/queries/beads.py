@@ -136,8 +136,8 @@ def _(spark, d):
 
 @query("bead_tracks_filled", None)
 def _(spark, d):
-    """Unobserved places by a periodic cubic spline; held against a dense solution in the tests."""
-    return _tidy(T.fill_periodic(T.track(centres(spark, d), anchors(spark, d), T.Tracker(gate=GATE)), VIEWS))
+    """Unobserved places by a periodic cubic spline, null for targets seen too rarely; held against a dense solution in the tests."""
+    return _tidy(T.fill_periodic(T.track(centres(spark, d), anchors(spark, d), T.Tracker(gate=GATE)), VIEWS, strict=False))
 
 
 NY, NX = 48, 72
