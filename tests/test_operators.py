@@ -95,3 +95,32 @@ def test_formulas_with_nested_groups():
     for wrong in ("H2O)", "(H2", "h2o"):
         with pytest.raises(ValueError):
             atom_counts(wrong)
+
+
+def test_nearest_sorts_places_and_makes_no_pairs(spark):
+    from voxelbase.operators import select as O
+
+    rng = np.random.default_rng(1)
+    x, b = np.round(rng.uniform(-60, 60, 400), 1), np.round(np.concatenate([rng.uniform(-60, -40, 30), rng.uniform(40, 60, 30)]), 1)
+    points = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(400, None), (401, float("nan")), (402, 1e9), (3, 59.0)], "k long, x double")
+    targets = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)] + [(60, None), (61, float("nan"))], "bead long, bx double")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many ranges as partitions, some without targets
+    try:
+        out = O.nearest(points, targets, 35.0)
+        got = {r.k: r.bead for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {}
+    for k, v in [*enumerate(x), (3, 59.0)]:
+        d, bead = min((abs(v - c), i) for i, c in enumerate(b))
+        if d <= 35:
+            want[k] = min(want.get(k, (d, bead)), (d, bead))
+    assert got == {k: bead for k, (_, bead) in want.items()} and len(got) < 400
+    # A target for each point at the same two places would be 4 million pairs of a cell.
+    many = spark.range(20000).select(F.col("id").alias("k"), (F.col("id") % 2 * 0.5).alias("x"))
+    crowd = spark.range(20000).select((20000 - F.col("id")).alias("bead"), (F.col("id") % 2 * 0.5).alias("bx"))
+    out = O.nearest(many, crowd, 35.0)
+    assert sorted(map(tuple, out.groupBy("bead").count().collect())) == [(1, 10000), (2, 10000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Explode" not in plan and "explode" not in plan

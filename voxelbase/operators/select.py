@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelbase.functions.scratch import settle
+
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group with their rank; Spark keeps n rows a task before it shuffles."""
@@ -32,13 +34,24 @@ def robust_threshold(frames: DataFrame, sigmas: float, least: float = 2.22044604
 def nearest(points: DataFrame, targets: DataFrame, gate: float) -> DataFrame:
     """The target within ``gate`` of each point (k, x) that is nearest, (bead, bx); ties go to the smaller bead.
 
-    Targets are filed in cells as wide as the gate, and a point looks in its own
-    and the two next cells: an equi-join, not a comparison of all pairs.
+    Distinct places of both are sorted once over ranges of x, and each looks at the last target up to it and
+    the first from it on, so no pairs are made. A range knows the targets next to it on either side. Of targets at
+    different places whose distances round to the same number the nearer one is taken.
     """
-    cell = lambda x: F.floor(F.col(x) / gate)
-    near = F.explode(F.array(cell("x") - 1, cell("x"), cell("x") + 1))
-    met = points.withColumn("cell", near).join(targets.withColumn("cell", cell("bx")), "cell").withColumn("d", F.abs(F.col("x") - F.col("bx"))).where(F.col("d") <= gate)
-    return met.groupBy("k").agg(F.min_by("bead", F.struct("d", "bead")).alias("bead"))
+    flags = lambda target: (F.lit(target).alias("target"), F.lit(not target).alias("asks"))
+    places = points.select("x", F.lit(None).alias("bead"), *flags(False)).unionByName(targets.select(F.col("bx").alias("x"), "bead", *flags(True)))
+    places = places.where(~F.isnan("x")).groupBy("x").agg(F.min("bead").alias("bead"), F.max("target").alias("target"), F.max("asks").alias("asks"))
+    places = settle(places.repartitionByRange("x").select("x", "asks", F.spark_partition_id().alias("range"), F.when(F.col("target"), F.struct("x", F.col("bead").isNull().alias("unnamed"), "bead")).alias("at")))
+    ends = places.groupBy("range").agg(F.min("at").alias("least"), F.max("at").alias("most"))  # a row for each range
+    before, after = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("range"), F.col("range").desc()))
+    ends = ends.select("range", F.last("most", ignorenulls=True).over(before).alias("left"), F.last("least", ignorenulls=True).over(after).alias("right"))
+    own = Window.partitionBy("range")
+    up, down = (F.last("at", ignorenulls=True).over(own.orderBy(o)) for o in (F.col("x"), F.col("x").desc()))
+    sides = places.withColumns({"up": up, "down": down}).where("asks").join(F.broadcast(ends), "range")
+    sides = sides.select("x", F.coalesce("up", "left").alias("up"), F.coalesce("down", "right").alias("down"))
+    away = [F.when(F.abs(F.col("x") - F.col(s)["x"]) <= gate, F.struct(F.abs(F.col("x") - F.col(s)["x"]).alias("d"), F.col(s)["unnamed"].alias("unnamed"), F.col(s)["bead"].alias("bead"))) for s in ("up", "down")]
+    found = sides.select("x", F.array_min(F.array(*away)).alias("found")).where("found IS NOT NULL")
+    return points.select("k", "x").join(found, "x").groupBy("k").agg(F.min("found").alias("found")).select("k", F.col("found.bead").alias("bead"))
 
 
 def lower_quantiles(rows: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
