@@ -124,3 +124,16 @@ def test_nearest_sorts_places_and_makes_no_pairs(spark):
     assert sorted(map(tuple, out.groupBy("bead").count().collect())) == [(1, 10000), (2, 10000)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Explode" not in plan and "explode" not in plan
+
+
+def test_median_is_exact_and_bounded(spark):
+    from voxelbase.operators import measure as M
+
+    rng = np.random.default_rng(2)
+    for n, held in ((1, 4), (2, 4), (999, 10), (20000, 7), (20001, 1 << 16)):
+        values = rng.normal(size=n) ** 2
+        values[: n // 3] = values[0]
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        assert M.median(rows, F.col("x"), held) == np.median(values)
+    rows = spark.range(3000).select((F.col("id") * 1.0).alias("x"))
+    assert M.median(rows, F.col("x"), 5, near=1e-9) == 1499.5 and M.median(rows, F.lit(2.0), 1) == 2.0

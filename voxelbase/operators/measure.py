@@ -47,12 +47,48 @@ def linear_fit(rows: DataFrame, terms: list[Column], y: Column, weight: Column |
     return np.linalg.solve(m[: n * n].reshape(n, n) + ridge * np.eye(n), m[n * n :]).tolist()
 
 
+#: Distinct values that ``median`` holds at the driver, at most.
+HELD = 1 << 16
+
+
+def median(rows: DataFrame, value: Column, held: int = HELD, near: float = 2e-4) -> float:
+    """The exact median, as ``percentile`` has it, of any number of values; neither a task nor the driver holds all of them.
+
+    A sketch of bounded size brackets it, and the distinct values in the bracket are counted. A bracket
+    with more than ``held`` is bracketed again.
+    """
+    scope, n, below, q = rows.select(value.cast("double").alias("e")).where("e IS NOT NULL"), None, 0, 0.5
+    while True:
+        size, cuts = scope.agg(F.count(F.lit(1)), F.percentile_approx("e", F.array(F.lit(max(0.0, q - near)), F.lit(min(1.0, q + near))), F.lit(10000))).first()
+        if not size:
+            raise ValueError("no values")
+        n = size if n is None else n
+        low, high = map(F.lit, cuts)
+        counts = dict(scope.where(F.col("e") <= high).groupBy(F.when(F.col("e") >= low, F.col("e"))).count().limit(held + 2).collect())
+        if len(counts) > held + 1 and cuts[0] < cuts[1]:
+            under, inside = (scope.where(c).count() for c in (F.col("e") < low, F.col("e").between(low, high)))
+            if below + under <= (n - 1) // 2 and n // 2 < below + under + inside < below + size:
+                scope, below, q = scope.where(F.col("e").between(low, high)), below + under, ((n - 1) / 2 - below - under) / inside
+                continue
+        else:
+            at, found = below + counts.pop(None, 0), {}
+            if at <= (n - 1) // 2:
+                for e in sorted(counts):
+                    found |= {k: e for k in ((n - 1) // 2, n // 2) if at <= k < at + counts[e]}
+                    at += counts[e]
+            if len(found) == len({(n - 1) // 2, n // 2}):
+                return sum(found.values()) / len(found)
+        near *= 10  # the sketch missed
+        if near > 10:
+            raise ValueError("held is too small for these values")
+
+
 def robust_fit(rows: DataFrame, terms: list[Column], y: Column, rounds: int = 30, ridge: float = 1e-5, tuning: float = 1.345) -> list[float]:
     """Huber's iteratively reweighted least squares; the scale is 1.4826 times the median absolute residual."""
     beta = linear_fit(rows, terms, y, ridge=ridge)
     for _ in range(rounds):
         e = y - sum((t * b for t, b in zip(terms, beta, strict=True)), F.lit(0.0))
-        scale = max(1.4826 * rows.agg(F.percentile(F.abs(e), F.lit(0.5))).first()[0], 1e-12)
+        scale = max(1.4826 * median(rows, F.abs(e)), 1e-12)
         new = linear_fit(rows, terms, y, F.least(F.lit(1.0), F.lit(tuning * scale) / F.greatest(F.abs(e), F.lit(1e-12))), ridge)
         done = max(abs(a - b) for a, b in zip(new, beta, strict=True)) < 1e-10
         beta = new
