@@ -1,11 +1,13 @@
 """Afterglow against a loop over all frames: chunks, blocks, slow decays, both starts, streams."""
 
 import numpy as np
+import pandas as pd
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxelbase.operators import traps
-from voxelbase.operators.traps import Traps, afterglow, afterglow_stream
+from voxelbase.operators.traps import Traps, _Detector, afterglow, afterglow_stream
 from voxelbase.streaming.halo import keyed_state
 
 SCHEMA = "view long, data array<double>"
@@ -71,3 +73,54 @@ def test_streams_of_signal_and_air_keep_their_own_traps(spark, tmp_path):
     assert len(got) == 65
     for s, f in scans.items():
         assert max(np.abs(np.array(got[s, i]) - x).max() for i, x in enumerate(loop(f, t))) < 1e-12
+
+
+class _Store:
+    """State as a dictionary that counts the calls that would leave the worker."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, value):
+        self.held[None] = value
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.held[key]
+
+
+def test_waiting_frames_are_kept_by_chunks():
+    """Odd frames first, then even ones with some sent again: a few state calls for each 64 frames, not for each frame."""
+    t, rng = Traps(0.08, (0.6, 0.4), (5.0, 900.0), 7.0, 16.0, True), np.random.default_rng(9)
+    frames, store = rng.random((2000, 3)), _Store()
+    detector, out = _Detector(t), []
+    detector.init(store)
+    for views in (range(1, 2000, 2), [*range(999, 0, -2), *range(1000, 2000, 2)], range(0, 1000, 2), [5, 1998]):
+        part = pd.DataFrame({"view": list(views), "data": [frames[v] for v in views]})
+        out += [b for b in detector.handleInputRows(("object",), iter([part.iloc[:300], part.iloc[300:]]), None)]
+    got = pd.concat(out)
+    assert got["view"].tolist() == list(range(2000)) and np.abs(np.stack(got["data"]) - loop(frames, t)).max() < 1e-12
+    assert set(store.held) == {None} and store.calls < 600

@@ -120,32 +120,70 @@ def afterglow(frames: DataFrame, traps: Traps) -> DataFrame:
 
 
 class _Detector(StatefulProcessor):
-    """The traps of one scan; frames wait for those before them."""
+    """The traps of one scan; frames wait for those before them, packed by chunks of ``CHUNK`` views."""
 
     def __init__(self, traps: Traps):
         self.traps = traps
 
     def init(self, handle):
         self.state = handle.getValueState("traps", "next long, content array<double>")
-        self.early = handle.getMapState("early", "view long", "data array<double>")
+        self.early = handle.getMapState("early", "chunk long", "views binary, data binary")
+
+    def _waiting(self, chunk: int) -> tuple[np.ndarray, np.ndarray] | None:
+        if not self.early.containsKey((chunk,)):
+            return None
+        views, data = (bytes(x) for x in self.early.getValue((chunk,)))
+        views = np.frombuffer(views, dtype=np.int64)
+        return views, np.frombuffer(data, dtype=np.float64).reshape(len(views), -1)
 
     def handleInputRows(self, key, rows, timers):
         at, content = (self.state.get() if self.state.exists() else (0, None))
+        state = None if content is None else np.asarray(content, dtype=np.float64).reshape(len(self.traps.taus), -1)
         for part in rows:
-            for view, data in zip(part["view"].tolist(), part["data"], strict=True):
-                if view >= at:
-                    self.early.updateValue((view,), ([float(x) for x in data],))
-        done = []
-        while self.early.containsKey((at,)):
-            signal = np.asarray(self.early.getValue((at,))[0], dtype=np.float64)
-            state = self.traps.start(signal) if content is None else np.asarray(content, dtype=np.float64).reshape(len(self.traps.taus), -1)
-            out, state = self.traps.run(signal[None], state)
-            self.early.removeKey((at,))
-            done.append((key[0], at, out[0].tolist()))
-            at, content = at + 1, state.ravel().tolist()
-        if done:
-            self.state.update((int(at), content))
-            yield pd.DataFrame(done, columns=["scan", "view", "data"])
+            views = part["view"].to_numpy(dtype=np.int64)
+            own = np.flatnonzero(views >= at)
+            own = own[np.argsort(views[own], kind="stable")]
+            chunks = {}
+            for some in np.split(own, np.flatnonzero(np.diff(views[own] // CHUNK)) + 1) if len(own) else []:
+                chunks[int(views[some[0]] // CHUNK)] = (views[some], np.stack([np.asarray(x, dtype=np.float64) for x in part["data"].iloc[some]]))
+            begin, out = at, []
+            while True:  # chunk by chunk, as far as no frame lacks
+                chunk = at // CHUNK
+                new, held = chunks.pop(chunk, None), self._waiting(chunk)
+                if new is None and held is None:
+                    break
+                views, data = self._merged(held, new)
+                first = int(np.searchsorted(views, at))
+                n = int((views[first:] == at + np.arange(len(views) - first)).sum())
+                if n:
+                    if state is None:
+                        state = self.traps.start(data[first])
+                    done, state = self.traps.run(data[first : first + n], state)
+                    out.append(done)
+                    at += n
+                left = first + n
+                if left == len(views):
+                    if held is not None:
+                        self.early.removeKey((chunk,))
+                elif new is not None or n:
+                    self.early.updateValue((chunk,), (views[left:].tobytes(), data[left:].tobytes()))
+                if at // CHUNK == chunk:
+                    break
+            for chunk, new in chunks.items():
+                views, data = self._merged(self._waiting(chunk), new)
+                self.early.updateValue((chunk,), (views.tobytes(), data.tobytes()))
+            if out:
+                self.state.update((int(at), state.ravel().tolist()))
+                yield pd.DataFrame({"scan": key[0], "view": np.arange(begin, at), "data": list(np.concatenate(out))})
+
+    @staticmethod
+    def _merged(held, new) -> tuple[np.ndarray, np.ndarray]:
+        """Views in order with their frames; of those sent again the latest."""
+        parts = [p for p in (held, new) if p is not None]
+        views, data = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(views, kind="stable")
+        order = order[np.append(np.diff(views[order]) > 0, True)]
+        return views[order], data[order]
 
     def close(self):
         pass
