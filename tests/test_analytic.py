@@ -238,3 +238,17 @@ def test_scan_protocol_fails_resets_and_goes_on(spark, tmp_path):
     assert log["b", 4, 15].attempt == 4 and not log["b", 4, 15].active
     out = {(r.scan, r.voxel_id): r.value for r in protocol.volumes(spark, path).collect()}
     assert out == {("a", i): float(i) for i in range(5)} | {("b", i): 10.0 * i for i in range(5)}
+
+
+def test_states_of_scans_hold_no_frames():
+    """The state of commands is asked about sizes alone, in the order of micro-batches, then of seq."""
+    assert "frames" not in protocol.ASKED and "frames" not in protocol.ANSWERS
+
+
+def test_whole_packets_are_told_before_the_state(spark):
+    frame = lambda view, *data: (view, list(data))
+    nan, inf = float("nan"), float("inf")
+    cases = [([frame(3, 1.0, 2.0), frame(4, 0.0, -1.0)], 2, True), ([frame(4, 1.0, 2.0)], 1, False), ([frame(3, 1.0)], 1, False), ([frame(3, 1.0, nan)], 1, False), ([frame(3, -inf, 1.0)], 1, False), ([frame(3, None, 1.0)], 1, False), (None, 0, True)]
+    rows = spark.createDataFrame([("s", i, "packet", 3, f) for i, (f, _, _) in enumerate(cases)], protocol.COMMANDS)
+    got = {r.seq: (r.n, r.whole) for r in protocol.asked(rows, 2).collect()}
+    assert got == {i: (n, whole) for i, (_, n, whole) in enumerate(cases)}
