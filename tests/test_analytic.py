@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,30 @@ def test_whole_packets_are_told_before_the_state(spark):
     rows = spark.createDataFrame([("s", i, "packet", 3, f) for i, (f, _, _) in enumerate(cases)], protocol.COMMANDS)
     got = {r.seq: (r.n, r.whole) for r in protocol.asked(rows, 2).collect()}
     assert got == {i: (n, whole) for i, (_, n, whole) in enumerate(cases)}
+
+
+def test_blocks_are_made_by_chunks_as_whole():
+    """Targets from chunks of packed views, a few at a time, are those made from all frames of the block; the state is called by chunk."""
+    from voxelbase.functions.packs import Packs
+    from voxelbase.plans import xfdk as X
+    from voxelbase.streaming.halo import _Blocks
+
+    from .test_traps import _Store
+
+    rng = np.random.default_rng(3)
+    gather = X.gather_of(Scan(views=3000, nu=16, nv=4, du=1.6, dv=1.6, sid=60.0, sdd=120.0, start=0.3))
+    frames = rng.random((3000, 64))
+    blocks, stores, count = _Blocks(gather), _Store(), _Store()
+    block = gather.blocks - 1
+    needed = np.unique(gather.sources(block))
+    assert all(gather.needed(k) == len(np.unique(gather.sources(k))) for k in range(gather.blocks))
+    blocks.pending, blocks.packs, blocks.count = stores, Packs(stores, 64), count
+    stores.clear = stores.held.clear
+    out = []
+    for views in (needed[::2], [*needed[1:-1:2], *needed[:9]], needed[-2:]):
+        part = pd.DataFrame({"view": views, "data": [frames[v] for v in views]})
+        out += list(blocks.handleInputRows((block,), iter([part]), None))
+    want = gather.made(block, {int(v): frames[v] for v in needed})
+    got = pd.concat(out)
+    assert got["view"].tolist() == [v for v, _ in want] and (np.stack(got["data"]) == np.stack([d for _, d in want])).all()
+    assert max(map(len, out)) <= 64 and not stores.held and stores.calls < 2 * len(needed)

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from voxelbase.functions import packs
+from voxelbase.functions.packs import Packs
+
 SCHEMA = "view long, data array<double>"
 #: Frames in a chunk, and pixels whose pairs one task scans.
 CHUNK, PIXELS = 64, 1 << 14
@@ -127,32 +130,23 @@ class _Detector(StatefulProcessor):
 
     def init(self, handle):
         self.state = handle.getValueState("traps", "next long, content array<double>")
-        self.early = handle.getMapState("early", "chunk long", "views binary, data binary")
-
-    def _waiting(self, chunk: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self.early.containsKey((chunk,)):
-            return None
-        views, data = (bytes(x) for x in self.early.getValue((chunk,)))
-        views = np.frombuffer(views, dtype=np.int64)
-        return views, np.frombuffer(data, dtype=np.float64).reshape(len(views), -1)
+        self.early = handle.getMapState("early", "chunk long", packs.SCHEMA)
+        self.packs = Packs(self.early, CHUNK)
 
     def handleInputRows(self, key, rows, timers):
         at, content = (self.state.get() if self.state.exists() else (0, None))
         state = None if content is None else np.asarray(content, dtype=np.float64).reshape(len(self.traps.taus), -1)
         for part in rows:
             views = part["view"].to_numpy(dtype=np.int64)
-            own = np.flatnonzero(views >= at)
-            own = own[np.argsort(views[own], kind="stable")]
-            chunks = {}
-            for some in np.split(own, np.flatnonzero(np.diff(views[own] // CHUNK)) + 1) if len(own) else []:
-                chunks[int(views[some[0]] // CHUNK)] = (views[some], np.stack([np.asarray(x, dtype=np.float64) for x in part["data"].iloc[some]]))
+            late = views >= at
+            chunks = self.packs.dealt(views[late], part["data"].to_numpy()[late])
             begin, out = at, []
             while True:  # chunk by chunk, as far as no frame lacks
                 chunk = at // CHUNK
-                new, held = chunks.pop(chunk, None), self._waiting(chunk)
+                new, held = chunks.pop(chunk, None), self.packs.get(chunk)
                 if new is None and held is None:
                     break
-                views, data = self._merged(held, new)
+                views, data = self.packs.merged(held, new)
                 first = int(np.searchsorted(views, at))
                 n = int((views[first:] == at + np.arange(len(views) - first)).sum())
                 if n:
@@ -166,25 +160,16 @@ class _Detector(StatefulProcessor):
                     if held is not None:
                         self.early.removeKey((chunk,))
                 elif new is not None or n:
-                    self.early.updateValue((chunk,), (views[left:].tobytes(), data[left:].tobytes()))
+                    self.packs.put(chunk, views[left:], data[left:])
                 if at // CHUNK == chunk:
                     break
             for chunk, new in chunks.items():
-                views, data = self._merged(self._waiting(chunk), new)
-                self.early.updateValue((chunk,), (views.tobytes(), data.tobytes()))
+                views, data = self.packs.merged(self.packs.get(chunk), new)
+                self.packs.put(chunk, views, data)
             if out:
                 self.state.update((int(at), state.ravel().tolist()))
                 yield pd.DataFrame({"scan": key[0], "view": np.arange(begin, at), "data": list(np.concatenate(out))})
 
-    @staticmethod
-    def _merged(held, new) -> tuple[np.ndarray, np.ndarray]:
-        """Views in order with their frames; of those sent again the latest."""
-        parts = [p for p in (held, new) if p is not None]
-        views, data = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(views, kind="stable")
-        order = order[np.append(np.diff(views[order]) > 0, True)]
-        return views[order], data[order]
-
     def close(self):
         pass
 
