@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelbase.plans import poses as P
 from voxelbase.queries import poses as Q
@@ -152,3 +153,13 @@ def test_ellipse_edges(spark):
     assert all(got[g].major is None for g in (1, 2, 3)) and 4 not in got
     assert got[5].angle == 0.0 and got[5].major == pytest.approx(1)
     assert P.ellipses(spark.createDataFrame([], "g int, x double, y double"), "g").count() == 0
+
+
+def test_tasks_of_chunks_grow_with_the_points(spark):
+    """Partitions keep their size: a session's number of shuffle partitions doesn't set how much a task reads at once."""
+    sizes = lambda n: spark.createDataFrame([(0, n), (1, 7)], "view long, distinct long")
+    assert P._tasks(sizes(10)) == spark.sparkContext.defaultParallelism and P._tasks(sizes(216_000_000)) == -(-216_000_007 // P.TASK)
+    rows = spark.range(2000).select((F.col("id") % 3).alias("view"), *(F.hash(F.lit(k), "id").cast("double").alias(k) for k in P.POINT), F.lit(1.0).alias("w"))
+    views = rows.groupBy("view").agg(F.count(F.lit(1)).alias("distinct"))
+    chunks = P._chunks(rows, views, 37)
+    assert chunks.rdd.getNumPartitions() == 37 and chunks.agg(F.sum(F.size("w"))).first()[0] == 2000

@@ -19,8 +19,8 @@ from voxelbase.functions.scratch import settle
 
 POINT = ("x", "y", "z", "u", "v")
 HELD = (*POINT, "w")
-#: Points in a chunk, about, and the bytes of poses that are broadcast to chunks at most.
-CHUNK, SENT = 4096, 32 << 20
+#: Points in a chunk and in a task, about, and the bytes of poses that are broadcast to chunks at most.
+CHUNK, TASK, SENT = 4096, 1 << 17, 32 << 20
 
 
 def _points(points: DataFrame) -> DataFrame:
@@ -214,14 +214,20 @@ def _blocks(flat: np.ndarray) -> list:
     return [part.reshape(shape) for part, shape in zip(np.split(flat, ends), SIZES, strict=True)]
 
 
-def _chunks(rows: DataFrame, views: DataFrame) -> DataFrame:
-    """(view, x, y, z, u, v, w: arrays): the views' points in chunks of about ``CHUNK``."""
+def _tasks(views: DataFrame) -> int:
+    """Partitions of chunks: an Arrow batch may be as large as a partition, so their size is fixed and their number grows."""
+    return max(views.sparkSession.sparkContext.defaultParallelism, -(-(views.agg(F.sum("distinct")).first()[0] or 0) // TASK))
+
+
+def _chunks(rows: DataFrame, views: DataFrame, tasks: int) -> DataFrame:
+    """(view, x, y, z, u, v, w: arrays): the views' points in chunks of about ``CHUNK``, in ``tasks`` partitions."""
     salt = F.pmod(F.xxhash64(*POINT), F.ceil(F.col("distinct") / CHUNK))
-    packed = rows.join(views.select("view", "distinct"), "view").groupBy("view", salt.alias("salt")).agg(F.collect_list(F.struct(*HELD)).alias("q"))
+    dealt = rows.join(views.select("view", "distinct"), "view").withColumn("salt", salt).repartition(tasks, "view", "salt")
+    packed = dealt.groupBy("view", "salt").agg(F.collect_list(F.struct(*HELD)).alias("q"))
     return packed.select("view", *(F.col("q")[c].alias(c) for c in HELD))
 
 
-def _ahead(chunks: DataFrame, views: DataFrame, shared: np.ndarray, few: bool) -> DataFrame:
+def _ahead(chunks: DataFrame, views: DataFrame, shared: np.ndarray, few: bool, tasks: int) -> DataFrame:
     """(view, ahead): normal blocks of every view at its ``next`` pose, summed over its chunks."""
 
     def run(batches):
@@ -232,7 +238,8 @@ def _ahead(chunks: DataFrame, views: DataFrame, shared: np.ndarray, few: bool) -
                 yield pa.RecordBatch.from_arrays([batch.column("view"), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, NUMBERS, dtype=np.int32), flat)], names=["view", "part"])
 
     poses = views.select("view", "next")
-    parts = chunks.join(F.broadcast(poses) if few else poses, "view").mapInArrow(run, "view long, part array<double>")
+    met = chunks.join(F.broadcast(poses), "view") if few else chunks.repartition(tasks, "view").join(poses.repartition(tasks, "view"), "view")
+    parts = met.mapInArrow(run, "view long, part array<double>")
     return parts.groupBy("view").agg(F.array(*(F.sum(F.col("part")[k]) for k in range(NUMBERS))).alias("ahead"))
 
 
@@ -252,7 +259,9 @@ def joint_poses(points: DataFrame, fit: Fit = Fit()) -> tuple[DataFrame, dict]:
         empty = own.select("view", "n", F.slice("pose", 1, 9).alias("rotation"), F.slice("pose", 10, 3).alias("translation"), F.col("fu").alias("cost"))
         return empty, {"iterations": 0, "shared": None, "cost": 0.0, "converged": True}
     few = count * 200 <= SENT
-    chunks = settle(_chunks(rows, rows.groupBy("view").agg(F.count(F.lit(1)).alias("distinct")).join(own.select("view"), "view", "left_semi")))
+    sizes = rows.groupBy("view").agg(F.count(F.lit(1)).alias("distinct")).join(own.select("view"), "view", "left_semi")
+    tasks = _tasks(sizes)
+    chunks = settle(_chunks(rows, sizes, tasks))
 
     def weigh(views: DataFrame, shared: np.ndarray, damping: float) -> tuple[DataFrame, np.ndarray]:
         """Views with their blocks ahead, and the sums: shared system if the step is taken, if it is refused, squared step."""
@@ -271,7 +280,7 @@ def joint_poses(points: DataFrame, fit: Fit = Fit()) -> tuple[DataFrame, dict]:
                     sums = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 33, dtype=np.int32), flat)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in STATE_NAMES[:-1]), sums], names=STATE_NAMES)
 
-        full = views.join(_ahead(chunks, views, shared, few), "view").select(*STATE_NAMES)
+        full = views.join(_ahead(chunks, views, shared, few, tasks), "view").select(*STATE_NAMES)
         full = settle(full.mapInArrow(run, STATE))
         return full, np.array(full.agg(*(F.sum(F.col("sums")[k]) for k in range(33))).first(), float)
 
